@@ -5,14 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard import similar_groups
+from .media import text_media
+from .mixing import mix_sources
+from .spm import encode_documents
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_documents(spark, sf_dir))
+
+
+def vocabulary() -> str:
+    """Path of the merge-type vocabulary that executors have installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_documents(spark, sf_dir), vocabulary())
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op6_ngram_jaccard_join,)}
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op5_sentencepiece, op6_ngram_jaccard_join, op9_media_columns)}
