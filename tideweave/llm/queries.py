@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard import similar_groups
+from .langid import identify
 from .media import text_media
 from .mixing import mix_sources
+from .quality import quality_rules
 from .spm import encode_documents
 
 
@@ -18,6 +20,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_documents(spark, sf_dir))
+
+
 def vocabulary() -> str:
     """Path of the merge-type vocabulary that executors have installed."""
     import public_tokenizers
@@ -33,8 +39,12 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(_documents(spark, sf_dir))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_documents(spark, sf_dir))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op5_sentencepiece, op6_ngram_jaccard_join, op9_media_columns)}
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op4_quality_rules, op5_sentencepiece, op6_ngram_jaccard_join, op8_language_id, op9_media_columns)}
