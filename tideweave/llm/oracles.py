@@ -1,5 +1,7 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
+from . import licences, urls
+
 MIXING = r"""
 with t as (
   select doc_id, source, coalesce(text, '') as x from documents
@@ -29,4 +31,4 @@ select doc_id, size, source_size, target,
 from p
 """
 
-ORACLES: dict[str, str] = {"op2_mix_sources": MIXING}
+ORACLES: dict[str, str] = {"op1_license_scan": licences.duckdb_sql(), "op2_mix_sources": MIXING, "op10_url_filter": urls.duckdb_sql()}

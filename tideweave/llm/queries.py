@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .jaccard import similar_groups
 from .langid import identify
+from .licences import scan_licences
 from .media import text_media
 from .mixing import mix_sources
 from .quality import quality_rules
 from .spm import encode_documents
+from .urls import judge_urls
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(_documents(spark, sf_dir))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir))
 
@@ -47,4 +53,8 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op4_quality_rules, op5_sentencepiece, op6_ngram_jaccard_join, op8_language_id, op9_media_columns)}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("score")
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op4_quality_rules, op5_sentencepiece, op6_ngram_jaccard_join, op8_language_id, op9_media_columns, op10_url_filter)}
