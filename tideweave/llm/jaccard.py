@@ -4,8 +4,9 @@
    are one node from here on. (Two different sets share a 64-bit key with probability n*n/2**65.)
 2. A fixed-size counter sketch over all shingles marks the cells of frequent ones. Shingles are ordered with
    unmarked ones first, then by hash; any order is correct, this one keeps shared passages out of the prefixes.
-3. Two sets within the limit share a shingle of their prefixes, and the smaller one's lies in its shorter inner
-   prefix. Rows (shingle, node, size) meet in tiles; pairs are bounded by their sizes.
+3. Two sets within the limit share a shingle of their prefixes. Rows (shingle, node, size, rest) meet in tiles; rest
+   counts the node's shingles from this one on. At the first shingle that two sets share, the smaller rest bounds
+   their overlap, and with the sizes that bounds the pair: most pairs of a tile end there.
 4. Chains first: each tile links neighbours in a few random orders, which takes linear work in large groups of near
    copies. Their components collapse; then tiles that still hold more than one component give all pairs across
    components, so no link that could join two components is lost.
@@ -112,7 +113,7 @@ def _tokens(width, num, den, cells, marked):
         flags = np.unpackbits(np.frombuffer(marked.value, np.uint8)).astype(bool)
         seen: set[int] = set()
         for b in batches:
-            token, node, size = [], [], []
+            token, node, size, rest = [], [], [], []
             for s in shingle_sets(b.column(0), width):
                 n = len(s)
                 if not n:
@@ -124,15 +125,13 @@ def _tokens(width, num, den, cells, marked):
                     seen.clear()
                 seen.add(key)
                 outer = n - -(-num * n // den) + 1
-                inner = n - -(-2 * num * n // (num + den)) + 1
                 heavy = flags[(s & np.uint64(cells - 1)).astype(np.int64)]
                 token.append(np.concatenate([s[~heavy], s[heavy]])[:outer] if heavy.any() else s[:outer])
                 node.append(np.full(outer, key, np.int64))
-                sizes = np.full(outer, -n, np.int32)
-                sizes[:inner] = n
-                size.append(sizes)
+                size.append(np.full(outer, n, np.int32))
+                rest.append(np.arange(n, n - outer, -1, dtype=np.int32))
             if token:
-                yield _batch(["token", "node", "size"], [pa.array(np.concatenate(token).view(np.int64)), pa.array(np.concatenate(node)), pa.array(np.concatenate(size))])
+                yield _batch(["token", "node", "size", "rest"], [pa.array(np.concatenate(token).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (node, size, rest))])
 
     return run
 
@@ -217,17 +216,18 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int
 
 
 def _tiles(plain: DataFrame, width, num, den, cells, marked) -> DataFrame:
-    """Rows (token, node, size) of tiles with two nodes or more, each node once; size is negative beyond the inner prefix."""
+    """Rows (token, node, size, rest) of tiles with two nodes or more, each node once."""
     from pyspark.sql import Window
 
-    rows = plain.select("text").mapInArrow(_tokens(width, num, den, cells, marked), "token bigint, node bigint, size int")
+    rows = plain.select("text").mapInArrow(_tokens(width, num, den, cells, marked), "token bigint, node bigint, size int, rest int")
     tile = Window.partitionBy("token")
     seen = rows.select("*", F.min("node").over(tile).alias("low"), F.max("node").over(tile).alias("high"), F.lag("node").over(tile.orderBy("node")).alias("prev"))
-    return seen.filter("low <> high and (prev is null or prev <> node)").select("token", "node", "size")
+    return seen.filter("low <> high and (prev is null or prev <> node)").select("token", "node", "size", "rest")
 
 
 def _fits(num, den):
-    return F.expr(f"least(abs(na), abs(nb)) * {den} >= greatest(abs(na), abs(nb)) * {num} and case when abs(na) < abs(nb) then na > 0 when abs(nb) < abs(na) then nb > 0 else na > 0 or nb > 0 end")
+    """Whether the overlap that is left at this shingle can reach t / (1 + t) times the sizes' sum."""
+    return F.expr(f"least(ra, rb) * {num + den} >= {num} * (na + nb)")
 
 
 def _chain_pairs(tiles: DataFrame, num, den) -> DataFrame:
@@ -235,18 +235,18 @@ def _chain_pairs(tiles: DataFrame, num, den) -> DataFrame:
     from pyspark.sql import Window
 
     order = Window.partitionBy("token").orderBy(F.xxhash64("node", F.pmod("token", F.lit(4))), "node")
-    near = tiles.select(F.col("node"), F.col("size").alias("na"), F.lag("node").over(order).alias("prev"), F.lag("size").over(order).alias("nb"))
+    near = tiles.select("node", F.col("size").alias("na"), F.col("rest").alias("ra"), *(F.lag(c).over(order).alias(x) for c, x in (("node", "prev"), ("size", "nb"), ("rest", "rb"))))
     return near.filter("prev is not null and node <> prev").filter(_fits(num, den)).select(F.least("node", "prev").alias("a"), F.greatest("node", "prev").alias("b")).distinct()
 
 
 def _cross_pairs(tiles: DataFrame, roots: DataFrame, num, den) -> DataFrame:
     """All pairs of a tile whose components differ and whose sizes fit."""
-    named = tiles.join(roots, "node", "left").select("token", "node", "size", F.coalesce("root", "node").alias("root"))
+    named = tiles.join(roots, "node", "left").select("token", "node", "size", "rest", F.coalesce("root", "node").alias("root"))
     mixed = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
     open_ = named.join(mixed, "token")
-    x = open_.select("token", F.col("node").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"))
-    y = open_.select("token", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
-    return x.join(y, "token").filter("a < b and ra <> rb").filter(_fits(num, den)).select("a", "b").distinct()
+    x = open_.select("token", F.col("node").alias("a"), F.col("size").alias("na"), F.col("rest").alias("ra"), F.col("root").alias("ca"))
+    y = open_.select("token", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("rest").alias("rb"), F.col("root").alias("cb"))
+    return x.join(y, "token").filter("a < b and ca <> cb").filter(_fits(num, den)).select("a", "b").distinct()
 
 
 def _within_bound(pairs: DataFrame, maps: DataFrame, num, den) -> DataFrame:
