@@ -36,7 +36,7 @@ def test_documents(spark, documents):
     got = sorted((tuple(x) for x in encode_documents(df, MODEL).collect()), key=str)
     assert got == sorted(((a, *digest(b)) for a, b in texts), key=str)
     assert OWN.differed == 0
-    kept = encode_documents(df, MODEL, keep=True).filter("n_tokens = 2").first()
+    kept = encode_documents(df, MODEL, keep=("ids", "decoded")).filter("n_tokens = 2").first()
     assert kept.ids == [1, 2] and kept.decoded == ""
 
 

@@ -215,6 +215,13 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int
     return prints.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its group; a row that is repeated as a whole text stays once."""
+    groups = similar_groups(docs)
+    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(keep, docs.doc_id.eqNullSafe(keep.kept_id), "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+
+
 def _tiles(plain: DataFrame, width, num, den, cells, marked) -> DataFrame:
     """Rows (token, node, size, rest) of tiles with two nodes or more, each node once."""
     from pyspark.sql import Window

@@ -78,3 +78,16 @@ def mix_sources(docs: DataFrame, cap: int = CAP, seed: str = SEED, range_size: i
     start = F.col("base") + F.col("upto") - F.col("size")
     taken = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start)))
     return rows.select("doc_id", "size", "source_size", "target", taken.cast("bigint").alias("taken"))
+
+
+def mixed(docs: DataFrame, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """docs with each row as often as the mix takes it: whole copies, the one at a source's end if half of it or more fits.
+
+    Repeated rows (same doc_id and size) come as often as the one taken least.
+    """
+    taken = mix_sources(docs, cap, seed).filter("taken > 0")
+    copies = F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")
+    times = taken.groupBy(F.col("doc_id").alias("taken_id"), F.col("size").alias("taken_size")).agg(F.min(copies).alias("copies"))
+    size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("bigint")
+    rows = docs.withColumn("words_here", size).join(times, F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("words_here") == F.col("taken_size")))
+    return rows.filter("copies > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(docs.columns)

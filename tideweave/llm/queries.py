@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .hmm import score_documents
 from .jaccard import similar_groups
 from .langid import identify
 from .licences import scan_licences
 from .media import text_media
 from .mixing import mix_sources
+from .pii import find_personal_data
 from .quality import quality_rules
 from .spm import encode_documents
 from .urls import judge_urls
@@ -26,6 +28,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir))
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(_documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_documents(spark, sf_dir))
 
@@ -45,6 +51,10 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(_documents(spark, sf_dir))
 
 
+def op7_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_documents(spark, sf_dir))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(_documents(spark, sf_dir))
 
@@ -57,4 +67,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("score")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op4_quality_rules, op5_sentencepiece, op6_ngram_jaccard_join, op8_language_id, op9_media_columns, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_personal_data, op4_quality_rules, op5_sentencepiece, op6_ngram_jaccard_join, op7_hmm_scores, op8_language_id, op9_media_columns, op10_url_filter)}

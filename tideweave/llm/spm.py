@@ -182,8 +182,8 @@ def _slices(texts, limit=1 << 22):
         yield part
 
 
-def _run(model: str, keep: bool):
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + (["ids", "decoded"] if keep else [])
+def _run(model: str, keep: tuple[str, ...]):
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + [x for x in ("ids", "decoded") if x in keep]
 
     def run(batches):
         p = pieces(model)
@@ -194,18 +194,21 @@ def _run(model: str, keep: bool):
                 own = b.slice(lo, len(part))
                 lo += len(part)
                 cols = [pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i, _ in got]), pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in got])]
-                if keep:
-                    cols += [pa.array([np.frombuffer(i, "<u4").astype(np.int32) for i, _ in got], pa.list_(pa.int32())), pa.array([d for _, d in got], pa.string())]
+                if "ids" in keep:
+                    ends = np.cumsum([0] + [len(i) // 4 for i, _ in got])
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(i for i, _ in got), "<i4"))))
+                if "decoded" in keep:
+                    cols.append(pa.array([d for _, d in got], pa.string()))
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), *cols], ["doc_id", *names])
 
     return run
 
 
-def encode_documents(docs: DataFrame, model: str, keep: bool = False) -> DataFrame:
-    """docs(doc_id bigint, text string, ...) to (doc_id, n_tokens, ids_sha256, decoded_sha256), with `keep` also ids and decoded.
+def encode_documents(docs: DataFrame, model: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id bigint, text string, ...) to (doc_id, n_tokens, ids_sha256, decoded_sha256), with `keep` also its columns of ids and decoded.
 
     `model` is a path that every executor can open. Null texts count as empty (begin and end ids only). Repeated rows
     give repeated results; other columns are ignored, so their names can't clash. An empty table gives no rows.
     """
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep else "")
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if "ids" in keep else "") + (", decoded string" if "decoded" in keep else "")
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_run(model, keep), schema)
