@@ -95,6 +95,16 @@ def test_masks(spark):
     assert {r.filter_attr: r.q for r in words.collect()} == {0: [0], 5: [4, 5], 99: [98], 100: [], None: []}
 
 
+def test_predicate_tables_of_any_size(spark, monkeypatch):
+    r = random.Random(8)
+    df = spark.createDataFrame([(i, r.randrange(-40, 140)) for i in range(150)] + [(999, None)], "id int, filter_attr int")
+    table = spark.createDataFrame([(q, lo, lo + r.randrange(0, 50)) for q, lo in enumerate(r.randrange(-80, 160) for _ in range(40))] + [(40, -(2**40), 2**40)], "qid int, lo bigint, hi bigint")
+    small = values(Q.assign_by_table(df, table, "id"))
+    monkeypatch.setattr(Q, "SMALL", 0)
+    assert values(Q.assign_by_table(df, table, "id")) == small and len(small) == 150
+    assert Q.assign_by_table(df.limit(0), table, "id").count() == 0
+
+
 def test_activation(spark):
     df = spark.createDataFrame([(1, 10, 3), (2, 20, 3), (3, 30, 1)], "id int, ms bigint, qmask bigint")
     control = spark.createDataFrame([(0, 0, 20), (0, 30, 40), (1, 20, 21)], "qid int, active_from bigint, active_to bigint")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.masks import mask_of, queries_in
 
+#: Rows up to which a table of predicates or switches is broadcast.
+SMALL = 10_000
 Ranges = list[tuple[int, int, int]]
 
 
@@ -26,17 +28,30 @@ def assign(df: DataFrame, ranges: Ranges, attr: str = "filter_attr", name: str =
     return hull.withColumn(name, mask_of(attr, ranges)).filter(F.col(name) != 0)
 
 
-def assign_by_table(df: DataFrame, predicates: DataFrame, row_id: str, attr: str = "filter_attr") -> DataFrame:
-    """The same against a table (qid, lo, hi) of at most some thousand predicates: rows get an array of qids."""
-    inside = df.join(F.broadcast(predicates), F.col(attr).between(F.col("lo"), F.col("hi")))
+def assign_by_table(df: DataFrame, predicates: DataFrame, row_id: str, attr: str = "filter_attr", width: int = 16) -> DataFrame:
+    """The same against a table (qid, lo, hi) of any size: rows get an array of qids.
+
+    A small table is broadcast. Beyond SMALL rows, predicates are cut to the attribute's span and dealt to buckets of
+    `width` values, so that the join is an equi-join on (bucket).
+    """
+    if predicates.count() <= SMALL:
+        inside = df.join(F.broadcast(predicates), F.col(attr).between(F.col("lo"), F.col("hi")))
+    else:
+        span = df.agg(F.min(attr).alias("least"), F.max(attr).alias("most")).first()
+        if span.least is None:
+            return df.withColumn("qids", F.array().cast("array<int>")).filter(F.lit(False))
+        low, high = F.greatest("lo", F.lit(span.least)), F.least("hi", F.lit(span.most))
+        dealt = predicates.filter(low <= high).withColumn("bucket_", F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
+        inside = df.withColumn("bucket", F.floor(F.col(attr) / width)).join(dealt, F.expr(f"bucket = bucket_ and {attr} between lo and hi"))
     sets = inside.groupBy(row_id).agg(F.sort_array(F.collect_set("qid")).alias("qids"))
     return df.join(sets, row_id)
 
 
 def active_at(df: DataFrame, control: DataFrame, n: int, ms: str = "ms", name: str = "qmask") -> DataFrame:
     """Keeps of each row's queries those that are active at its time, by control(qid, active_from, active_to) in ms, end
-    exclusive; a query may have several spans. The control table is small: it has a row per switch."""
-    rows = df.withColumn("qid", F.explode(queries_in(name, n))).join(F.broadcast(control), "qid")
+    exclusive; a query may have several spans. A small control table is broadcast, a larger one joined on qid."""
+    control = F.broadcast(control) if control.count() <= SMALL else control
+    rows = df.withColumn("qid", F.explode(queries_in(name, n))).join(control, "qid")
     return rows.filter((F.col(ms) >= F.col("active_from")) & (F.col(ms) < F.col("active_to"))).drop("active_from", "active_to")
 
 
