@@ -3,8 +3,9 @@ import re
 from collections import defaultdict
 
 import duckdb
+from pyspark.sql import functions as F
 
-from tideweave.llm.mixing import mix_sources
+from tideweave.llm.mixing import mix_sources, mixed
 from tideweave.llm.oracles import ORACLES
 
 
@@ -63,3 +64,12 @@ def test_sql(spark, documents):
     con.execute(f"create view documents as select * from '{documents}'")
     want = sorted(con.execute(f"select doc_id, size, source_size, target, taken from ({ORACLES['op2_mix_sources']})").fetchall())
     assert sorted(map(tuple, mix_sources(spark.read.parquet(documents)).collect())) == want
+
+
+def test_mixed_keeps_columns(spark):
+    rows = [(i, "a b c d", f"s{i % 3}", i) for i in range(60)] + [(7, "a b c d", "s1", 7), (None, "x", None, 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, words int").withColumn("doc", F.lit("kept"))
+    got = mixed(df)
+    assert got.columns == df.columns and got.filter("doc <> 'kept'").count() == 0
+    assert set(map(tuple, got.drop("doc").collect())) <= set(rows)
+    assert mixed(df.limit(0)).count() == 0

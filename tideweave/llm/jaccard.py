@@ -4,11 +4,13 @@
    are one node from here on. (Two different sets share a 64-bit key with probability n*n/2**65.)
 2. A fixed-size counter sketch over all shingles marks the cells of frequent ones. Shingles are ordered with
    unmarked ones first, then by hash; any order is correct, this one keeps shared passages out of the prefixes.
-3. Two sets within the limit share a shingle of their prefixes. Rows (shingle, node, size, rest) meet in tiles; rest
-   counts the node's shingles from this one on. At the first shingle that two sets share, the smaller rest bounds
-   their overlap, and with the sizes that bounds the pair: most pairs of a tile end there.
-4. Chains first: each tile links neighbours in a few random orders, which takes linear work in large groups of near
-   copies. Their components collapse; then tiles that still hold more than one component give all pairs across
+3. Two sets within the limit share a shingle of their prefixes, and their sizes differ by the limit at most. Size bands
+   are as wide as the limit, so the pair meets in the larger one's band: each node is at home in its own band's tile
+   and a guest in the next. A tile is a shingle and a band, with rows (node, size, rest); rest counts the node's
+   shingles from this one on. At the first shingle that two sets share, the smaller rest bounds their overlap, and
+   with the sizes that bounds the pair: most pairs of a tile end there.
+4. Chains and stars first: each tile tries its nodes with a neighbour and with its centre, which takes linear work in
+   large groups of near copies. Their components collapse; then tiles that still hold more than one component give all pairs across
    components, so no link that could join two components is lost.
 5. A pair passes if the XOR of the two bitmaps has so few bits that the overlap may reach the limit; then the sorted
    arrays are intersected exactly.
@@ -16,6 +18,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -223,13 +227,18 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
 
 
 def _tiles(plain: DataFrame, width, num, den, cells, marked) -> DataFrame:
-    """Rows (token, node, size, rest) of tiles with two nodes or more, each node once."""
+    """Rows (token, band, node, size, rest, guest) of shingles that two nodes or more have, each node once a tile."""
     from pyspark.sql import Window
 
     rows = plain.select("text").mapInArrow(_tokens(width, num, den, cells, marked), "token bigint, node bigint, size int, rest int")
     tile = Window.partitionBy("token")
     seen = rows.select("*", F.min("node").over(tile).alias("low"), F.max("node").over(tile).alias("high"), F.lag("node").over(tile.orderBy("node")).alias("prev"))
-    return seen.filter("low <> high and (prev is null or prev <> node)").select("token", "node", "size", "rest")
+    return seen.filter("low <> high and (prev is null or prev <> node)").select("token", "node", "size", "rest", _band(num, den).alias("home")).select("token", "node", "size", "rest", "home", F.explode(F.array("home", F.col("home") + 1)).alias("band")).select("token", "band", "node", "size", "rest", (F.col("band") > F.col("home")).alias("guest"))
+
+
+def _band(num, den):
+    """Number of a size's band; sizes of which the smaller is num/den of the larger at least are a band apart at most."""
+    return F.floor(F.ln("size") / F.lit(math.log(den / num)) + F.lit(1e-9)).cast("int")
 
 
 def _fits(num, den):
@@ -238,22 +247,29 @@ def _fits(num, den):
 
 
 def _chain_pairs(tiles: DataFrame, num, den) -> DataFrame:
-    """Neighbours in each tile, in one of four random orders that tiles share."""
+    """Few pairs that join most of a group: each tile's nodes with their neighbour, in one of four random orders that
+    tiles share, and with the tile's centre. The centre has the greatest share of its shingles left, that is, the fewest
+    of its own before the shared one: in a group of near copies, the text that all were made from."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("token").orderBy(F.xxhash64("node", F.pmod("token", F.lit(4))), "node")
-    near = tiles.select("node", F.col("size").alias("na"), F.col("rest").alias("ra"), *(F.lag(c).over(order).alias(x) for c, x in (("node", "prev"), ("size", "nb"), ("rest", "rb"))))
-    return near.filter("prev is not null and node <> prev").filter(_fits(num, den)).select(F.least("node", "prev").alias("a"), F.greatest("node", "prev").alias("b")).distinct()
+    tile = Window.partitionBy("token", "band")
+    order = tile.orderBy(F.xxhash64("node", F.pmod("token", F.lit(4))), "node")
+    centre = tile.orderBy((F.col("rest") / F.col("size")).desc(), "node")
+    other = F.struct("node", "size", "rest")
+    near = tiles.select("node", "size", "rest", F.lag(other).over(order).alias("prev"), F.first(other).over(centre).alias("centre"))
+    pairs = near.select("node", F.col("size").alias("na"), F.col("rest").alias("ra"), F.explode(F.array("prev", "centre")).alias("other"))
+    pairs = pairs.select("node", "na", "ra", F.col("other.node").alias("with"), F.col("other.size").alias("nb"), F.col("other.rest").alias("rb"))
+    return pairs.filter("with is not null and node <> with").filter(_fits(num, den)).select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
 
 
 def _cross_pairs(tiles: DataFrame, roots: DataFrame, num, den) -> DataFrame:
     """All pairs of a tile whose components differ and whose sizes fit."""
-    named = tiles.join(roots, "node", "left").select("token", "node", "size", "rest", F.coalesce("root", "node").alias("root"))
-    mixed = named.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
-    open_ = named.join(mixed, "token")
-    x = open_.select("token", F.col("node").alias("a"), F.col("size").alias("na"), F.col("rest").alias("ra"), F.col("root").alias("ca"))
-    y = open_.select("token", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("rest").alias("rb"), F.col("root").alias("cb"))
-    return x.join(y, "token").filter("a < b and ca <> cb").filter(_fits(num, den)).select("a", "b").distinct()
+    named = tiles.join(roots, "node", "left").select("token", "band", "node", "size", "rest", "guest", F.coalesce("root", "node").alias("root"))
+    mixed = named.groupBy("token", "band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token", "band")
+    open_ = named.join(mixed, ["token", "band"])
+    x = open_.select("token", "band", F.col("guest").alias("ga"), F.col("node").alias("a"), F.col("size").alias("na"), F.col("rest").alias("ra"), F.col("root").alias("ca"))
+    y = open_.select("token", "band", F.col("guest").alias("gb"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("rest").alias("rb"), F.col("root").alias("cb"))
+    return x.join(y, ["token", "band"]).filter("a < b and ca <> cb and not (ga and gb)").filter(_fits(num, den)).select("a", "b").distinct()
 
 
 def _within_bound(pairs: DataFrame, maps: DataFrame, num, den) -> DataFrame:

@@ -89,5 +89,6 @@ def mixed(docs: DataFrame, cap: int = CAP, seed: str = SEED) -> DataFrame:
     copies = F.floor(F.col("taken") / F.col("size") + F.lit(0.5)).cast("int")
     times = taken.groupBy(F.col("doc_id").alias("taken_id"), F.col("size").alias("taken_size")).agg(F.min(copies).alias("copies"))
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("bigint")
-    rows = docs.withColumn("words_here", size).join(times, F.col("doc_id").eqNullSafe(F.col("taken_id")) & (F.col("words_here") == F.col("taken_size")))
-    return rows.filter("copies > 0").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("bigint").alias("id"), size.alias("words"))
+    rows = rows.join(times, F.col("id").eqNullSafe(F.col("taken_id")) & (F.col("words") == F.col("taken_size"))).filter("copies > 0")
+    return rows.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("doc.*")
