@@ -33,12 +33,13 @@ END = TOP + CLASSES
 SYMBOLS = TOP + CLASSES + 1
 ITERATIONS = 2
 SEGMENT = 512
-#: Rows and words a row of the sample that states start from.
-SAMPLE_ROWS, SAMPLE_WORDS = 1500, 2000
+#: Rows, and characters a row, of the sample that states start from.
+SAMPLE_ROWS, SAMPLE_CHARS = 1500, 2000
 DISCOUNT = 0.7
 #: Observations that the corpus-wide distribution counts for in a state's emissions.
 PRIOR = 200.0
 TRAINED = "crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 5 <> 1"
+_SHORT = f"length(text) < {SAMPLE_CHARS}"
 _FLUSH = 1_500_000
 
 
@@ -103,8 +104,19 @@ class Counts:
     @classmethod
     def of(cls, counts: DataFrame, ends: int) -> Counts:
         total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-        top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).select("word", "cls", "n").toArrow()
+        # the least count that at most KNOWN words reach, in steps of a 32nd of a doubling: those words alone are gathered
+        level = F.floor(F.log2("n") * 32).cast("int")
+        steps = counts.groupBy(level.alias("level")).agg(F.count("*").alias("v")).orderBy(F.desc("level")).collect()
+        least, held = 1 << 30, 0
+        for r in steps:
+            held += r.v
+            if held > KNOWN:
+                break
+            least = r.level
+        top = counts.filter(level >= least).select("word", "cls", "n").toArrow()
         hashed, c, n = (top.column(i).to_numpy() for i in range(3))
+        order = np.lexsort((hashed, -n))
+        hashed, c, n = hashed[order], c[order], n[order]
         per = counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
         tokens, types = np.zeros(CLASSES), np.zeros(CLASSES)
         for r in per:
@@ -282,7 +294,9 @@ def baum_welch(plain: DataFrame, counts, model: Model) -> Model:
     return out
 
 
-def _sample(plain: DataFrame, counts) -> list[np.ndarray]:
+def _sample(plain: DataFrame, rows: int, counts) -> list[np.ndarray]:
+    """Symbols of SAMPLE_ROWS of the `rows` short enough texts, the first by hash; a hash bound lets few rows through to the sort."""
+
     def run(batches):
         c = counts.value
         for b in batches:
@@ -292,7 +306,8 @@ def _sample(plain: DataFrame, counts) -> list[np.ndarray]:
                 rows += [x.astype("<i4").tobytes() for x in np.split(symbols, np.cumsum(size)[:-1])]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["symbols"])
 
-    few = plain.filter(F.length("text") < SAMPLE_WORDS).orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS)
+    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    few = plain.filter(_SHORT).filter(number < int((1 << 30) * min(1.0, 3 * SAMPLE_ROWS / max(rows, 1)))).orderBy(number, "doc_id", "text").limit(SAMPLE_ROWS)
     return [np.frombuffer(r.symbols, "<i4").astype(np.int64) for r in few.select("text").mapInArrow(run, "symbols binary").collect()]
 
 
@@ -307,9 +322,10 @@ def score_documents(docs: DataFrame, states: int = STATES, iterations: int = ITE
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     training = plain.filter(TRAINED)
     table = cut(word_counts(training.select("text")))
-    counts = Counts.of(table, training.count())
+    n = training.agg(F.count("*").alias("all"), F.count(F.when(F.expr(_SHORT), 1)).alias("short")).first()
+    counts = Counts.of(table, n.all)
     shared = spark.sparkContext.broadcast(counts)
-    model = first_model(_sample(training, shared), counts.symbol_count, states)
+    model = first_model(_sample(training, n.short, shared), counts.symbol_count, states)
     for _ in range(iterations):
         model = baum_welch(training, shared, model)
     held = spark.sparkContext.broadcast(replace(model, emit=np.ascontiguousarray(model.emit)))
