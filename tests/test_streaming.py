@@ -8,7 +8,10 @@ from tideweave.operators import aggregates as A
 from tideweave.operators import joins as J
 from tideweave.operators import queryset as Q
 from tideweave.plans.queries import MIXED, SIZE, SLIDE, _pairs
+from tideweave.operators.etl import parse_entities, serialised_sums
+from tideweave.sources import lines as L
 from tideweave.sources import views as V
+from tideweave.streaming import etl as E
 from tideweave.streaming import stateful as S
 from tideweave.streaming import windows as W
 
@@ -88,6 +91,28 @@ def test_median_and_top_mean(rocks, tmp_path):
     assert [(r[0], r[1], round(r[2], 6)) for r in rows(got, "window_start", "sel2", "top")] == [(r[0], r[1], round(r[2], 6)) for r in rows(top, "window_start", "sel2", "mean")]
 
 
+def test_etl(rocks, tmp_path):
+    e = V.entity(rocks, SF)
+    env = V.json_entity(e)
+    last = rocks.createDataFrame([(-1, '{"type":"B","PK":-1,"longAttribute2":0}')], "id bigint, json string").withColumn("ms", F.lit(e.agg(F.max("ms")).first()[0] + FAR)).withColumn("ts", F.timestamp_millis("ms")).select("id", "ts", "ms", "json")
+    s = parse_entities(stream(rocks, env.unionByName(last), tmp_path / "j").withWatermark("ts", "0 seconds"))
+    dim = V.dimension(rocks, SF)
+    cols = ("id", "pk", "name", "nation")
+    got = result(J.lookup(s.filter("type = 'A'"), dim, ("pk", "user_id")).select(*cols), "enriched", tmp_path)
+    assert rows(got, *cols) == rows(J.lookup(e.filter("type = 'A'"), dim, ("pk", "user_id")), *cols)
+    cols = ("window_start", "key", "total", "payload")
+    got = result(E.serialised_sums_stream(s.filter("type = 'B'"), "ts", "3 days", None, "pk", "long2"), "sums", tmp_path)
+    assert rows(got.filter("key >= 0"), *cols) == rows(serialised_sums(e.filter("type = 'B'"), "ms", SIZE, SIZE, "pk", "long2"), *cols)
+
+
+def test_lines(rocks, tmp_path):
+    (tmp_path / "t").mkdir()
+    for i in range(3):
+        (tmp_path / "t" / f"{i}.txt").write_text("".join("\t".join(["A", str(10 * i + j), str(1000 * j), "0", "5", "-1", "3", "4", "10", "20", "42", "x", "", "", "", "2"]) + "\n" for j in range(4)))
+    s = L.with_event_time(L.entity_lines(rocks.readStream.text(str(tmp_path / "t"))), "1 minute")
+    assert rows(result(s.select("id", "pk", "filter_attr"), "lines", tmp_path), "id", "pk", "filter_attr") == sorted(((10 * i + j, 5, 42) for i in range(3) for j in range(4)), key=str)
+
+
 def test_rising(rocks, tmp_path):
     e = V.entity(rocks, SF).filter("type = 'A'")
     s = stream(rocks, e, tmp_path / "r")
