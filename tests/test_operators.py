@@ -90,6 +90,10 @@ def test_masks(spark):
     assert got == [(0, 1), (5, 3), (99, 2 | 1 << 62)]
     assert values(Q.per_query(Q.assign(df, ranges), 63).select("filter_attr", "qid")) == [(0, 0), (5, 0), (5, 1), (99, 1), (99, 62)]
     assert Q.assign(df, []).count() == 0
+    floats = df.withColumn("filter_attr", F.col("filter_attr").cast("double"))
+    wide = [*ranges, (3, -(2**40), 2**40)]
+    assert [r.qmask for r in Q.assign(floats, ranges).orderBy("filter_attr").collect()] == [m for _, m in got]
+    assert [r.qmask for r in Q.assign(df, wide).orderBy("filter_attr").collect()] == [9, 11, 8 | 2 | 1 << 62, 8]
     many = [(q, q, q + 1) for q in range(99)]
     words = df.withColumn("w", masks.mask_words("filter_attr", many)).withColumn("q", masks.words_in("w", 99))
     assert {r.filter_attr: r.q for r in words.collect()} == {0: [0], 5: [4, 5], 99: [98], 100: [], None: []}

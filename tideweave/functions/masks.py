@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = 63
+#: Widest hull for which masks are looked up.
+TABLE = 4096
+
 
+def mask_of(attr: str, ranges: list[tuple[int, int, int]], integral: bool = False) -> Column:
+    """Bits of the queries (bit, lo, hi) whose range holds the column; a null is in none.
 
-def mask_of(attr, ranges: list[tuple[int, int, int]]) -> Column:
-    """Bits of the queries (bit, lo, hi) whose range holds the attribute; a null attribute is in none."""
-    value = F.col(attr) if isinstance(attr, str) else attr
+    A whole-number column over a narrow hull is looked up in a table of masks, one step a row however many queries
+    there are; any other is compared with each range.
+    """
     if not ranges:
         return F.lit(0).cast("bigint")
-    return reduce(lambda a, b: a.bitwiseOR(b), (F.when(value.between(lo, hi), F.lit(1 << q).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for q, lo, hi in ranges))
+    low, high = min(r[1] for r in ranges), max(r[2] for r in ranges)
+    if integral and high - low < TABLE:
+        table = ", ".join(f"{sum(1 << q for q, lo, hi in ranges if lo <= v <= hi)}L" for v in range(low, high + 1))
+        return F.expr(f"coalesce(get(array({table}), try_cast(try_subtract(cast(`{attr}` as bigint), {low}L) as int)), 0L)")
+    inside = lambda lo, hi: f"`{attr}` is not null" if (lo, hi) == (-(2**63), 2**63 - 1) else f"`{attr}` between {lo} and {hi}"
+    return F.expr(" | ".join(f"case when {inside(lo, hi)} then {1 << q}L else 0L end" for q, lo, hi in ranges))
 
 
-def mask_words(attr, ranges: list[tuple[int, int, int]]) -> Column:
+def mask_words(attr: str, ranges: list[tuple[int, int, int]], integral: bool = False) -> Column:
     """The same as an array of words of 63 bits, for any number of queries."""
     last = max((q for q, _, _ in ranges), default=0) // WORD
-    return F.array(*[mask_of(attr, [(q % WORD, lo, hi) for q, lo, hi in ranges if q // WORD == i]) for i in range(last + 1)])
+    return F.array(*[mask_of(attr, [(q % WORD, lo, hi) for q, lo, hi in ranges if q // WORD == i], integral) for i in range(last + 1)])
 
 
 def queries_in(mask, n: int) -> Column:

@@ -25,7 +25,8 @@ def assign(df: DataFrame, ranges: Ranges, attr: str = "filter_attr", name: str =
     if not ranges:
         return df.withColumn(name, F.lit(0).cast("bigint")).filter(F.lit(False))
     hull = df.filter(F.col(attr).between(min(r[1] for r in ranges), max(r[2] for r in ranges)))
-    return hull.withColumn(name, mask_of(attr, ranges)).filter(F.col(name) != 0)
+    integral = dict(df.dtypes)[attr] in ("tinyint", "smallint", "int", "bigint")
+    return hull.withColumn(name, mask_of(attr, ranges, integral)).filter(F.col(name) != 0)
 
 
 def assign_by_table(df: DataFrame, predicates: DataFrame, row_id: str, attr: str = "filter_attr", width: int = 16) -> DataFrame:

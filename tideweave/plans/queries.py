@@ -200,7 +200,7 @@ def shared_aggregation_mean(spark, sf_dir):
 def many_queries(spark, sf_dir):
     """A hundred queries: sets of several words."""
     ranges = [(q, q % 90, q % 90 + 9) for q in range(100)]
-    rows = V.entity(spark, sf_dir).withColumn("words", mask_words("filter_attr", ranges))
+    rows = V.entity(spark, sf_dir).withColumn("words", mask_words("filter_attr", ranges, integral=True))
     return rows.withColumn("qid", F.explode(words_in("words", 100))).groupBy("qid", "type").agg(F.count("*").alias("n"), F.sum("long2").alias("total"))
 
 
