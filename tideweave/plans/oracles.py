@@ -154,7 +154,7 @@ select id as event_id, type, ms, {on('person', '999 + people', 'person_id')}, {o
 from h"""
 
 
-def _sqbench() -> str:
+def _entities() -> str:
     late = lambda name, then, n: f"case when id >= 3000 then {_draw(name, then)} else {_even(name, n)} end"
     return f"""with g as (
   select event_id as id, case when event_id >= 3000 then case when event_id % 4 < 1 then 'A' else 'B' end when event_id % 3 < 1 then 'A' when event_id % 3 < 2 then 'B' else 'C' end as type,
@@ -273,5 +273,5 @@ union all select 2, window_start, a_long1, count(*)::double from ({_triples(DAY,
     ),
     "shed_rate_series": FOLD,
     "gen_nexmark": _nexmark(),
-    "gen_sqbench": _sqbench(),
+    "gen_entities": _entities(),
 }

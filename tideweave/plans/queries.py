@@ -442,7 +442,7 @@ def gen_nexmark(spark, sf_dir):
 
 
 @query
-def gen_sqbench(spark, sf_dir):
+def gen_entities(spark, sf_dir):
     ids = V.events(spark, sf_dir).select(F.col("event_id").alias("id"))
     plan = [G.Scenario(0, 10_000, 1, 1, 1), G.Scenario(3000, 20_000, 1, 3, 0, {"sel1": ("zipf", 10, {"exponent": 1.2, "first": 3}), "long1": ("binomial", 20, {"chance": 0.3})})]
     return G.entity_events(ids, plan).drop("ts")
