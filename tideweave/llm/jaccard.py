@@ -96,6 +96,13 @@ def _fingerprint(width, cells):
     return run
 
 
+def _values(batch, *columns):
+    """Rows of a batch's binary columns; few are copied at a time."""
+    for lo in range(0, batch.num_rows, 256):
+        part = batch.slice(lo, 256)
+        yield from zip(*(part.column(c).to_pylist() for c in columns), strict=True)
+
+
 def bitmap(s: np.ndarray) -> bytes:
     """Parity bitmap: 64 bits at least, about one bit a shingle; the width depends on the size alone."""
     bits = 64
@@ -145,7 +152,7 @@ def _bounded(num, den):
         for b in batches:
             na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
             keep = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column("ba").to_pylist(), b.column("bb").to_pylist(), strict=True)):
+            for i, (x, y) in enumerate(_values(b, "ba", "bb")):
                 x, y = np.unpackbits(np.frombuffer(x, np.uint8)), np.unpackbits(np.frombuffer(y, np.uint8))
                 m = min(len(x), len(y))
                 differ = int((fold_to(x, m) ^ fold_to(y, m)).sum())
@@ -160,7 +167,7 @@ def _exact(num, den):
     def run(batches):
         for b in batches:
             keep = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True)):
+            for i, (x, y) in enumerate(_values(b, "sa", "sb")):
                 both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
                 both.sort()
                 common = int((both[1:] == both[:-1]).sum())

@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-#: Words and parts that a Python worker remembers; both caches start anew beyond this.
-CACHE = 700_000
+#: Words and parts that a task remembers; both caches start anew beyond this and end with the task, as its worker goes on
+#: to other work.
+CACHE = 400_000
 LONGEST = 120
 CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -49,6 +50,11 @@ class Pieces:
         self.odd: set[str] = set()
         self.differed = 0
 
+    def forget(self) -> None:
+        self.part.clear()
+        self.word.clear()
+        self.odd.clear()
+
     def agenda(self, text: str) -> list[str]:
         """Symbols of a text after all merges."""
         symbol, score = list(text), self.score
@@ -187,19 +193,22 @@ def _run(model: str, keep: tuple[str, ...]):
 
     def run(batches):
         p = pieces(model)
-        for b in batches:
-            lo = 0
-            for part in _slices([t or "" for t in b.column("text").to_pylist()]):
-                got = p.encode(part)
-                own = b.slice(lo, len(part))
-                lo += len(part)
-                cols = [pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i, _ in got]), pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in got])]
-                if "ids" in keep:
-                    ends = np.cumsum([0] + [len(i) // 4 for i, _ in got])
-                    cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(i for i, _ in got), "<i4"))))
-                if "decoded" in keep:
-                    cols.append(pa.array([d for _, d in got], pa.string()))
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), *cols], ["doc_id", *names])
+        try:
+            for b in batches:
+                lo = 0
+                for part in _slices([t or "" for t in b.column("text").to_pylist()]):
+                    got = p.encode(part)
+                    own = b.slice(lo, len(part))
+                    lo += len(part)
+                    cols = [pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i, _ in got]), pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in got])]
+                    if "ids" in keep:
+                        ends = np.cumsum([0] + [len(i) // 4 for i, _ in got])
+                        cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(i for i, _ in got), "<i4"))))
+                    if "decoded" in keep:
+                        cols.append(pa.array([d for _, d in got], pa.string()))
+                    yield pa.RecordBatch.from_arrays([own.column("doc_id"), *cols], ["doc_id", *names])
+        finally:
+            p.forget()
 
     return run
 
