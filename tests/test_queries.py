@@ -40,3 +40,12 @@ def test_against_sql(spark, con, name):
 
 def test_all_have_sql():
     assert set(QUERIES) == set(ORACLES)
+
+
+def test_registry(spark):
+    from tideweave.plans.registry import NAMES, run
+
+    assert set(NAMES.values()) <= set(QUERIES)
+    assert run("MAP_LONG_MICRO_BENCHMARK", spark, SF).columns == ["auction", "euros"]
+    with pytest.raises(ValueError):
+        run("NO_SUCH_QUERY", spark, SF)
