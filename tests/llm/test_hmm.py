@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -97,3 +98,19 @@ def test_edges(spark):
     assert H.score_documents(df.limit(0)).count() == 0
     held = df.filter("crc32(cast(cast(doc_id as string) as binary)) % 5 = 1")
     assert H.score_documents(held).filter("n_known > 0").count() == 0
+
+
+def test_only_long_texts(spark):
+    r = random.Random(3)
+    docs = []
+    for i in range(60):
+        topic, words_ = r.randrange(4), []
+        for j in range(900):
+            topic = r.randrange(4) if j % 100 == 0 else topic
+            words_.append(f"w{topic}x{r.randrange(40)}")
+        docs.append((i, " ".join(words_)))
+    assert all(len(t) >= 2000 for _, t in docs)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    held = lambda n: [sum(c) for c in zip(*((x.score, x.n_tokens) for x in H.score_documents(df, n).collect() if x.held_out))]
+    (many, tokens), (one, _) = held(H.STATES), held(1)
+    assert (many - one) / tokens > 0.1

@@ -5,9 +5,10 @@ words, and the end of a text. A rare word is its class's symbol times its share
 words never seen in training share what the discount leaves, as one type per class.
 
 Each iteration counts expected emissions, transitions and starts in every partition, and the sums alone reach the
-driver: STATES x symbols numbers, whatever the corpus. States start from a mixture fitted on a bounded sample of rows;
-from there on all counts cover all training rows. Training cuts long texts into sequences of SEGMENT tokens, so that
-memory is bounded; scoring runs the scaled forward recursion over whole texts.
+driver: STATES x symbols numbers, whatever the corpus. States start from all training rows too: seeded projections of a
+segment's symbols part the segments among them. Iterations end when they gain less than LEAST_GAIN a token. Training
+cuts long texts into segments of SEGMENT tokens, so that memory is bounded, and writes their symbols once; scoring runs
+the scaled forward recursion over whole texts.
 """
 
 from __future__ import annotations
@@ -31,15 +32,15 @@ KNOWN = 1 << 17
 CLASSES = 1 << 10
 END = TOP + CLASSES
 SYMBOLS = TOP + CLASSES + 1
-ITERATIONS = 2
+#: log10 likelihood a training token by which an iteration must better the one before it.
+LEAST_GAIN = 0.002
 SEGMENT = 512
-#: Rows, and characters a row, of the sample that states start from.
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 2000
+#: Of the first responsibilities: how sharply projections part segments, and how far a state's symbols differ by themselves.
+SHARP, APART = 4.0, 0.5
 DISCOUNT = 0.7
 #: Observations that the corpus-wide distribution counts for in a state's emissions.
 PRIOR = 200.0
 TRAINED = "crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 5 <> 1"
-_SHORT = f"length(text) < {SAMPLE_CHARS}"
 _FLUSH = 1_500_000
 
 
@@ -75,7 +76,7 @@ def word_counts(plain: DataFrame) -> DataFrame:
         held = (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
         out = lambda x: pa.RecordBatch.from_arrays([pa.array(a) for a in x], ["word", "cls", "n"])
         for b in batches:
-            for _, _, t in read(b.column("text"), 1 << 23):
+            for _, _, t in read(b.column("text"), 1 << 21):
                 new = _merged(t.hash, t.cls, np.ones(len(t.hash)))
                 held = _merged(*(np.concatenate(x) for x in zip(held, new, strict=True)))
                 if len(held[0]) > _FLUSH:
@@ -202,6 +203,11 @@ def log_likelihood(m: Model, symbols: np.ndarray, size: np.ndarray) -> np.ndarra
 
 def expected(m: Model, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected starts, transitions and emissions (symbols x states) of the sequences."""
+    return both_ways(m, symbols, size)[:3]
+
+
+def both_ways(m: Model, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """What expected() gives, and the sequences' log10 likelihood."""
     at, active = by_time(size)
     seen = symbols[at]
     k = len(m.start)
@@ -226,7 +232,7 @@ def expected(m: Model, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarra
         beta = back
         gamma[low[t] : low[t] + n] = a * back
     emitted = np.stack([np.bincount(seen, weights=gamma[:, i], minlength=SYMBOLS) for i in range(k)], axis=1)
-    return gamma[: active[0] if len(active) else 0].sum(axis=0), moves * m.move, emitted
+    return gamma[: active[0] if len(active) else 0].sum(axis=0), moves * m.move, emitted, float(np.log10(scale).sum())
 
 
 def _segments(size: np.ndarray) -> np.ndarray:
@@ -244,74 +250,112 @@ def _normal(start, moves, emitted, corpus) -> Model:
     return Model((start + 1.0) / (start + 1.0).sum(), move, emit)
 
 
-def first_model(sample: list[np.ndarray], corpus: np.ndarray, states: int = STATES, rounds: int = 25) -> Model:
-    """States as components of a mixture over whole sample rows; a state tends to stay."""
-    r = np.random.default_rng(11)
-    base = (corpus + 0.5) / (corpus.sum() + 0.5 * len(corpus))
-    if not sample:
-        return Model(np.full(states, 1 / states), np.full((states, states), 1 / states), np.repeat(base[:, None], states, axis=1))
-    row = np.repeat(np.arange(len(sample)), [len(s) for s in sample])
-    sym = np.concatenate(sample)
-    post = r.dirichlet(np.full(states, 0.3), len(sample))
-    weight = np.zeros((len(corpus), states))
-    for i in range(rounds):
-        weight = np.stack([np.bincount(sym, weights=post[row, k], minlength=len(corpus)) for k in range(states)], axis=1)
-        emit = (weight + PRIOR * base[:, None]) / (weight.sum(axis=0) + PRIOR)
-        like = np.stack([np.bincount(row, weights=np.log(emit[sym, k]), minlength=len(sample)) for k in range(states)], axis=1) + np.log(post.mean(axis=0) + 1e-9)
-        # cool from flat to exact, so that early rounds don't freeze
-        like *= min(1.0, 0.02 * 1.3**i)
-        post = np.exp(like - like.max(axis=1, keepdims=True))
-        post /= post.sum(axis=1, keepdims=True)
-    stay = np.full((states, states), 0.05 / max(states - 1, 1))
-    np.fill_diagonal(stay, 0.95)
-    emit = (weight + PRIOR * base[:, None]) / (weight.sum(axis=0) + PRIOR)
-    start = post.sum(axis=0) + 1
-    return Model(start / start.sum(), stay / stay.sum(axis=1, keepdims=True), emit)
+def segments(training: DataFrame, counts) -> DataFrame:
+    """(symbols) of training(text): one row per segment, two bytes a symbol; `counts` is a broadcast."""
 
+    def run(batches):
+        c = counts.value
+        for b in batches:
+            for _, _, t in read(b.column("text"), 1 << 21):
+                symbols, size = sequences(c.symbols(t, c.find(t.hash)), t.first)
+                off = np.concatenate([[0], 2 * np.cumsum(_segments(size))]).astype(np.int32)
+                held = [None, pa.py_buffer(off.tobytes()), pa.py_buffer(symbols.astype("<u2").tobytes())]
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(off) - 1, held)], ["symbols"])
 
-def baum_welch(plain: DataFrame, counts, model: Model) -> Model:
-    """One iteration over all rows of plain(text); `counts` is a broadcast."""
-    k = len(model.start)
-    held = plain.sparkSession.sparkContext.broadcast(model)
-    width = SYMBOLS * k + k * k + k
+    return training.select("text").mapInArrow(run, "symbols binary")
+
+
+def _stored(column, limit: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Symbols and lengths of segments(), about `limit` symbols at once."""
+    if not len(column):
+        return
+    _, off, data = column.buffers()
+    off = np.frombuffer(off, np.int32)[column.offset : column.offset + len(column) + 1]
+    seen = np.frombuffer(data, np.uint8)[off[0] : off[-1]].view("<u2")
+    end, lo = (off - off[0]) // 2, 0
+    while lo < len(column):
+        hi = max(lo + 1, int(np.searchsorted(end, end[lo] + limit, "right")) - 1)
+        yield seen[end[lo] : end[hi]].astype(np.int64), np.diff(end[lo : hi + 1]).astype(np.int64)
+        lo = hi
+
+
+def _summed(cut_up: DataFrame, width: int, count) -> np.ndarray:
+    """Sums over all segments of the cells that count(symbols, size) gives."""
 
     def run(batches):
-        c, m = counts.value, held.value
         cells = np.zeros(width)
         for b in batches:
-            for _, _, t in read(b.column("text"), 1 << 21):
-                symbols, size = sequences(c.symbols(t, c.find(t.hash)), t.first)
-                start, moves, emitted = expected(m, symbols, _segments(size))
-                cells[: SYMBOLS * k] += emitted.ravel()
-                cells[SYMBOLS * k : -k] += moves.ravel()
-                cells[-k:] += start
+            for symbols, size in _stored(b.column("symbols")):
+                at = 0
+                for x in count(symbols, size):
+                    x = np.ravel(x)
+                    cells[at : at + len(x)] += x
+                    at += len(x)
         for i, v in sketch.chunks_of(cells):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([v], pa.binary())], ["chunk", "cells"])
 
-    got = sketch.summed(plain.select("text").mapInArrow(run, "chunk int, cells binary"), width, "float64")
-    out = _normal(got[-k:], got[SYMBOLS * k : -k].reshape(k, k), got[: SYMBOLS * k].reshape(SYMBOLS, k), counts.value.symbol_count)
-    held.unpersist()
-    return out
+    return sketch.summed(cut_up.mapInArrow(run, "chunk int, cells binary"), width, "float64")
 
 
-def _sample(plain: DataFrame, rows: int, counts) -> list[np.ndarray]:
-    """Symbols of SAMPLE_ROWS of the `rows` short enough texts, the first by hash; a hash bound lets few rows through to the sort."""
+def _chance(states: int) -> np.ndarray:
+    return np.random.default_rng(11).standard_normal((SYMBOLS, states))
+
+
+def first_parts(symbols: np.ndarray, size: np.ndarray, corpus: np.ndarray, states: int) -> np.ndarray:
+    """First responsibilities (segments x states): by projections on seeded vectors, rare symbols weighing most. They
+    follow from a segment's symbols, so states differ by what is in them however many segments there are."""
+    share = (corpus + 0.5) / (corpus.sum() + 0.5 * len(corpus))
+    weight = -np.log(share)
+    v = _chance(states) * weight[:, None]
+    v -= share @ v
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    score = np.stack([np.add.reduceat(v[:, k][symbols], begin) for k in range(states)], axis=1)
+    score *= SHARP / np.sqrt(np.add.reduceat(weight[symbols] ** 2, begin))[:, None]
+    post = np.exp(score - score.max(axis=1, keepdims=True))
+    return post / post.sum(axis=1, keepdims=True)
+
+
+def first_model(cut_up: DataFrame, counts, states: int = STATES) -> Model:
+    """States as parts of all segments; a state tends to stay."""
+    corpus = counts.value.symbol_count
+
+    def count(symbols, size):
+        post = first_parts(symbols, size, counts.value.symbol_count, states)
+        row = np.repeat(np.arange(len(size)), size)
+        yield np.stack([np.bincount(symbols, weights=post[row, k], minlength=SYMBOLS) for k in range(states)], axis=1)
+        yield post.sum(axis=0)
+
+    got = _summed(cut_up, SYMBOLS * states + states, count)
+    stay = np.full((states, states), 0.05 / max(states - 1, 1))
+    np.fill_diagonal(stay, 0.95)
+    # segments that are all alike part into equal states: symbols differ by themselves too
+    emitted = got[:-states].reshape(SYMBOLS, states) * np.exp(APART * _chance(states))
+    return replace(_normal(got[-states:], np.zeros((states, states)), emitted, corpus), move=stay / stay.sum(axis=1, keepdims=True))
+
+
+def baum_welch(cut_up: DataFrame, counts, model: Model) -> tuple[Model, float]:
+    """One iteration over all segments, and the log10 likelihood of the model before it; `counts` is a broadcast."""
+    k = len(model.start)
+    held = cut_up.sparkSession.sparkContext.broadcast(model)
+    moved = SYMBOLS * k + k * k
+    got = _summed(cut_up, moved + k + 1, lambda symbols, size: (lambda s, m, e, x: (e, m, s, x))(*both_ways(held.value, symbols, size)))
+    out = _normal(got[moved:-1], got[SYMBOLS * k : moved].reshape(k, k), got[: SYMBOLS * k].reshape(SYMBOLS, k), counts.value.symbol_count)
+    held.unpersist()
+    return out, float(got[-1])
 
-    def run(batches):
-        c = counts.value
-        for b in batches:
-            rows = []
-            for _, _, t in read(b.column("text"), 1 << 21):
-                symbols, size = sequences(c.symbols(t, c.find(t.hash)), t.first)
-                rows += [x.astype("<i4").tobytes() for x in np.split(symbols, np.cumsum(size)[:-1])]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], ["symbols"])
 
-    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    few = plain.filter(_SHORT).filter(number < int((1 << 30) * min(1.0, 3 * SAMPLE_ROWS / max(rows, 1)))).orderBy(number, "doc_id", "text").limit(SAMPLE_ROWS)
-    return [np.frombuffer(r.symbols, "<i4").astype(np.int64) for r in few.select("text").mapInArrow(run, "symbols binary").collect()]
+def train(cut_up: DataFrame, counts, states: int = STATES, least_gain: float = LEAST_GAIN) -> Model:
+    """Iterations until one gains less than least_gain a token: likelihoods are at most 1, so they end."""
+    model, last = first_model(cut_up, counts, states), -np.inf
+    while True:
+        model, like = baum_welch(cut_up, counts, model)
+        like /= max(counts.value.tokens, 1)
+        if like - last < least_gain:
+            return model
+        last = like
 
 
-def score_documents(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS) -> DataFrame:
+def score_documents(docs: DataFrame, states: int = STATES, least_gain: float = LEAST_GAIN) -> DataFrame:
     """docs(doc_id, text, ...) to (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row.
 
     Rows whose crc32(doc_id as text) mod 5 is 1 are held out, all others train. Null texts count as empty: one token, the
@@ -322,19 +366,16 @@ def score_documents(docs: DataFrame, states: int = STATES, iterations: int = ITE
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     training = plain.filter(TRAINED)
     table = cut(word_counts(training.select("text")))
-    n = training.agg(F.count("*").alias("all"), F.count(F.when(F.expr(_SHORT), 1)).alias("short")).first()
-    counts = Counts.of(table, n.all)
+    counts = Counts.of(table, training.count())
     shared = spark.sparkContext.broadcast(counts)
-    model = first_model(_sample(training, n.short, shared), counts.symbol_count, states)
-    for _ in range(iterations):
-        model = baum_welch(training, shared, model)
+    model = train(cut(segments(training, shared)), shared, states, least_gain)
     held = spark.sparkContext.broadcast(replace(model, emit=np.ascontiguousarray(model.emit)))
     names = ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "word", "cls", "n"]
 
     def run(batches):
         c, m = shared.value, held.value
         for b in batches:
-            for lo, hi, t in read(b.column("text"), 1 << 23):
+            for lo, hi, t in read(b.column("text"), 1 << 21):
                 at = c.find(t.hash)
                 row = np.repeat(np.arange(hi - lo), np.diff(t.first))
                 known = at >= 0
