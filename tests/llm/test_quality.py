@@ -61,3 +61,22 @@ def test_documents(spark, documents):
     assert sorted(((x[0], *x[1:6], x[7]) for x in got), key=str) == sorted(((d, *brute(t)) for d, t in rows), key=str)
     assert all(not (x[8] and x[7]) for x in got)
     assert quality_rules(df.limit(0)).count() == 0
+
+
+def test_method_rejects_what_the_base_passes(spark):
+    fresh = iter(f"w{i}" for i in range(100_000))
+    some = lambda n: [next(fresh) for _ in range(n)]
+    passage = some(1400)
+    short = [some(10) for _ in range(6)]
+    texts = [
+        passage + some(3600) + passage + some(3600),  # long repeat, 28 % covered
+        passage[:51] + some(5000) + passage[:51],  # long repeat, 2 % covered
+        [w for s in short for w in s + some(36)] + [w for s in short for w in s + some(36)],  # 10-word repeats, 22 % covered
+        passage[:50] + some(5000) + passage[:50],
+        [w for s in short for w in s + some(45)] + [w for s in short for w in s + some(45)],  # 10-word repeats, 18 % covered
+    ]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    got = sorted(quality_rules(df).collect())
+    assert not any(r.base_failed for r in got)
+    assert [r.longest_repeat for r in got] == [1400, 51, 10, 50, 10]
+    assert [r.kept for r in got] == [False, False, False, True, True]

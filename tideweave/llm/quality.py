@@ -18,10 +18,10 @@ from .textkit import SPACE, grams, pieces, span_sums, words
 WINDOW = 8
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-#: A text is kept if repeats cover at most this share of its words,
-COVERED = 0.3
-#: and its longest repeat at most this share, or this many words.
-LONGEST_SHARE, LONGEST_WORDS = 0.25, 60
+#: A text that passes the base (repeats cover at most 30 %) is kept if they cover at most this share of its words,
+COVERED = 0.2
+#: and its longest repeat has at most this many, however long the text.
+LONGEST_WORDS = 50
 
 
 def suffix_array(word: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -95,7 +95,7 @@ def _judge(batches):
                     full = [x for x in text.split(b"\n") if x.strip()]
                     lines[i] = len(full) - len(set(full))
             failed = (n_words < 20) | (100 * repeated > 30 * n_words)
-            bad = (repeated > COVERED * n_words) | (longest > np.maximum(LONGEST_WORDS, LONGEST_SHARE * n_words))
+            bad = (repeated > COVERED * n_words) | (longest > LONGEST_WORDS)
             cols = [n_words, chars, symbols, lines, repeated, longest, failed, ~(failed | bad)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), *map(pa.array, cols)], NAMES)
 
