@@ -255,6 +255,12 @@ union all select 2, window_start, a_long1, count(*)::double from ({_triples(DAY,
         f"y as (select *, {IN_FIFTH.format(x='filter_attr')} as r from b order by ms, id limit 1500)",
         f"select least(x.r, y.r) as low, greatest(x.r, y.r) as high, count(*) as matches from x join y on x.pk = y.fk and abs(x.ms - y.ms) <= {SIZE} group by 1, 2",
     ),
+    "join_match_matrix_all": _with(
+        ENTITY,
+        f"x as (select *, {IN_FIFTH.format(x='filter_attr')} as r from a)",
+        f"y as (select *, {IN_FIFTH.format(x='filter_attr')} as r from b)",
+        f"select least(x.r, y.r) as low, greatest(x.r, y.r) as high, count(*) as matches from x join y on x.pk = y.fk and abs(x.ms - y.ms) <= {SIZE} group by 1, 2",
+    ),
     "split_stats": _with(
         ENTITY,
         MIX,

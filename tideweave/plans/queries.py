@@ -387,6 +387,12 @@ def join_match_matrix(spark, sf_dir):
     return S.match_matrix(a, b, ("a_pk", "b_fk"), ("a_ms", "b_ms"), SIZE, ("a_filter_attr", "b_filter_attr"), FIFTHS)
 
 
+@query
+def join_match_matrix_all(spark, sf_dir):
+    """Joined pairs per pair of ranges, from all rows of A and B."""
+    return S.match_matrix(_side(spark, sf_dir, "A"), _side(spark, sf_dir, "B"), ("a_pk", "b_fk"), ("a_ms", "b_ms"), SIZE, ("a_filter_attr", "b_filter_attr"), FIFTHS)
+
+
 @query
 def split_stats(spark, sf_dir):
     """Per query and ten days: rows of A that it selects, and its joined pairs."""
