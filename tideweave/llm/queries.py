@@ -67,4 +67,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("score")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_personal_data, op4_quality_rules, op5_sentencepiece, op6_ngram_jaccard_join, op7_hmm_scores, op8_language_id, op9_media_columns, op10_url_filter)}
+def op10_url_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), whole=True).drop("score")
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_personal_data, op4_quality_rules, op5_sentencepiece, op6_ngram_jaccard_join, op7_hmm_scores, op8_language_id, op9_media_columns, op10_url_filter, op10_url_filter_whole)}
