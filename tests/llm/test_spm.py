@@ -3,6 +3,7 @@ import random
 import struct
 
 import public_tokenizers as P
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -35,10 +36,36 @@ def test_documents(spark, documents):
     df = spark.createDataFrame([(a, b, "x", 1) for a, b in texts], "doc_id bigint, text string, ids string, n_tokens int")
     got = sorted((tuple(x) for x in encode_documents(df, MODEL).collect()), key=str)
     assert got == sorted(((a, *digest(b)) for a, b in texts), key=str)
-    assert OWN.differed == 0
     kept = encode_documents(df, MODEL, keep=("ids", "decoded")).filter("n_tokens = 2").first()
     assert kept.ids == [1, 2] and kept.decoded == ""
 
 
 def test_empty(spark):
     assert encode_documents(spark.createDataFrame([], "doc_id bigint, text string"), MODEL).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("abcdeinorst▁é\n界")), min_size=1, max_size=200), max_size=5))
+def test_arrays_and_heap_merge_alike(chunks):
+    ids, first = OWN.encode_chunks(chunks)
+    for c, a, b in zip(chunks, first, first[1:]):
+        want = []
+        for s in OWN.agenda(c):
+            want += [OWN.id[s]] if s in OWN.id else [int(OWN.byte[x]) for x in s.encode()]
+        assert ids[a:b].tolist() == want
+
+
+def test_difference_from_the_library_fails(monkeypatch):
+    other = Pieces(MODEL)
+    monkeypatch.setattr(other, "rank", other.rank[::-1].copy())
+    with pytest.raises(RuntimeError, match="differ from the library"):
+        other.encode(["internationalisation of the other words"])
+
+
+def test_words_are_forgotten(monkeypatch):
+    own = Pieces(MODEL)
+    monkeypatch.setattr("tideweave.llm.spm.CACHE_BYTES", 1000)
+    for i in range(20):
+        t = " ".join(f"w{i}x{j}" for j in range(10))
+        assert struct.unpack(f"<{len(own.encode([t])[0][0]) // 4}I", own.encode([t])[0][0]) == tuple(SP.encode(t, add_bos=True, add_eos=True))
+        assert len(own.word) <= 20

@@ -1,4 +1,4 @@
-"""Shared folder for tables that cut lineage."""
+"""Tables in the shared folder that cut lineage, and Arrow batches of bounded size."""
 
 from __future__ import annotations
 
@@ -7,11 +7,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch where the session sets no limit: 10,000 rows of long texts take hundreds of MB on both sides.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = str(4 << 20)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (local tests)."""
+    """The cluster's shared checkpoint folder. Where none is set, a temporary one in local mode; executors of a cluster
+    couldn't read the driver's, so there it is an error."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         got = tempfile.mkdtemp(prefix="tideweave-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got.rstrip("/")
@@ -23,3 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tideweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema), in batches of BATCH_BYTES unless the session has a limit of its own."""
+    if df.sparkSession.conf.get(BATCH, None) is None:
+        df.sparkSession.conf.set(BATCH, BATCH_BYTES)
+    return df.mapInArrow(run, schema)

@@ -1,10 +1,12 @@
-"""Encoding and decoding for merge-type (BPE) SentencePiece vocabularies.
+"""Encoding and decoding for merge-type (BPE) SentencePiece vocabularies with byte pieces.
 
 A text is cut where no vocabulary piece holds the two neighbouring characters side by side: no merge can cross such a
-place, so the parts are independent and can be cached. Each part is encoded by a score-ordered agenda of adjacent
-symbol pairs: the best-scored pair (leftmost among equals) merges first. Characters that end up outside the vocabulary
-become byte pieces. All words that are new in an Arrow batch are also encoded and decoded by the sentencepiece
-library in one call; a word on which the two differ takes the library's answer, and is counted.
+place, so the parts are independent. In each part the adjacent symbol pair of the best score (leftmost among equals)
+merges first, until no pair is a piece. The agenda of pairs is kept as arrays over all parts of an Arrow batch at once,
+one merge a part and step; the few long parts have a heap each. Characters outside the vocabulary become byte pieces.
+
+Words that are new to a worker are encoded by the agenda and by the sentencepiece library; if the two differ, the task
+fails. The ids of every whole text are decoded by the library.
 """
 
 from __future__ import annotations
@@ -13,18 +15,23 @@ import hashlib
 import re
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_arrow
+
 MARK = "▁"
-#: Words and parts that a task remembers; both caches start anew beyond this and end with the task, as its worker goes on
-#: to other work.
-CACHE = 400_000
+#: Bytes, about, of the words that a worker remembers. It starts anew beyond them: frequent words are soon back.
+CACHE_BYTES = 64 << 20
+#: Characters of the longest word that is remembered, and of the longest part that merges in arrays.
 LONGEST = 120
 CHUNKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_NEVER = np.iinfo(np.int32).max
+_PROBE = "a  b\tＡ ﬁ é é ½ ™\n 　x ​ "
 
 
 class Pieces:
@@ -34,29 +41,38 @@ class Pieces:
         import sentencepiece
 
         self.library = sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        n = sp.get_piece_size()
-        self.id, self.score, self.byte, self.inside = {}, {}, {}, set()
-        for i in range(n):
+        self.size = sp.get_piece_size()
+        self.id: dict[str, int] = {}
+        self.score: dict[str, float] = {}
+        self.byte = np.full(256, -1, np.int64)
+        for i in range(self.size):
             piece = sp.id_to_piece(i)
             if sp.is_byte(i):
                 self.byte[int(piece[3:5], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i)):
                 self.id[piece], self.score[piece] = i, -sp.get_score(i)
-                self.inside.update(map("".join, zip(piece, piece[1:])))
-        self.unknown = sp.unk_id()
+        if (self.byte < 0).any() or any(MARK in p.lstrip(MARK) for p in self.id) or sp.normalize(_PROBE) != MARK + _PROBE.replace(" ", MARK):
+            raise ValueError(f"{model}: needs byte pieces, no mark inside pieces and texts as they are")
+        self.by_line = not any("\n" in p for p in self.id)
         self.begin, self.end = (np.array([i], "<u4").tobytes() for i in (sp.bos_id(), sp.eos_id()))
-        self.part: dict[str, bytes] = {}
+        # symbols are pieces, and characters that occur in pieces only
+        symbol = dict(self.id)
+        for c in sorted(set("".join(self.id))):
+            symbol.setdefault(c, self.size + len(symbol))
+        self.char = np.full(0x110000, -1, np.int64)
+        for c, i in symbol.items():
+            if len(c) == 1:
+                self.char[ord(c)] = i
+        self.wide = max(symbol.values()) + 1
+        rank = dict(zip(sorted(set(self.score.values())), range(len(self.score))))
+        pairs = [(symbol[p[:i]] * self.wide + symbol[p[i:]], rank[self.score[p]], n) for p, n in self.id.items() for i in range(1, len(p)) if p[:i] in symbol and p[i:] in symbol]
+        self.pair, self.rank, self.merged = np.array(sorted(pairs), np.int64).reshape(-1, 3).T.copy()
+        self.inside = np.unique(np.array([ord(a) << 21 | ord(b) for p in self.id for a, b in zip(p, p[1:])], np.int64))
         self.word: dict[str, bytes] = {}
-        self.odd: set[str] = set()
-        self.differed = 0
-
-    def forget(self) -> None:
-        self.part.clear()
-        self.word.clear()
-        self.odd.clear()
+        self.held = 0
 
     def agenda(self, text: str) -> list[str]:
-        """Symbols of a text after all merges."""
+        """Symbols of a text after all merges, by a heap."""
         symbol, score = list(text), self.score
         n = len(symbol)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
@@ -77,40 +93,89 @@ class Pieces:
                 heappush(queue, (score[p], k, i, len(p)))
         return [s for s in symbol if s]
 
-    def encode_part(self, text: str) -> bytes:
-        got = self.part.get(text)
-        if got is None:
-            out: list[int] = []
-            for s in self.agenda(text) if len(text) > 1 else text:
-                i = self.id.get(s)
-                if i is not None:
-                    out.append(i)
-                elif self.byte:
-                    out.extend(self.byte[x] for x in s.encode())
-                else:
-                    out.append(self.unknown)
-            got = np.array(out, "<u4").tobytes()
-            if len(text) <= LONGEST:
-                if len(self.part) >= CACHE:
-                    self.part.clear()
-                self.part[text] = got
-        return got
-
-    def encode_chunk(self, text: str) -> bytes:
-        """Ids of a run of characters as little-endian 32-bit integers."""
-        inside, parts, start = self.inside, [], 0
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in inside:
-                parts.append(text[start:i])
-                start = i
-        parts.append(text[start:])
-        return b"".join(map(self.encode_part, parts))
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair of symbols and the piece that it makes; _NEVER and -1 if it makes none."""
+        if not len(self.pair):
+            return np.full(len(a), _NEVER), np.full(len(a), -1)
+        key = np.where((a >= 0) & (b >= 0), a * self.wide + b, -1)
+        at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
+        hit = self.pair[at] == key
+        return np.where(hit, self.rank[at], _NEVER), np.where(hit, self.merged[at], -1)
 
-    @staticmethod
-    def keys(text: str) -> list[str]:
+    def _merge(self, symbol: np.ndarray, alive: np.ndarray, place: np.ndarray, part: np.ndarray) -> None:
+        """Merges in all parts at once: each step takes every open part's best pair. `place` are the characters of the
+        parts, in order, `part` the number of each one's part; results go to symbol and alive."""
+        s = symbol[place]
+        follows = lambda at: np.append(part[1:] == part[:-1], False)[at]
+        rank, made = np.full(len(s), _NEVER), np.full(len(s), -1)
+        rank[:-1], made[:-1] = self._pairs(s[:-1], s[1:])
+        rank[~follows(slice(None))] = _NEVER
+        while len(s):
+            start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+            best = np.minimum.reduceat(rank, start)
+            size = np.diff(np.append(start, len(s)))
+            if (best == _NEVER).any():
+                going = np.repeat(best != _NEVER, size)
+                symbol[place[~going]] = s[~going]
+                s, place, part, rank, made = s[going], place[going], part[going], rank[going], made[going]
+                best, size = best[best != _NEVER], size[best != _NEVER]
+                if not len(s):
+                    return
+            at = np.flatnonzero(rank == np.repeat(best, size))
+            at = at[np.append(True, part[at[1:]] != part[at[:-1]])]  # the leftmost of each part
+            s[at] = made[at]
+            alive[place[at + 1]] = False
+            stays = np.ones(len(s), bool)
+            stays[at + 1] = False
+            s, place, part, rank, made = s[stays], place[stays], part[stays], rank[stays], made[stays]
+            at -= np.arange(len(at))
+            changed = np.concatenate([at, at[at > 0] - 1])
+            rank[changed], made[changed] = _NEVER, -1
+            changed = changed[follows(changed)]
+            rank[changed], made[changed] = self._pairs(s[changed], s[changed + 1])
+
+    def encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all chunks (none empty), one after another, and where each chunk's ids begin (one more at the end)."""
+        if not chunks:
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        text = "".join(chunks)
+        code = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        symbol, alive = self.char[code], np.ones(len(code), bool)
+        begins = np.zeros(len(code), bool)
+        begins[np.cumsum(size) - size] = True
+        if len(self.inside):
+            key = code[:-1] << 21 | code[1:]
+            at = np.minimum(np.searchsorted(self.inside, key), len(self.inside) - 1)
+            begins[1:] |= self.inside[at] != key
+        else:
+            begins[:] = True
+        start = np.flatnonzero(begins)
+        length = np.diff(np.append(start, len(code)))
+        place = np.flatnonzero(np.repeat((length > 1) & (length <= LONGEST), length))
+        if len(place):
+            self._merge(symbol, alive, place, (np.cumsum(begins) - 1)[place])
+        for a, n in zip(start[length > LONGEST].tolist(), length[length > LONGEST].tolist()):
+            alive[a : a + n] = False
+            for piece in self.agenda(text[a : a + n]):
+                alive[a], symbol[a] = True, self.id.get(piece, -1)
+                a += len(piece)
+        chunk = np.repeat(np.arange(len(chunks)), size)[alive]
+        symbol, code = symbol[alive], code[alive]
+        odd = (symbol < 0) | (symbol >= self.size)
+        if not odd.any():
+            return symbol.astype("<u4"), np.concatenate([[0], np.cumsum(np.bincount(chunk, minlength=len(chunks)))])
+        n = np.where(odd, 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF), 1)
+        ids = np.repeat(symbol, n)
+        ids[np.repeat(odd, n)] = self.byte[np.frombuffer(code[odd].astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)]
+        return ids.astype("<u4"), np.concatenate([[0], np.cumsum(np.bincount(chunk, weights=n, minlength=len(chunks)).astype(np.int64))])
+
+    def keys(self, text: str) -> list[str]:
         """A text as words: a plain one has the mark before it, one that begins with a line feed hasn't; a chunk that begins with the mark stands for itself."""
         if text[:1] == " " or "  " in text or MARK in text:
             return [MARK + c for c in CHUNKS.findall(MARK + text.replace(" ", MARK))]
+        if not self.by_line:
+            return text.split(" ")
         out: list[str] = []
         for i, line in enumerate(text.split("\n")):
             w = line.split(" ")
@@ -120,63 +185,56 @@ class Pieces:
         return out
 
     @staticmethod
-    def chunk(key: str) -> str:
-        return key[1:] if key[:1] == MARK else key if key[:1] == "\n" else MARK + key
+    def chunk(key: str, by_line: bool = True) -> str:
+        return key[1:] if key[:1] == MARK else key if by_line and key[:1] == "\n" else MARK + key
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of new words, checked against the library; words whose decoding isn't the word itself are noted as odd."""
-        chunks = [self.chunk(k) for k in new]
-        ids = [self.encode_chunk(c) for c in chunks]
-        plain = [c.removeprefix(MARK).replace(MARK, " ") for c in chunks]
-        theirs = self.library.encode(plain, num_threads=1)
-        back = self.library.decode([np.frombuffer(x, "<u4").tolist() for x in ids], num_threads=1)
-        lone = np.frombuffer(self.encode_part(MARK), "<u4").tolist()
-        for i, (c, p, x) in enumerate(zip(chunks, plain, theirs, strict=True)):
-            if not p:
-                continue
-            if c[0] != MARK:
-                x = x[len(lone) :]
-            if (want := np.array(x, "<u4").tobytes()) != ids[i]:
-                ids[i] = want
-                self.differed += 1
-            if back[i] != p:
-                self.odd.add(new[i])
-        return dict(zip(new, ids, strict=True))
+        """Ids of new words, by the agenda; the library must have the same."""
+        chunks = [self.chunk(k, self.by_line) for k in new]
+        ids, first = self.encode_chunks(chunks)
+        # the library puts a mark before every text: it stands in the ids of a word that begins with the mark, and before those of any other
+        theirs = self.library.encode([c.removeprefix(MARK).replace(MARK, " ") for c in chunks], num_threads=1)
+        lone = self.encode_chunks([MARK])[0].tolist()
+        theirs = [x[len(lone) :] if c[0] != MARK else x or lone for c, x in zip(chunks, theirs, strict=True)]
+        n = np.fromiter(map(len, theirs), np.int64, len(theirs))
+        if not np.array_equal(n, np.diff(first)) or not np.array_equal(np.fromiter(chain.from_iterable(theirs), np.int64, int(n.sum())), ids):
+            raw = ids.tolist()
+            wrong = [k for k, a, b, x in zip(new, first[:-1], first[1:], theirs) if raw[a:b] != x]
+            raise RuntimeError(f"{len(wrong)} words of {len(new)} whose ids differ from the library's, such as {wrong[0][:200]!r}")
+        data, at = ids.tobytes(), (4 * first).tolist()
+        return {k: data[a:b] for k, a, b in zip(new, at, at[1:])}
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """(all ids with begin and end, decoded text) of each text."""
+        """(all ids with begin and end, text decoded from them) of each text."""
         keys = [self.keys(t) if t else [] for t in texts]
-        if len(self.word) >= CACHE:
-            self.word.clear()
-            self.odd.clear()
+        if self.held > CACHE_BYTES:
+            self.word, self.held = {}, 0
         known = self.word
         extra: dict[str, bytes] = {}
-        new = list({k for ks in keys for k in ks if k not in known})
+        new = list(set().union(*keys).difference(known))
         for i in range(0, len(new), 20_000):
             for k, v in self.learn(new[i : i + 20_000]).items():
-                (known if len(k) <= LONGEST else extra)[k] = v
-        out = []
-        for t, ks in zip(texts, keys, strict=True):
-            try:
-                body = b"".join(map(known.__getitem__, ks))
-            except KeyError:
-                body = b"".join(known[k] if k in known else extra[k] for k in ks)
-            ids = self.begin + body + self.end
-            if self.odd and not self.odd.isdisjoint(ks):
-                back = self.library.decode(np.frombuffer(ids, "<u4").tolist())
-            else:
-                back = t.replace(MARK, " ")
-            out.append((ids, back))
-        return out
+                if len(k) <= LONGEST:
+                    known[k] = v
+                    self.held += 200 + 4 * len(k)
+                else:
+                    extra[k] = v
+        if extra:
+            find = lambda k: known[k] if k in known else extra[k]
+        else:
+            find = known.__getitem__
+        ids = [self.begin + b"".join(map(find, ks)) + self.end for ks in keys]
+        decoded = self.library.decode([np.frombuffer(x, "<u4").tolist() for x in ids], num_threads=1) if ids else []
+        return list(zip(ids, decoded, strict=True))
 
 
 @lru_cache(2)
 def pieces(model: str) -> Pieces:
-    """One vocabulary per Python worker, with its caches."""
+    """One vocabulary per Python worker, with its words."""
     return Pieces(model)
 
 
-def _slices(texts, limit=1 << 22):
+def _slices(texts, limit=1 << 20):
     part, size = [], 0
     for t in texts:
         part.append(t)
@@ -193,22 +251,19 @@ def _run(model: str, keep: tuple[str, ...]):
 
     def run(batches):
         p = pieces(model)
-        try:
-            for b in batches:
-                lo = 0
-                for part in _slices([t or "" for t in b.column("text").to_pylist()]):
-                    got = p.encode(part)
-                    own = b.slice(lo, len(part))
-                    lo += len(part)
-                    cols = [pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i, _ in got]), pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in got])]
-                    if "ids" in keep:
-                        ends = np.cumsum([0] + [len(i) // 4 for i, _ in got])
-                        cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(i for i, _ in got), "<i4"))))
-                    if "decoded" in keep:
-                        cols.append(pa.array([d for _, d in got], pa.string()))
-                    yield pa.RecordBatch.from_arrays([own.column("doc_id"), *cols], ["doc_id", *names])
-        finally:
-            p.forget()
+        for b in batches:
+            lo = 0
+            for part in _slices([t or "" for t in b.column("text").to_pylist()]):
+                got = p.encode(part)
+                own = b.slice(lo, len(part))
+                lo += len(part)
+                cols = [pa.array([len(i) // 4 for i, _ in got], pa.int64()), pa.array([hashlib.sha256(i).hexdigest() for i, _ in got]), pa.array([hashlib.sha256(d.encode()).hexdigest() for _, d in got])]
+                if "ids" in keep:
+                    ends = np.cumsum([0] + [len(i) // 4 for i, _ in got])
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(i for i, _ in got), "<i4"))))
+                if "decoded" in keep:
+                    cols.append(pa.array([d for _, d in got], pa.string()))
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), *cols], ["doc_id", *names])
 
     return run
 
@@ -217,7 +272,9 @@ def encode_documents(docs: DataFrame, model: str, keep: tuple[str, ...] = ()) ->
     """docs(doc_id bigint, text string, ...) to (doc_id, n_tokens, ids_sha256, decoded_sha256), with `keep` also its columns of ids and decoded.
 
     `model` is a path that every executor can open. Null texts count as empty (begin and end ids only). Repeated rows
-    give repeated results; other columns are ignored, so their names can't clash. An empty table gives no rows.
+    give repeated results; other columns are ignored, so their names can't clash. An empty table gives no rows. A text of
+    any length is encoded whole, by one task in memory; pairs of equal score merge from the left.
     """
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if "ids" in keep else "") + (", decoded string" if "decoded" in keep else "")
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_run(model, keep), schema)
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_arrow(plain, _run(model, keep), schema)
