@@ -7,8 +7,10 @@ words never seen in training share what the discount leaves, as one type per cla
 Each iteration counts expected emissions, transitions and starts in every partition, and the sums alone reach the
 driver: STATES x symbols numbers, whatever the corpus. States start from all training rows too: seeded projections of a
 segment's symbols part the segments among them. Iterations end when they gain less than LEAST_GAIN a token. Training
-cuts long texts into segments of SEGMENT tokens, so that memory is bounded, and writes their symbols once; scoring runs
-the scaled forward recursion over whole texts.
+cuts long texts into segments of SEGMENT tokens, so that memory is bounded, and writes their symbols once. A segment has
+CONTEXT tokens of its text on either side, which lead the recursions in and out but aren't counted: every token and every
+transition of a text is counted once, starts at the starts of texts alone. Scoring runs the scaled forward recursion
+over whole texts.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .shared import cut
+from .shared import cut, map_arrow
 from .textkit import FOLDED, mix, pieces, words
 
 STATES = 8
@@ -34,14 +36,15 @@ END = TOP + CLASSES
 SYMBOLS = TOP + CLASSES + 1
 #: log10 likelihood a training token by which an iteration must better the one before it.
 LEAST_GAIN = 0.002
-SEGMENT = 512
+SEGMENT, CONTEXT = 512, 32
 #: Of the first responsibilities: how sharply projections part segments, and how far a state's symbols differ by themselves.
 SHARP, APART = 4.0, 0.5
 DISCOUNT = 0.7
 #: Observations that the corpus-wide distribution counts for in a state's emissions.
 PRIOR = 200.0
 TRAINED = "crc32(cast(coalesce(cast(doc_id as string), '') as binary)) % 5 <> 1"
-_FLUSH = 1_500_000
+#: Words that a counting task merges at once, and tokens that score together.
+MERGED, SCORED = 1_000_000, 1_000_000
 
 
 @dataclass
@@ -53,7 +56,7 @@ class Text:
     first: np.ndarray
 
 
-def read(column, limit: int) -> Iterator[tuple[int, int, Text]]:
+def read(column, limit: int = 1 << 20) -> Iterator[tuple[int, int, Text]]:
     for lo, hi, off, data in pieces(column, limit):
         w = words(off, data)
         last = FOLDED[data[w.end - 1]]
@@ -63,29 +66,45 @@ def read(column, limit: int) -> Iterator[tuple[int, int, Text]]:
         yield lo, hi, Text(w.hash.view(np.int64), cls, w.first)
 
 
-def _merged(h, c, n):
-    """Distinct (hash, class) with summed counts; a word has one class, so the hash decides."""
-    u, at, inv = np.unique(h, return_index=True, return_inverse=True)
-    return u, c[at], np.bincount(inv, weights=n, minlength=len(u)).astype(np.int64)
+def _merged(parts):
+    """Distinct (hash, class, count) of several such tables; a word has one class, so the hash decides."""
+    h, c, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    return h[first], c[order[first]], np.add.reduceat(n[order], first) if len(h) else n
 
 
 def word_counts(plain: DataFrame) -> DataFrame:
     """(word, cls, n) of all training words, summed in each task before the shuffle."""
 
     def run(batches):
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
         out = lambda x: pa.RecordBatch.from_arrays([pa.array(a) for a in x], ["word", "cls", "n"])
+        held, waiting = [], 0
         for b in batches:
-            for _, _, t in read(b.column("text"), 1 << 21):
-                new = _merged(t.hash, t.cls, np.ones(len(t.hash)))
-                held = _merged(*(np.concatenate(x) for x in zip(held, new, strict=True)))
-                if len(held[0]) > _FLUSH:
-                    yield out(held)
-                    held = tuple(x[:0] for x in held)
-        if len(held[0]):
-            yield out(held)
-
-    return plain.mapInArrow(run, "word bigint, cls int, n bigint").groupBy("word", "cls").agg(F.sum("n").alias("n"))
+            for _, _, t in read(b.column("text")):
+                held.append(_merged([(t.hash, t.cls, np.ones(len(t.hash), np.int64))]))
+                waiting += len(held[-1][0])
+                if waiting > MERGED:
+                    held = [_merged(held)]
+                    waiting = len(held[0][0])
+                    if waiting > MERGED // 2:
+                        yield out(held.pop())
+                        waiting = 0
+        if held:
+            yield out(_merged(held))
+
+    return map_arrow(plain, run, "word bigint, cls int, n bigint").groupBy("word", "cls").agg(F.sum("n").alias("n"))
+
+
+def _cut(groups, room: int) -> tuple[int, int]:
+    """The first group, by `at`, with which the rows exceed `room` (else the last), and the room before it."""
+    at, before = 0, room
+    for r in groups.agg(F.count("*").alias("v")).orderBy("at").collect():
+        at, before, room = r["at"], room, room - r["v"]
+        if room < 0:
+            break
+    return at, before
 
 
 @dataclass
@@ -105,17 +124,15 @@ class Counts:
     @classmethod
     def of(cls, counts: DataFrame, ends: int) -> Counts:
         total = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-        # the least count that at most KNOWN words reach, in steps of a 32nd of a doubling: those words alone are gathered
-        level = F.floor(F.log2("n") * 32).cast("int")
-        steps = counts.groupBy(level.alias("level")).agg(F.count("*").alias("v")).orderBy(F.desc("level")).collect()
-        least, held = 1 << 30, 0
-        for r in steps:
-            held += r.v
-            if held > KNOWN:
-                break
-            least = r.level
-        top = counts.filter(level >= least).select("word", "cls", "n").toArrow()
-        hashed, c, n = (top.column(i).to_numpy() for i in range(3))
+        # words by count, in steps of a 32nd of a doubling; within the step that KNOWN ends in, by 4,096 ranges of hashes:
+        # what is gathered exceeds KNOWN by one such range at most, and the cut is by count and hash
+        level, part = F.floor(F.log2("n") * 32).cast("int"), F.shiftright("word", 52).cast("int")
+        least, room = _cut(counts.groupBy((-level).alias("at")), KNOWN)
+        last, _ = _cut(counts.filter(level == -least).groupBy(part.alias("at")), room)
+        top = counts.filter((level > -least) | ((level == -least) & (part <= last))).select("word", "cls", "n", level.alias("level")).toArrow()
+        hashed, c, n, step = (top.column(i).to_numpy() for i in range(4))
+        order = np.lexsort((hashed, -step))[:KNOWN]
+        hashed, c, n = hashed[order], c[order], n[order]
         order = np.lexsort((hashed, -n))
         hashed, c, n = hashed[order], c[order], n[order]
         per = counts.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
@@ -206,12 +223,18 @@ def expected(m: Model, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarra
     return both_ways(m, symbols, size)[:3]
 
 
-def both_ways(m: Model, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """What expected() gives, and the sequences' log10 likelihood."""
+def both_ways(m: Model, symbols: np.ndarray, size: np.ndarray, lead: np.ndarray | None = None, tail: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """What expected() gives, and the sequences' log10 likelihood. The first `lead` and the last `tail` tokens of a
+    sequence, and transitions into them, aren't counted; nor is the start of one with a lead."""
     at, active = by_time(size)
     seen = symbols[at]
     k = len(m.start)
     low = np.concatenate([[0], np.cumsum(active)])
+    order = np.argsort(-size, kind="stable")
+    counted = np.ones(len(seen), bool)
+    if lead is not None:
+        t, rank = np.repeat(np.arange(len(active)), active), np.arange(len(seen)) - np.repeat(low[:-1], active)
+        counted = (t >= lead[order][rank]) & (t < (size - tail)[order][rank])
     alpha, scale = np.empty((len(seen), k)), np.empty(len(seen))
     for t, n in enumerate(active):
         a = (m.start if t == 0 else alpha[low[t - 1] : low[t - 1] + n] @ m.move) * m.emit[seen[low[t] : low[t] + n]]
@@ -226,21 +249,28 @@ def both_ways(m: Model, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarr
         back = np.ones((n, k))
         if len(beta):
             m1 = len(beta)
-            after = beta * m.emit[seen[low[t + 1] : low[t + 1] + m1]] / scale[low[t + 1] : low[t + 1] + m1, None]
-            moves += a[:m1].T @ after
+            span = slice(low[t + 1], low[t + 1] + m1)
+            after = beta * m.emit[seen[span]] / scale[span, None]
+            moves += (a[:m1] * counted[span, None]).T @ after
             back[:m1] = after @ m.move.T
         beta = back
         gamma[low[t] : low[t] + n] = a * back
+    gamma[~counted] = 0.0
     emitted = np.stack([np.bincount(seen, weights=gamma[:, i], minlength=SYMBOLS) for i in range(k)], axis=1)
-    return gamma[: active[0] if len(active) else 0].sum(axis=0), moves * m.move, emitted, float(np.log10(scale).sum())
+    return gamma[: active[0] if len(active) else 0].sum(axis=0), moves * m.move, emitted, float(np.log10(scale[counted]).sum())
 
 
-def _segments(size: np.ndarray) -> np.ndarray:
-    """Lengths of the same sequences cut after every SEGMENT tokens."""
+def segmented(size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences of these lengths, stored one after another, cut after every SEGMENT tokens: where each segment with its
+    context begins and ends, and how much of it is context before and after."""
     n = -(-size // SEGMENT)
-    out = np.full(int(n.sum()), SEGMENT, np.int64)
-    out[np.cumsum(n) - 1] = size - (n - 1) * SEGMENT
-    return out
+    text = np.repeat(np.arange(len(size)), n)
+    end = np.cumsum(size)
+    begin = (end - size)[text]
+    low = begin + SEGMENT * (np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n))
+    high = np.minimum(low + SEGMENT, end[text])
+    first, last = np.maximum(low - CONTEXT, begin), np.minimum(high + CONTEXT, end[text])
+    return first, last, low - first, last - high
 
 
 def _normal(start, moves, emitted, corpus) -> Model:
@@ -251,50 +281,55 @@ def _normal(start, moves, emitted, corpus) -> Model:
 
 
 def segments(training: DataFrame, counts) -> DataFrame:
-    """(symbols) of training(text): one row per segment, two bytes a symbol; `counts` is a broadcast."""
+    """(symbols, lead, tail) of training(text): one row per segment, two bytes a symbol, and its tokens of context;
+    `counts` is a broadcast."""
 
     def run(batches):
         c = counts.value
         for b in batches:
-            for _, _, t in read(b.column("text"), 1 << 21):
+            for _, _, t in read(b.column("text")):
                 symbols, size = sequences(c.symbols(t, c.find(t.hash)), t.first)
-                off = np.concatenate([[0], 2 * np.cumsum(_segments(size))]).astype(np.int32)
-                held = [None, pa.py_buffer(off.tobytes()), pa.py_buffer(symbols.astype("<u2").tobytes())]
-                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(off) - 1, held)], ["symbols"])
+                first, last, lead, tail = segmented(size)
+                held = np.concatenate([[0], np.cumsum(last - first)])
+                taken = np.repeat(first - held[:-1], last - first) + np.arange(held[-1])
+                buffers = [None, pa.py_buffer((2 * held).astype(np.int32).tobytes()), pa.py_buffer(symbols[taken].astype("<u2").tobytes())]
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), len(first), buffers), pa.array(lead, pa.int32()), pa.array(tail, pa.int32())], ["symbols", "lead", "tail"])
 
-    return training.select("text").mapInArrow(run, "symbols binary")
+    return map_arrow(training.select("text"), run, "symbols binary, lead int, tail int")
 
 
-def _stored(column, limit: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Symbols and lengths of segments(), about `limit` symbols at once."""
+def _stored(batch, limit: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Symbols, lengths and context of segments(), about `limit` symbols at once."""
+    column = batch.column("symbols")
     if not len(column):
         return
     _, off, data = column.buffers()
     off = np.frombuffer(off, np.int32)[column.offset : column.offset + len(column) + 1]
     seen = np.frombuffer(data, np.uint8)[off[0] : off[-1]].view("<u2")
+    lead, tail = (batch.column(c).to_numpy().astype(np.int64) for c in ("lead", "tail"))
     end, lo = (off - off[0]) // 2, 0
     while lo < len(column):
         hi = max(lo + 1, int(np.searchsorted(end, end[lo] + limit, "right")) - 1)
-        yield seen[end[lo] : end[hi]].astype(np.int64), np.diff(end[lo : hi + 1]).astype(np.int64)
+        yield seen[end[lo] : end[hi]].astype(np.int64), np.diff(end[lo : hi + 1]).astype(np.int64), lead[lo:hi], tail[lo:hi]
         lo = hi
 
 
 def _summed(cut_up: DataFrame, width: int, count) -> np.ndarray:
-    """Sums over all segments of the cells that count(symbols, size) gives."""
+    """Sums over all segments of the cells that count(symbols, size, lead, tail) gives."""
 
     def run(batches):
         cells = np.zeros(width)
         for b in batches:
-            for symbols, size in _stored(b.column("symbols")):
+            for stored in _stored(b):
                 at = 0
-                for x in count(symbols, size):
+                for x in count(*stored):
                     x = np.ravel(x)
                     cells[at : at + len(x)] += x
                     at += len(x)
         for i, v in sketch.chunks_of(cells):
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([v], pa.binary())], ["chunk", "cells"])
 
-    return sketch.summed(cut_up.mapInArrow(run, "chunk int, cells binary"), width, "float64")
+    return sketch.summed(map_arrow(cut_up, run, "chunk int, cells binary"), width, "float64")
 
 
 def _chance(states: int) -> np.ndarray:
@@ -319,11 +354,12 @@ def first_model(cut_up: DataFrame, counts, states: int = STATES) -> Model:
     """States as parts of all segments; a state tends to stay."""
     corpus = counts.value.symbol_count
 
-    def count(symbols, size):
+    def count(symbols, size, lead, tail):
         post = first_parts(symbols, size, counts.value.symbol_count, states)
-        row = np.repeat(np.arange(len(size)), size)
-        yield np.stack([np.bincount(symbols, weights=post[row, k], minlength=SYMBOLS) for k in range(states)], axis=1)
-        yield post.sum(axis=0)
+        row, at = np.repeat(np.arange(len(size)), size), np.arange(len(symbols)) - np.repeat(np.cumsum(size) - size, size)
+        own = (at >= lead[row]) & (at < (size - tail)[row])
+        yield np.stack([np.bincount(symbols[own], weights=post[row[own], k], minlength=SYMBOLS) for k in range(states)], axis=1)
+        yield post[lead == 0].sum(axis=0)
 
     got = _summed(cut_up, SYMBOLS * states + states, count)
     stay = np.full((states, states), 0.05 / max(states - 1, 1))
@@ -338,7 +374,12 @@ def baum_welch(cut_up: DataFrame, counts, model: Model) -> tuple[Model, float]:
     k = len(model.start)
     held = cut_up.sparkSession.sparkContext.broadcast(model)
     moved = SYMBOLS * k + k * k
-    got = _summed(cut_up, moved + k + 1, lambda symbols, size: (lambda s, m, e, x: (e, m, s, x))(*both_ways(held.value, symbols, size)))
+
+    def count(*stored):
+        start, moves, emitted, like = both_ways(held.value, *stored)
+        return emitted, moves, start, like
+
+    got = _summed(cut_up, moved + k + 1, count)
     out = _normal(got[moved:-1], got[SYMBOLS * k : moved].reshape(k, k), got[: SYMBOLS * k].reshape(SYMBOLS, k), counts.value.symbol_count)
     held.unpersist()
     return out, float(got[-1])
@@ -355,6 +396,48 @@ def train(cut_up: DataFrame, counts, states: int = STATES, least_gain: float = L
         last = like
 
 
+def _together(batches, c: Counts) -> Iterator[dict]:
+    """Columns, symbols and rare words of the batches' texts, about SCORED tokens at once: the recursion takes a step for
+    all texts together. `score` holds the shares of known words; `rare` has the words beyond the known ones, once per row."""
+    held: list[dict] = []
+    tokens = 0
+
+    def joined():
+        out = {k: np.concatenate([h[k] for h in held]) for k in held[0] if k not in ("rare", "doc_id")}
+        out["doc_id"] = pa.concat_arrays([h["doc_id"] for h in held])
+        out["rare"] = [h["rare"] for h in held]
+        held.clear()
+        return out
+
+    for b in batches:
+        for lo, hi, t in read(b.column("text")):
+            k = hi - lo
+            at = c.find(t.hash)
+            row = np.repeat(np.arange(k), np.diff(t.first))
+            known = at >= 0
+            n = c.number[np.maximum(at, 0)] if len(c.words) else np.zeros(len(at), np.int64)
+            rare = known & (c.symbol[np.maximum(at, 0)] < 0) if len(c.words) else known
+            symbols, size = sequences(c.symbols(t, at), t.first)
+            ids = b.column("row").slice(lo, k).to_numpy()
+            j = np.flatnonzero(~known)
+            j = j[np.lexsort((t.hash[j], row[j]))]
+            begin = np.flatnonzero(np.append(True, (t.hash[j][1:] != t.hash[j][:-1]) | (row[j][1:] != row[j][:-1]))) if len(j) else j
+            number, j = np.diff(np.append(begin, len(j))), j[begin]
+            held.append({
+                "row": ids, "doc_id": b.column("doc_id").slice(lo, k), "n_tokens": size, "symbols": symbols.astype(np.int32),
+                "n_known": np.bincount(row, weights=known, minlength=k).astype(np.int64) + (c.ends > 0),
+                "base_score": np.bincount(row, weights=np.where(known, c.base(n), 0.0), minlength=k) + c.base(c.ends),
+                "score": np.bincount(row[rare], weights=c.share(t.cls[rare], n[rare]), minlength=k),
+                "rare": (ids[row[j]], t.hash[j], t.cls[j], number),
+            })
+            tokens += len(symbols)
+            if tokens >= SCORED:
+                yield joined()
+                tokens = 0
+    if held:
+        yield joined()
+
+
 def score_documents(docs: DataFrame, states: int = STATES, least_gain: float = LEAST_GAIN) -> DataFrame:
     """docs(doc_id, text, ...) to (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row.
 
@@ -374,34 +457,16 @@ def score_documents(docs: DataFrame, states: int = STATES, least_gain: float = L
 
     def run(batches):
         c, m = shared.value, held.value
-        for b in batches:
-            for lo, hi, t in read(b.column("text"), 1 << 21):
-                at = c.find(t.hash)
-                row = np.repeat(np.arange(hi - lo), np.diff(t.first))
-                known = at >= 0
-                n = c.number[np.maximum(at, 0)] if len(c.words) else np.zeros(len(at), np.int64)
-                rare = known & (c.symbol[np.maximum(at, 0)] < 0) if len(c.words) else known
-                add = np.where(known, c.base(n), 0.0)
-                per = np.bincount(row, weights=add, minlength=hi - lo) + c.base(c.ends)
-                share = np.bincount(row[rare], weights=c.share(t.cls[rare], n[rare]), minlength=hi - lo)
-                symbols, size = sequences(c.symbols(t, at), t.first)
-                score = log_likelihood(m, symbols, size) + share
-                sure = np.bincount(row, weights=known, minlength=hi - lo).astype(np.int64) + (c.ends > 0)
-                ids = b.column("row").slice(lo, hi - lo)
-                k = hi - lo
-                yield pa.RecordBatch.from_arrays([ids, b.column("doc_id").slice(lo, k), pa.array(size), pa.array(sure), pa.array(per), pa.array(score), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names)
-                # words beyond the known ones: once per row and word
-                j = np.flatnonzero(~known)
-                if len(j):
-                    j = j[np.lexsort((t.hash[j], row[j]))]
-                    new = np.concatenate([[True], (t.hash[j][1:] != t.hash[j][:-1]) | (row[j][1:] != row[j][:-1])])
-                    begin = np.flatnonzero(new)
-                    number = np.diff(np.append(begin, len(j)))
-                    j = j[begin]
-                    k = len(j)
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[j])), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.nulls(k, pa.float64()), pa.array(t.hash[j]), pa.array(t.cls[j]), pa.array(number)], names)
-
-    seen = cut(plain.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double, word bigint, cls int, n bigint"))
+        for part in _together(batches, c):
+            n = len(part["row"])
+            score = log_likelihood(m, part.pop("symbols"), part["n_tokens"])
+            part["score"] = part["score"] + score
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (part[x] for x in names[:6])), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names)
+            for row, word, cls, number in part["rare"]:
+                n = len(row)
+                yield pa.RecordBatch.from_arrays([pa.array(row), *[pa.nulls(n, pa.int64())] * 3, *[pa.nulls(n, pa.float64())] * 2, *map(pa.array, (word, cls, number))], names)
+
+    seen = cut(map_arrow(plain.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text"), run, "row bigint, doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double, word bigint, cls int, n bigint"))
     rows, rare = seen.filter("word is null").drop("word", "cls", "n"), seen.filter("word is not null").select("row", "word", "cls", "n")
     rare = rare.join(table.select("word", F.col("n").alias("c")), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     size = spark.createDataFrame([(i, float(a), float(v)) for i, (a, v) in enumerate(zip(counts.class_tokens, counts.class_types))], "cls int, held double, types double")
