@@ -5,6 +5,7 @@ from collections import defaultdict
 import duckdb
 from pyspark.sql import functions as F
 
+from tideweave.llm import mixing
 from tideweave.llm.mixing import mix_sources, mixed
 from tideweave.llm.oracles import ORACLES
 
@@ -73,3 +74,38 @@ def test_mixed_keeps_columns(spark):
     assert got.columns == df.columns and got.filter("doc <> 'kept'").count() == 0
     assert set(map(tuple, got.drop("doc").collect())) <= set(rows)
     assert mixed(df.limit(0)).count() == 0
+
+
+def test_low_weights_spread(spark):
+    """Keys of texts full of symbols crowd at the far end of 1 - exp(-key); their ranges hold no more rows than others."""
+    rows = [(i, "a #$% b " + "@" * 40, "low") for i in range(20_000)] + [(i, "a b c", "high") for i in range(20_000, 30_000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    placed = mixing._mix(mixing.sized(df), 3, 64)
+    most = placed.groupBy("of", "coarse", "fine").count().groupBy("of").agg(F.max("count").alias("n"), F.count("*").alias("ranges")).collect()
+    assert {r.of for r in most} == {".low", ".high"} and all(r.n <= 100 and r.ranges > 200 for r in most)
+
+
+def test_one_document_many_times(spark):
+    rows = [(7, "a b c", "s")] * 5000 + [(None, "x y " * (i % 3), "s") for i in range(900)] + [(i, "w " * 5, "t") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mix_sources(df).collect()
+    assert len(got) == len(rows)
+    goal = shares({"s": 15_000 + 1800, "t": 1500})
+    for s, n in (("s", 16_800), ("t", 1500)):
+        assert abs(sum(r.taken for r in got if r.source_size == n) - goal[s]) <= 1
+    whole = mixed(df.filter("source = 's'").unionByName(df.filter("source = 't'"))).groupBy("source").count().collect()
+    assert {r.source for r in whole} <= {"s", "t"}
+
+
+def test_many_sources(spark):
+    rows = [(i, "w " * (1 + i % 9), f"source{i % 997:04d}") for i in range(6000)]
+    check(spark, rows)
+
+
+def test_mixed_tells_texts_apart(spark):
+    """A doc_id that stands on two texts of one size: each has its own number of copies."""
+    rows = [(i // 2, f"a b c {i}", "s") for i in range(400)] + [(1000 + i, "q " * 3, "t") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixed(df).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("words")).collect()
+    goal = shares({"s": 1600, "t": 150})
+    assert all(abs(r.words - goal[r.source]) <= 8 for r in got)
