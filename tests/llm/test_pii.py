@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 from hypothesis import example, given, settings
@@ -46,11 +47,11 @@ def test_em_learns_reliability():
     truth = r.random(20_000) < 0.4
     say = lambda good: np.where(r.random(len(truth)) < good, np.where(truth, 1, -1), np.where(truth, -1, 1))
     rows = np.stack([np.zeros(len(truth), int), say(0.95), say(0.8), say(0.5), say(0.7)], axis=1)
-    p, n = np.unique(rows, axis=0, return_counts=True)
+    p, n = np.unique(np.concatenate([rows, np.zeros((len(rows), 4), int)], axis=1), axis=0, return_counts=True)
     m = pii.fit(p, n)
     spread = m.reliability[:, 2] - m.reliability[:, 0]
     assert spread[0] > spread[1] > spread[3] > abs(spread[2])
-    right = np.array([m.accepts(x[0], tuple(x[1:])) for x in rows[:3000]]) == truth[:3000]
+    right = np.array([m.accepts(x[0], (*x[1:], 0, 0, 0, 0)) for x in rows[:3000]]) == truth[:3000]
     assert right.mean() > 0.93
 
 
@@ -83,3 +84,74 @@ def test_candidates(spark):
     assert len(extra) <= 0.01 * len(docs)
     assert pii.decided("order 4111 1111 1111 1112 x", m) == []
     assert [k for *_, k, _ in pii.decided("mail joe.doe (at) mail.example.com", m)] == [0]
+
+
+def test_many_spans_take_linear_time():
+    t = " ".join(f"a{i}@b{i}.com 1.2.3.{300 + i} joe{i} (at) x{i}.org" for i in range(7000))
+    began = time.perf_counter()
+    got = pii.spans_of(t)
+    assert len(got) == 21_000 and time.perf_counter() - began < 3
+
+
+def overlaps(t):
+    """spans_of by comparing each candidate with all spans before it."""
+    base, rest = [], []
+    for kind, a, b, valid in pii.shaped(t):
+        (base if valid else rest).append((a, b, pii.KINDS.index(kind)))
+    rest += [(m.start(), m.end(), 0) for m in pii.WRITTEN.finditer(t)] + [(m.start(), m.end(), 3) for m in pii.NATIONAL.finditer(t)]
+    held = list(base)
+    for s in sorted(rest, key=lambda s: (s[0], -s[1], s[2])):
+        if not any(s[0] < b and a < s[1] for a, b, _ in held):
+            held.append(s)
+    return sorted((a, k, b) for a, b, k in held)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["a@b.co", "555-123-4567", " ", "1.2.3.400", "joe (at) x.org", "+1 555 123 4567", "4111 1111 1111 1111", "4111 1111 1111 1112", "-", "x", "(at)"]), max_size=12))
+def test_overlaps(parts):
+    t = "".join(parts)
+    assert [(a, k, b) for a, b, k, *_ in pii.spans_of(t)] == overlaps(t)
+
+
+def test_classifier_sees_context(spark):
+    """The word before a span gets its weight from cases that the labelers decide."""
+    rows = []
+    for i in range(400):
+        n = f"{200 + i % 700}-{300 + i % 600}-{1000 + i}"
+        rows.append((i, f"telefon zentrale {n} x" if i % 2 else f"a lot /{n}/ x"))
+    m = pii.learn(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    weight = lambda w: m.weight[-pii.WORDS :][pii.traits(f"{w} 5", len(w) + 1, len(w) + 2)[3]]
+    assert weight("zentrale") > weight("lot")
+
+
+def test_spans_against_plain_models(spark, documents):
+    """spans of the query: base and candidate spans by brute force, decided by EM and a classifier written out again."""
+    extra = [(10_000 + i, f"call 555-{200 + i}-{1000 + i} now or joe{i} (at) mail{i}.org; order 1.2.3.{300 + i}") for i in range(60)]
+    rows = [(r.doc_id, r.text) for r in documents.collect()] + extra
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(df).collect()}
+    seen = [(d, s) for d, t in rows for s in pii.spans_of(t)]
+    x = np.array([[k, *v] for _, (_, _, k, _, v) in seen])
+    post, _ = pii.posteriors(x[:, 0], x[:, 1:5], np.ones(len(x)))
+    f = pii._features(x)
+    w, first = pii._first_weight(), pii._first_weight()
+    share = min(len(x), 1000.0) / len(x)
+    for _ in range(4000):  # plain gradient descent
+        w -= 0.004 * (f.T @ (share * (1 / (1 + np.exp(-f @ w)) - post)) + w - first)
+    sure = {d: [] for d, _ in rows}
+    close = 0
+    for (d, (a, b, k, base, _)), y in zip(seen, f @ w):
+        close += not base and abs(y) < 0.02
+        if base or y > 0:
+            sure[d].append(f"{pii.KINDS[k]}:{a}:{b}")
+    assert not close
+    assert {d: ",".join(s) for d, s in sure.items()} == got
+    assert sum(s.count(",") + (s != "") for s in got.values()) > sum(len(brute(t)) for _, t in rows)
+
+
+def test_masked_columns(spark):
+    df = spark.createDataFrame([(1, "a@b.co", None, 3), (2, None, 5, 4), (2, "", 0, 4), (2, "", 0, 4), (None, "x +1 234 567 8901", 1, None)], "doc_id bigint, text string, n_chars int, model int")
+    got = pii.without_personal_data(df)
+    assert got.schema == df.schema
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "<email>", None, 3), (2, None, 0, 4), (2, "", 0, 4), (2, "", 0, 4), (None, "x <phone>", 9, None)], key=str)
+    assert pii.without_personal_data(df.limit(0)).count() == 0

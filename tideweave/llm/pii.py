@@ -1,16 +1,19 @@
 """Personal data by weak supervision.
 
 Base patterns with checks give certain spans. Looser shapes (written-out addresses, national phone numbers, numbers that
-fail a check) are candidates. Four labelers vote on every span: the shape and its check, a gazetteer of known endings and
-prefixes, words before the span, and the characters beside it. Counts of the vote patterns over all texts, a bounded
-table, are summed by Spark; expectation-maximisation finds how reliable each labeler is, and a logistic classifier is
-trained on the resulting soft labels. It decides about the candidates; base spans always stay.
+fail a check) are candidates. Four labelers vote on every span: the shape and its check, gazetteers of endings, dialling
+codes and card issuers, words before the span, and the characters beside it. Counts of the vote patterns over all texts,
+a bounded table, are summed by Spark; expectation-maximisation finds how reliable each labeler is and gives each pattern
+a probability. On these a logistic classifier is trained, which also sees the span and its context: its length, what
+stands on either side and the word before it. It decides about the candidates; base spans always stay.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,17 +21,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_arrow
+
 KINDS = ("email", "ip", "card", "phone")
 # What labelers know.
-ENDINGS = {"com", "org", "net", "edu", "gov", "io", "co", "info", "biz", "de", "fr", "es", "it", "uk", "eu", "nl", "ch", "at", "us", "ca"}
-COUNTRIES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "94", "98", "351", "352", "353", "354", "358", "420", "421")
+#: Endings of hosts; any of two letters is a country's.
+ENDINGS = {"com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "aero", "coop", "museum", "jobs", "mobi", "travel", "tel", "cat", "asia", "post", "app", "dev", "cloud", "online", "site", "store", "shop", "tech", "blog", "news", "email", "mail", "web", "xyz", "top", "club", "live", "life", "world", "agency", "company", "group", "media", "network", "services", "solutions", "systems", "support", "team", "digital", "berlin", "hamburg", "wien", "paris", "london"}
+#: Dialling codes: of one digit, of two, and the first two digits of those of three.
+ONE, TWO, THREE = "17", ("20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"), ("21", "22", "23", "24", "25", "26", "29", "35", "37", "38", "42", "50", "59", "67", "68", "69", "80", "85", "87", "88", "96", "97", "99")
+#: Card issuers: first and last number of the leading digits, and how many digits a card has.
+ISSUERS = ((4, 4, (13, 16, 19)), (51, 55, (16,)), (2221, 2720, (16,)), (34, 34, (15,)), (37, 37, (15,)), (300, 305, (14, 16)), (3095, 3095, (14, 16)), (36, 36, (14, 19)), (38, 39, (14, 19)), (3528, 3589, (16, 19)), (6011, 6011, (16, 19)), (644, 649, (16, 19)), (65, 65, (16, 19)), (62, 62, (16, 17, 18, 19)), (50, 50, (16, 19)), (56, 58, (16, 19)), (67, 67, (16, 19)), (2200, 2204, (16,)))
+#: First parts of addresses that no host on the internet has.
+NO_HOST = {0, 127, *range(224, 256)}
 CONTEXT = {
-    "email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|write|correo|courriel|reach)\b"),
-    "ip": re.compile(r"(?i)\b(?:ip|host|server|address|client|login|from)\b"),
-    "card": re.compile(r"(?i)\b(?:card|visa|mastercard|amex|credit|payment|karte|tarjeta|carte)\b"),
-    "phone": re.compile(r"(?i)\b(?:phone|tel|call|mobile|cell|fax|telefon|m[oó]vil|t[eé]l[eé]phone)\b"),
+    "email": re.compile(r"(?i)\b(?:e-?mail|mail|contact|write|reach|address|adresse?|kontakt|schreiben|correo|direcci[oó]n|contacto|courriel|[eé]crire|contacter)\b"),
+    "ip": re.compile(r"(?i)\b(?:ip|ipv4|host|server|address|adresse?|client|login|from|peer|gateway|dns|ping|serveur|servidor|rechner)\b"),
+    "card": re.compile(r"(?i)\b(?:card|visa|mastercard|amex|discover|maestro|credit|debit|payment|pay|kreditkarte|karte|zahlung|tarjeta|pago|carte|paiement|cc)\b"),
+    "phone": re.compile(r"(?i)\b(?:phone|tel|call|mobile|cell|fax|hotline|dial|whatsapp|sms|telefon|handy|anrufen|m[oó]vil|tel[eé]fono|llamar|t[eé]l[eé]phone|portable|appeler)\b"),
 }
-AGAINST = re.compile(r"(?i)(?:\b(?:version|isbn|issn|order|invoice|sku|item|model|page|chapter)\b|[#=v])\W*$")
+AGAINST = re.compile(r"(?i)(?:\b(?:version|isbn|issn|order|invoice|sku|item|model|page|chapter|serial|part|build|release|bestellung|rechnung|pedido|factura|commande|facture|kapitel|seite)\b|[#=v])\W*$")
+#: Own features of the classifier: classes of length, of the character before and after, and buckets for the word before.
+LENGTHS, SIDES, WORDS = (8, 12, 20), 3, 16
 
 SIGNS = re.compile(r"[@+0-9]|[\[(] ?at ?[\])]", re.I)
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -76,27 +89,49 @@ def shaped(text: str):
                 yield "phone", m.start(), m.end(), n >= 10
 
 
+def issued(digits: str) -> bool:
+    """Whether some issuer has cards of this length and beginning."""
+    return any(len(digits) in sizes and lo <= int(digits[: len(str(lo))]) <= hi for lo, hi, sizes in ISSUERS)
+
+
 def votes(text: str, kind: str, start: int, end: int, shape: int) -> tuple[int, int, int, int]:
     """One vote of each labeler: 1 for, -1 against, 0 none."""
     span = text[start:end]
     if kind == "email":
-        listed = re.split(r"[^A-Za-z0-9-]+", span.rstrip(")]"))[-1].lower() in ENDINGS
+        ending = re.split(r"[^A-Za-z0-9-]+", span.rstrip(")]"))[-1].lower()
+        listed = ending in ENDINGS or (len(ending) == 2 and ending.isalpha())
     elif kind == "ip":
-        listed = span.split(".")[0].lstrip("0") not in ("", "127", "255")
+        first = span.split(".")[0].lstrip("0")[:4]
+        listed = int(first or 0) not in NO_HOST and len(first) < 4
     elif kind == "card":
-        listed = span[0] in "23456"
+        listed = issued(span.replace(" ", "").replace("-", ""))
     elif span[0] == "+":
-        listed = span[1:].replace(" ", "").startswith(COUNTRIES)
+        code = "".join(c for c in span[1:12] if c in "0123456789")
+        listed = code[0] in ONE or code[:2] in TWO or code[:2] in THREE
     else:
-        listed = re.sub(r"[^0-9]", "", span)[0] in "23456789"
+        digits = "".join(c for c in span if c in "0123456789")
+        listed = digits[0] in "23456789" and digits[1:3] != "11" and digits[3] in "23456789"
     before = text[max(0, start - 40) : start]
     context = -1 if AGAINST.search(before[-16:]) else 1 if CONTEXT[kind].search(before) else 0
     beside = text[start - 1 : start] + text[end : end + 1]
     return shape, 1 if listed else -1, context, -1 if any(c.isalnum() or c in "_/" for c in beside) else 1
 
 
+def side(c: str) -> int:
+    """0: a blank, a line's end or the text's; 1: a letter or digit; 2: anything else."""
+    return 0 if not c or c.isspace() else 1 if c.isalnum() else 2
+
+
+def traits(text: str, start: int, end: int) -> tuple[int, int, int, int]:
+    """What the classifier sees besides the votes: length, both sides, and the word before."""
+    word = re.findall(r"\w+", text[max(0, start - 24) : start])
+    seen = zlib.crc32(word[-1].lower().encode()) % (WORDS - 1) + 1 if word else 0
+    return sum(end - start > n for n in LENGTHS), side(text[start - 1 : start]), side(text[end : end + 1]), seen
+
+
 def spans_of(text: str) -> list[tuple[int, int, int, bool, tuple]]:
-    """(start, end, kind number, base, votes) of base spans and of candidates that overlap none."""
+    """(start, end, kind number, base, votes and traits) of base spans and of candidates that overlap none. Candidates
+    that overlap each other: the first, the longest of those that begin together."""
     if not text or not SIGNS.search(text):
         return []
     base, rest = [], []
@@ -104,17 +139,26 @@ def spans_of(text: str) -> list[tuple[int, int, int, bool, tuple]]:
         (base if valid else rest).append((a, b, KINDS.index(kind), valid))
     rest += [(m.start(), m.end(), 0, None) for m in WRITTEN.finditer(text)] + [(m.start(), m.end(), 3, None) for m in NATIONAL.finditer(text)]
     out = list(base)
-    held = sorted(base)
+    # the union of base spans as disjoint intervals, in order
+    starts, ends = [], []
+    for a, b, *_ in sorted(base):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    last = 0
     for s in sorted(rest, key=lambda s: (s[0], -s[1], s[2])):
-        if not any(s[0] < b and a < s[1] for a, b, *_ in held):
-            held.append(s)
+        i = bisect_left(starts, s[1]) - 1
+        if s[0] >= last and (i < 0 or ends[i] <= s[0]):
+            last = s[1]
             out.append(s)
-    return [(a, b, k, v is True, votes(text, KINDS[k], a, b, {True: 1, False: -1, None: 0}[v])) for a, b, k, v in sorted(out, key=lambda s: (s[0], s[2]))]
+    return [(a, b, k, v is True, votes(text, KINDS[k], a, b, {True: 1, False: -1, None: 0}[v]) + traits(text, a, b)) for a, b, k, v in sorted(out, key=lambda s: (s[0], s[2]))]
 
 
 @dataclass
 class Model:
-    """reliability: log odds of each labeler's votes; weight: the classifier on one-hot kinds and votes."""
+    """reliability: log odds of each labeler's votes; weight: the classifier on one-hot kinds, votes and traits."""
 
     reliability: np.ndarray
     weight: np.ndarray
@@ -124,18 +168,22 @@ class Model:
 
 
 def _features(p: np.ndarray) -> np.ndarray:
-    """One-hot kind, then one-hot vote of each labeler, then 1."""
-    return np.concatenate([np.eye(len(KINDS))[p[:, 0]], *(np.eye(3)[p[:, i] + 1] for i in range(1, 5)), np.ones((len(p), 1))], axis=1)
+    """One-hot kind, then one-hot vote of each labeler, then 1, then one-hot traits."""
+    sizes = (len(LENGTHS) + 1, SIDES, SIDES, WORDS)
+    return np.concatenate([np.eye(len(KINDS))[p[:, 0]], *(np.eye(3)[p[:, i] + 1] for i in range(1, 5)), np.ones((len(p), 1)), *(np.eye(n)[p[:, 5 + i]] for i, n in enumerate(sizes))], axis=1)
 
 
-def fit(patterns: np.ndarray, n: np.ndarray, rounds: int = 60) -> Model:
-    """EM over vote patterns (kind and four votes a row) that occurred n times, then the classifier on its posteriors."""
-    trust = np.array([3.0, 1.0, 1.0, 1.0])
-    if not len(patterns):
-        return Model(np.zeros((4, 3)), np.concatenate([np.zeros(len(KINDS)), *([-t, 0, t] for t in trust), [-1.0]]))
-    kind, vote = patterns[:, 0], patterns[:, 1:]
-    post = 1 / (1 + np.exp(1.0 - vote @ trust))
-    n = n.astype(float)
+def _first_weight() -> np.ndarray:
+    """The classifier before training: the labelers' initial trust, nothing on kinds and traits."""
+    return np.concatenate([np.zeros(len(KINDS)), *([-t, 0, t] for t in TRUST), [-1.0], np.zeros(len(LENGTHS) + 1 + 2 * SIDES + WORDS)])
+
+
+TRUST = np.array([3.0, 1.0, 1.0, 1.0])
+
+
+def posteriors(kind: np.ndarray, vote: np.ndarray, n: np.ndarray, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """EM over patterns (kind, four votes) that occurred n times: each one's probability, and the labelers' log odds."""
+    post = 1 / (1 + np.exp(1.0 - vote @ TRUST))
     odds = np.zeros((4, 3))
     for _ in range(rounds):
         prior = np.array([((n * post)[kind == k].sum() + 1) / (n[kind == k].sum() + 2) for k in range(len(KINDS))])
@@ -146,21 +194,31 @@ def fit(patterns: np.ndarray, n: np.ndarray, rounds: int = 60) -> Model:
                 odds[i, v] = np.log((yes[hit].sum() + 1) / (yes.sum() + 3)) - np.log((no[hit].sum() + 1) / (no.sum() + 3))
         logit = np.log(prior / (1 - prior))[kind] + sum(odds[i, vote[:, i] + 1] for i in range(4))
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    x, w = _features(patterns), np.zeros(len(KINDS) + 13)
+    return post, odds
+
+
+def fit(patterns: np.ndarray, n: np.ndarray) -> Model:
+    """EM over the vote patterns, then the classifier on its probabilities; a row of patterns is kind, votes and traits."""
+    if not len(patterns):
+        return Model(np.zeros((4, 3)), _first_weight())
+    n = n.astype(float)
+    post, odds = posteriors(patterns[:, 0], patterns[:, 1:5], n)
     # Newton steps with a ridge towards the labelers' initial trust
-    prior_w = np.concatenate([np.zeros(len(KINDS)), *([-t, 0, t] for t in trust), [-1.0]])
-    w = prior_w.copy()
+    x, first = _features(patterns), _first_weight()
+    w = first.copy()
     share = n / n.sum() * min(n.sum(), 1000.0)
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (share * (p - post)) + (w - prior_w)
+        grad = x.T @ (share * (p - post)) + (w - first)
         hess = (x * (share * p * (1 - p))[:, None]).T @ x + np.eye(len(w))
         w = w - np.linalg.solve(hess, grad)
     return Model(odds, w)
 
 
 def learn(docs: DataFrame) -> Model:
-    """Counts of vote patterns over all texts (at most kinds x 81 rows) and the model fitted to them."""
+    """Counts of patterns over all texts and the model fitted to them. There are kinds x 81 votes x 576 traits at most,
+    of which few occur together, however many texts there are."""
+    names = ["k", "v0", "v1", "v2", "v3", "t0", "t1", "t2", "t3"]
 
     def run(batches):
         seen: dict[tuple, int] = {}
@@ -169,11 +227,11 @@ def learn(docs: DataFrame) -> Model:
                 for _, _, k, _, v in spans_of(t):
                     seen[(k, *v)] = seen.get((k, *v), 0) + 1
         if seen:
-            yield pa.RecordBatch.from_arrays([*(pa.array([p[i] for p in seen], pa.int32()) for i in range(5)), pa.array(list(seen.values()), pa.int64())], ["k", "v0", "v1", "v2", "v3", "n"])
+            yield pa.RecordBatch.from_arrays([*(pa.array([p[i] for p in seen], pa.int32()) for i in range(9)), pa.array(list(seen.values()), pa.int64())], [*names, "n"])
 
-    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "k int, v0 int, v1 int, v2 int, v3 int, n bigint")
-    got = rows.groupBy("k", "v0", "v1", "v2", "v3").agg(F.sum("n").alias("n")).orderBy("k", "v0", "v1", "v2", "v3").collect()
-    return fit(np.array([r[:5] for r in got], int).reshape(-1, 5), np.array([r.n for r in got]))
+    rows = map_arrow(docs.select(F.col("text").cast("string").alias("text")), run, ", ".join(f"{x} int" for x in names) + ", n bigint")
+    got = rows.groupBy(*names).agg(F.sum("n").alias("n")).orderBy(*names).collect()
+    return fit(np.array([r[:9] for r in got], int).reshape(-1, 9), np.array([r.n for r in got]))
 
 
 def decided(text: str, model: Model) -> list[tuple[int, int, int, bool]]:
@@ -189,8 +247,10 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text, ...) to (doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans), one row per row of docs.
 
     Counts and base_sha256 are of base spans; spans has the accepted candidates too, as kind:start:end in code points.
-    Null and empty texts have none. Repeated rows count repeatedly and give repeated results; other columns are ignored,
-    so their names can't clash.
+    Null and empty texts have none; an empty table gives no rows. A text of any length is searched whole, in time that
+    grows in proportion to it but for a sort of its spans. Spans that begin together are in the order of kinds. Written-out
+    addresses have up to 64 characters before the sign and up to 63 in each part of the host, as mail allows. Repeated
+    rows count repeatedly and give repeated results; other columns are ignored, so their names can't clash.
     """
     model = docs.sparkSession.sparkContext.broadcast(learn(docs))
 
@@ -206,7 +266,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
+    return map_arrow(plain, run, "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string")
 
 
 def masked(text: str, spans) -> str:
@@ -220,17 +280,22 @@ def masked(text: str, spans) -> str:
 
 
 def without_personal_data(docs: DataFrame) -> DataFrame:
-    """docs with every found span of `text` masked, and `n_chars`, where there is such a column, set to the new length."""
+    """docs with every found span of `text` masked, and `n_chars`, where there is such a column, set to the new length.
+
+    Null texts, and null n_chars, stay null. Every row stays, repeated ones too; all other columns stay as they are,
+    whatever their names. An empty table gives no rows.
+    """
     model = docs.sparkSession.sparkContext.broadcast(learn(docs))
     at = docs.columns.index("text")
+    size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
         m = model.value
         for b in batches:
             texts = [t and masked(t, decided(t, m)) for t in b.column(at).to_pylist()]
+            if size is not None:
+                n = [old if old is None else 0 if t is None else len(t) for old, t in zip(b.column(size).to_pylist(), texts)]
+                b = b.set_column(size, b.schema.field(size), pa.array(n).cast(b.schema.field(size).type))
             yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
 
-    out = docs.mapInArrow(run, docs.schema)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out
+    return map_arrow(docs, run, docs.schema)
