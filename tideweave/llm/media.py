@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_arrow
+
 TOKEN = re.compile(rb"(?:\s|#[^\n]*\n)*([^\s#]+)")
 ROW = 64
 
@@ -82,12 +84,21 @@ def decode(data: bytes) -> np.ndarray:
     return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
 
 
-def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell's area; cells may cut pixels. The integral image is exact, its value between pixels linear."""
+def integral(pixels: np.ndarray) -> np.ndarray:
+    """Sums of the grey image over all rows above and columns before each corner."""
     x = pixels if pixels.ndim == 2 else pixels.mean(axis=2)
-    h, w = x.shape
-    total = np.zeros((h + 1, w + 1))
+    total = np.zeros((x.shape[0] + 1, x.shape[1] + 1))
     np.cumsum(np.cumsum(x, axis=0, dtype=np.float64), axis=1, out=total[1:, 1:])
+    return total
+
+
+def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
+    return reduced(integral(pixels), height, width)
+
+
+def reduced(total: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean over each target cell's area; cells may cut pixels. The integral image is exact, its value between pixels linear."""
+    h, w = total.shape[0] - 1, total.shape[1] - 1
 
     def at(n, cells):
         edge = np.arange(cells + 1) * n / cells
@@ -101,15 +112,15 @@ def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     return np.diff(np.diff(cells, axis=0), axis=1) / (h / height * w / width)
 
 
-def difference_hash(pixels: np.ndarray) -> str:
-    """64 bits: whether each cell of an 8 x 9 reduction is brighter than its right neighbour."""
-    small = np.floor(area_resize(pixels, 8, 9) * 1024 + 0.5)
+def difference_hash(pixels: np.ndarray, total: np.ndarray | None = None) -> str:
+    """64 bits: whether each cell of an 8 x 9 reduction is brighter than its right neighbour. `total`: the image's integral."""
+    small = np.floor(reduced(integral(pixels) if total is None else total, 8, 9) * 1024 + 0.5)
     return np.packbits(small[:, :-1] > small[:, 1:]).tobytes().hex()
 
 
-def npy_tile(pixels: np.ndarray, side: int) -> bytes:
+def npy_tile(pixels: np.ndarray, side: int, total: np.ndarray | None = None) -> bytes:
     out = io.BytesIO()
-    np.save(out, np.clip(np.floor(area_resize(pixels, side, side) + 0.5), 0, 255).astype(np.uint8))
+    np.save(out, np.clip(np.floor(reduced(integral(pixels) if total is None else total, side, side) + 0.5), 0, 255).astype(np.uint8))
     return out.getvalue()
 
 
@@ -123,8 +134,9 @@ def _text_media(side: int, keep: bool):
         stored = encode_pgm(np.frombuffer(raw.ljust(size, b"\0"), np.uint8).reshape(-1, ROW))
         pixels = decode(stored)
         payload = pixels.tobytes()
-        tile = npy_tile(pixels, side)
-        row = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(pixels), hashlib.sha256(tile).hexdigest())
+        total = integral(pixels)
+        tile = npy_tile(pixels, side, total)
+        row = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(pixels, total), hashlib.sha256(tile).hexdigest())
         return row + ((stored, tile) if keep else ())
 
     def run(batches):
@@ -142,11 +154,13 @@ def text_media(docs: DataFrame, side: int = 32, keep: bool = False) -> DataFrame
     """docs(doc_id, text, ...): each text's UTF-8 bytes, zero-padded to a positive multiple of 64, stored as rows of 64
     grey samples in a PGM image, read back, resized to a `side` x `side` NPY tile and hashed.
 
-    Null texts count as empty; equal texts give equal values; other columns are ignored. With `keep` the image and the
+    Null texts count as empty; equal texts give equal values, so repeated rows do too; an empty table gives no rows; other
+    columns are ignored, so their names can't clash. Neighbouring cells that are equally bright give bit 0. With `keep` the image and the
     tile are returned too. Memory is a few times the longest text.
     """
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, tile_sha256 string"
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_text_media(side, keep), schema + (", media binary, tile binary" if keep else ""))
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_arrow(plain, _text_media(side, keep), schema + (", media binary, tile binary" if keep else ""))
 
 
 def tiles_of_media(media: DataFrame, side: int = 32) -> DataFrame:
@@ -158,10 +172,11 @@ def tiles_of_media(media: DataFrame, side: int = 32) -> DataFrame:
             for x in b.column("media").to_pylist():
                 try:
                     p = decode(x)
-                    rows.append((p.shape[0], p.shape[1], difference_hash(p), npy_tile(p, side)))
+                    total = integral(p)
+                    rows.append((p.shape[0], p.shape[1], difference_hash(p, total), npy_tile(p, side, total)))
                 except (TypeError, ValueError, struct.error, IndexError):
                     rows.append((None, None, None, None))
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column("media_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], ["media_id", "height", "width", "feature", "tile"])
 
-    return media.select(F.col("media_id").cast("bigint").alias("media_id"), F.col("media").cast("binary").alias("media")).mapInArrow(run, "media_id bigint, height int, width int, feature string, tile binary")
+    return map_arrow(media.select(F.col("media_id").cast("bigint").alias("media_id"), F.col("media").cast("binary").alias("media")), run, "media_id bigint, height int, width int, feature string, tile binary")
