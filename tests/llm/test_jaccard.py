@@ -2,7 +2,7 @@ import random
 import re
 from itertools import combinations
 
-from tideweave.llm.jaccard import similar_groups
+from tideweave.llm.jaccard import one_of_each_group, similar_groups
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -57,6 +57,38 @@ def test_edges(spark):
         rows.append((100 + i, " ".join(w[r.randrange(0, 20) :])))
     assert run(spark, rows) == brute(rows)
     assert run(spark, rows, cells=64) == brute(rows)
+    assert run(spark, rows, cells=1 << 12, marked=-5) == brute(rows)
+
+
+def test_large_group_of_marked_shingles(spark, monkeypatch):
+    """Tiles of frequent shingles, in parts: near copies of one text, and others that share a passage of it."""
+    monkeypatch.setattr("tideweave.llm.jaccard.PART", 16)
+    r = random.Random(2)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(250):
+        w = list(base)
+        for _ in range(r.randrange(0, 4)):
+            w[r.randrange(len(w))] = f"z{r.randrange(10_000)}"
+        rows.append((1000 - i, " ".join(w)))
+    rows += [(2000 + i, " ".join(base[:60] + [f"q{i}x{j}" for j in range(40)])) for i in range(60)]
+    got = run(spark, rows, cells=1 << 12, marked=10)
+    assert got == brute(rows) == run(spark, rows)
+
+
+def test_one_of_each_group(spark):
+    t = "one two three four five six seven eight nine ten"
+    rows = [(None, t, 1, "x"), (None, t, 2, "x"), (None, t + " ", 3, "x"), (5, "quite " + t, 4, None), (5, "some other text that is long enough to have shingles", 5, "y"), (5, "some other text that is long enough to have shingles", 5, "y"), (None, "all alone with a null id of its own here", 6, "x"), (7, None, 7, "x"), (7, None, 7, "x"), (None, " ", 8, "x"), (9, "short", 9, "x"), (8, "short", 10, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, root int, print string")
+    got = one_of_each_group(df)
+    assert got.schema == df.schema
+    got = [tuple(x) for x in got.collect()]
+    assert set(got) <= set(rows)
+    groups = [x for x in got if x[1] and x[1].strip()]
+    assert len(groups) == 4 and {x[0] for x in groups} == {None, 5, 8}
+    assert [x[0] for x in groups if "eight nine ten" in x[1]] == [5]  # near copies, by null ids and one that is none
+    assert len(got) - len(groups) == 3
+    assert one_of_each_group(df.limit(0)).count() == 0
 
 
 def test_empty(spark):

@@ -8,7 +8,8 @@
    are as wide as the limit, so the pair meets in the larger one's band: each node is at home in its own band's tile
    and a guest in the next. A tile is a shingle and a band, with rows (node, size, rest); rest counts the node's
    shingles from this one on. At the first shingle that two sets share, the smaller rest bounds their overlap, and
-   with the sizes that bounds the pair: most pairs of a tile end there.
+   with the sizes that bounds the pair: most pairs of a tile end there. Tiles of marked shingles may hold a third of
+   all rows: they are aggregated before the shuffle and ordered by parts, never held by one task.
 4. Chains and stars first: each tile tries its nodes with a neighbour and with its centre, which takes linear work in
    large groups of near copies. Their components collapse; then tiles that still hold more than one component give all pairs across
    components, so no link that could join two components is lost.
@@ -27,13 +28,15 @@ from pyspark.sql import functions as F
 
 from . import sketch
 from .components import components
-from .shared import cut
+from .shared import cut, map_arrow
 from .textkit import grams, mix, pieces, words
 
 #: Cells of the sketch: 16 MB on the driver at 4 bytes, a 512 KB bitmap for the tasks.
 CELLS = 1 << 22
 WIDTH = 5
 NUM, DEN = 4, 5
+#: How far above the mean a cell is marked at least, and nodes in a part of a marked shingle's tile, about.
+MARKED, PART = 30, 4096
 
 
 def shingle_sets(column, width: int = WIDTH):
@@ -69,14 +72,14 @@ def _batch(names, arrays):
 
 
 def _fingerprint(width, cells):
-    names = ["doc_id", "n_shingles", "key", "bits", "chunk", "cells"]
+    names = ["doc_id", "print", "n_shingles", "key", "bits", "chunk", "cells"]
 
     def run(batches):
         counts = np.zeros(cells, np.uint32)
         seen: set[int] = set()
         for b in batches:
             sizes, keys, bits = [], [], []
-            for s in shingle_sets(b.column(1), width):
+            for s in shingle_sets(b.column("text"), width):
                 n = len(s)
                 key = key_of(s) if n else None
                 sizes.append(n)
@@ -89,9 +92,9 @@ def _fingerprint(width, cells):
                     bits[-1] = bitmap(s)
                     np.add.at(counts, (s & np.uint64(cells - 1)).astype(np.int64), 1)
             n = len(sizes)
-            yield _batch(names, [b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())])
+            yield _batch(names, [b.column("doc_id"), b.column("print"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())])
         for k, v in sketch.chunks_of(counts):
-            yield _batch(names, [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([v], pa.binary())])
+            yield _batch(names, [*[pa.nulls(1, pa.int64())] * 4, pa.nulls(1, pa.binary()), pa.array([k], pa.int32()), pa.array([v], pa.binary())])
 
     return run
 
@@ -124,7 +127,7 @@ def _tokens(width, num, den, cells, marked):
         flags = np.unpackbits(np.frombuffer(marked.value, np.uint8)).astype(bool)
         seen: set[int] = set()
         for b in batches:
-            token, node, size, rest = [], [], [], []
+            token, node, size, rest, marks = [], [], [], [], []
             for s in shingle_sets(b.column(0), width):
                 n = len(s)
                 if not n:
@@ -138,11 +141,12 @@ def _tokens(width, num, den, cells, marked):
                 outer = n - -(-num * n // den) + 1
                 heavy = flags[(s & np.uint64(cells - 1)).astype(np.int64)]
                 token.append(np.concatenate([s[~heavy], s[heavy]])[:outer] if heavy.any() else s[:outer])
+                marks.append(np.arange(outer) >= n - int(heavy.sum()))
                 node.append(np.full(outer, key, np.int64))
                 size.append(np.full(outer, n, np.int32))
                 rest.append(np.arange(n, n - outer, -1, dtype=np.int32))
             if token:
-                yield _batch(["token", "node", "size", "rest"], [pa.array(np.concatenate(token).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (node, size, rest))])
+                yield _batch(["token", "node", "size", "rest", "marked"], [pa.array(np.concatenate(token).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (node, size, rest, marks))])
 
     return run
 
@@ -187,31 +191,60 @@ def _arrays(width):
     return run
 
 
-def mark(counts: np.ndarray) -> np.ndarray:
-    """Cells far above the mean: more than five deviations and thirty."""
+def mark(counts: np.ndarray, least: int = MARKED) -> np.ndarray:
+    """Cells far above the mean: more than five deviations and `least`."""
     mean = counts.mean()
-    return counts > mean + 5 * mean**0.5 + 30
+    return counts > mean + 5 * mean**0.5 + least
 
 
-def similar_groups(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, cells: int = CELLS) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, cells: int = CELLS, marked: int = MARKED) -> DataFrame:
     """docs(doc_id bigint, text string, ...) to (doc_id, n_shingles, component_id), one row per row of docs.
 
     Two rows link when |A and B| / |A or B| >= num/den over sets of `width`-word shingles of the text with A-Z
     lower-cased; a shorter text is one shingle. Null, empty or blank texts have size 0 and link with nothing: their
     component is their own doc_id. component_id is the smallest doc_id that links reach; a null doc_id is never the
-    smallest. Repeated rows stay and share a component. Other columns are ignored, so their names can't clash.
+    smallest. Repeated rows stay and share a component. A text of any length is one set in one task; an empty table gives
+    no rows. Other columns are ignored, so their names can't clash.
     """
+    prints, nodes = _nodes(docs, width, num, den, cells, marked)
+    named = nodes.select(F.col("node").alias("key"), "component_id")
+    keyed = prints.filter("key is not null").join(named, "key").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return keyed.unionByName(prints.filter("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """One row of docs for each group of linked texts: the one of the smallest doc_id (null last), then of the smallest
+    text hash; of rows that agree in both, one. Rows without words link with nothing and all stay. Columns stay as they
+    are, whatever their names; an empty table gives no rows.
+    """
+    prints, nodes = _nodes(docs, WIDTH, NUM, DEN, CELLS, MARKED)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "print")).alias("first")
+    keep = prints.filter("key is not null").join(nodes.select(F.col("node").alias("key"), "root"), "key").groupBy("root").agg(first)
+    keep = keep.select("first.*").unionByName(prints.filter("key is null").select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "print").distinct())
+    id_ = F.col("doc_id").cast("bigint")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("id"), _print().alias("print"), F.rlike(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]")).alias("worded"))
+    rows = rows.join(keep, ["none", "id", "print"], "left_semi")
+    one = rows.filter("worded").groupBy("none", "id", "print").agg(F.first("doc").alias("doc")).select("doc.*")
+    return one.unionByName(rows.filter("not worded").select("doc.*"))
+
+
+def _print():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def _nodes(docs: DataFrame, width, num, den, cells, least) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, print, n_shingles, key) of each row, and (node, root, component_id) of each key."""
     spark = docs.sparkSession
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = cut(plain.mapInArrow(_fingerprint(width, cells), "doc_id bigint, n_shingles bigint, key bigint, bits binary, chunk int, cells binary"))
-    prints = seen.filter("n_shingles is not null").select("doc_id", "n_shingles", "key")
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), _print().alias("print"))
+    seen = cut(map_arrow(plain, _fingerprint(width, cells), "doc_id bigint, print bigint, n_shingles bigint, key bigint, bits binary, chunk int, cells binary"))
+    prints = seen.filter("n_shingles is not null").select("doc_id", "print", "n_shingles", "key")
     counts = sketch.summed(seen.filter("chunk is not null"), cells, "uint32")
-    marked = spark.sparkContext.broadcast(np.packbits(mark(counts)).tobytes())
+    marked = spark.sparkContext.broadcast(np.packbits(mark(counts, least)).tobytes())
     del counts
 
     tiles = cut(_tiles(plain, width, num, den, cells, marked))
     maps = seen.filter("bits is not null").groupBy(F.col("key").alias("node")).agg(F.first("n_shingles").alias("size"), F.first("bits").alias("bits"))
-    owner = prints.filter("key is not null").groupBy(F.col("key").alias("node")).agg(F.min("doc_id").alias("doc_id"))
+    owner = prints.filter("key is not null").groupBy(F.col("key").alias("node")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("first")).select("node", "first.doc_id", "first.print")
 
     first = cut(_chain_pairs(tiles, num, den))
     near = _within_bound(first, maps, num, den)
@@ -221,26 +254,26 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int
     more = _linked(_within_bound(rest, maps, num, den), plain, owner, width, num, den)
     merged = cut(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
     ids = owner.join(merged, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = ids.join(least, "root").select(F.col("node").alias("key"), "component_id")
-    return prints.join(named, "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group; a row that is repeated as a whole text stays once."""
-    groups = similar_groups(docs)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep.kept_id), "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    least_ids = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return prints, ids.join(least_ids, "root").select("node", "root", "component_id")
 
 
 def _tiles(plain: DataFrame, width, num, den, cells, marked) -> DataFrame:
-    """Rows (token, band, node, size, rest, guest) of shingles that two nodes or more have, each node once a tile."""
+    """Rows (token, band, node, size, rest, guest) of shingles that two nodes or more have, each node once a tile; of
+    marked ones also the tile's number of nodes and its centre, else null."""
     from pyspark.sql import Window
 
-    rows = plain.select("text").mapInArrow(_tokens(width, num, den, cells, marked), "token bigint, node bigint, size int, rest int")
+    rows = map_arrow(plain.select("text"), _tokens(width, num, den, cells, marked), "token bigint, node bigint, size int, rest int, marked boolean")
+    home = rows.withColumn("home", _band(num, den))
+    banded = lambda r: r.select("token", "node", "size", "rest", "home", F.explode(F.array("home", F.col("home") + 1)).alias("band")).select("token", "band", "node", "size", "rest", (F.col("band") > F.col("home")).alias("guest"))
     tile = Window.partitionBy("token")
-    seen = rows.select("*", F.min("node").over(tile).alias("low"), F.max("node").over(tile).alias("high"), F.lag("node").over(tile.orderBy("node")).alias("prev"))
-    return seen.filter("low <> high and (prev is null or prev <> node)").select("token", "node", "size", "rest", _band(num, den).alias("home")).select("token", "node", "size", "rest", "home", F.explode(F.array("home", F.col("home") + 1)).alias("band")).select("token", "band", "node", "size", "rest", (F.col("band") > F.col("home")).alias("guest"))
+    seen = home.filter("not marked").select("*", F.min("node").over(tile).alias("low"), F.max("node").over(tile).alias("high"), F.lag("node").over(tile.orderBy("node")).alias("prev"))
+    few = banded(seen.filter("low <> high and (prev is null or prev <> node)"))
+    # marked shingles: nodes once by (token, node), then sums that combine before the shuffle, joined back
+    many = cut(banded(home.filter("marked").dropDuplicates(["token", "node"])))
+    centre = F.max_by(F.struct("node", "size", "rest"), F.struct(F.col("rest") / F.col("size"), -F.col("node"))).alias("centre")
+    facts = many.groupBy("token", "band").agg(F.count("*").alias("nodes"), centre).filter("nodes > 1")
+    return few.withColumns({"nodes": F.lit(None).cast("bigint"), "centre": F.lit(None).cast("struct<node:bigint,size:int,rest:int>")}).unionByName(many.join(facts, ["token", "band"]))
 
 
 def _band(num, den):
@@ -256,15 +289,19 @@ def _fits(num, den):
 def _chain_pairs(tiles: DataFrame, num, den) -> DataFrame:
     """Few pairs that join most of a group: each tile's nodes with their neighbour, in one of four random orders that
     tiles share, and with the tile's centre. The centre has the greatest share of its shingles left, that is, the fewest
-    of its own before the shared one: in a group of near copies, the text that all were made from."""
+    of its own before the shared one: in a group of near copies, the text that all were made from. Large tiles are
+    ordered by parts, which the centre joins."""
     from pyspark.sql import Window
 
+    place = F.xxhash64("node", F.pmod("token", F.lit(4)))
+    other = F.struct("node", "size", "rest")
     tile = Window.partitionBy("token", "band")
-    order = tile.orderBy(F.xxhash64("node", F.pmod("token", F.lit(4))), "node")
     centre = tile.orderBy((F.col("rest") / F.col("size")).desc(), "node")
-    other = F.struct("node", "size", "rest")
-    near = tiles.select("node", "size", "rest", F.lag(other).over(order).alias("prev"), F.first(other).over(centre).alias("centre"))
-    pairs = near.select("node", F.col("size").alias("na"), F.col("rest").alias("ra"), F.explode(F.array("prev", "centre")).alias("other"))
+    few = tiles.filter("nodes is null").select("node", "size", "rest", F.lag(other).over(tile.orderBy(place, "node")).alias("prev"), F.first(other).over(centre).alias("centre"))
+    part = F.floor((F.shiftrightunsigned(place, 1) / F.lit(float(1 << 63))) * F.ceil(F.col("nodes") / PART))
+    many = tiles.filter("nodes is not null").withColumn("part", part)
+    many = many.select("node", "size", "rest", F.lag(other).over(Window.partitionBy("token", "band", "part").orderBy(place, "node")).alias("prev"), "centre")
+    pairs = few.unionByName(many).select("node", F.col("size").alias("na"), F.col("rest").alias("ra"), F.explode(F.array("prev", "centre")).alias("other"))
     pairs = pairs.select("node", "na", "ra", F.col("other.node").alias("with"), F.col("other.size").alias("nb"), F.col("other.rest").alias("rb"))
     return pairs.filter("with is not null and node <> with").filter(_fits(num, den)).select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
 
@@ -282,15 +319,15 @@ def _cross_pairs(tiles: DataFrame, roots: DataFrame, num, den) -> DataFrame:
 def _within_bound(pairs: DataFrame, maps: DataFrame, num, den) -> DataFrame:
     one = maps.select(F.col("node").alias("a"), F.col("size").alias("na"), F.col("bits").alias("ba"))
     two = maps.select(F.col("node").alias("b"), F.col("size").alias("nb"), F.col("bits").alias("bb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ba", "bb").mapInArrow(_bounded(num, den), "a bigint, b bigint")
+    return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ba", "bb"), _bounded(num, den), "a bigint, b bigint")
 
 
 def _linked(pairs: DataFrame, plain: DataFrame, owner: DataFrame, width, num, den) -> DataFrame:
     pairs = cut(pairs)
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = owner.join(nodes, "node", "left_semi").withColumnRenamed("doc_id", "id")
-    texts = plain.join(wanted, plain.doc_id.eqNullSafe(wanted.id)).select("node", "text")
-    arrays = cut(texts.mapInArrow(_arrays(width), "node bigint, shingles binary").dropDuplicates(["node"]))
+    wanted = owner.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("id"), F.col("print").alias("of"))
+    texts = plain.join(wanted, plain.doc_id.eqNullSafe(wanted.id) & (plain.print == wanted.of)).select("node", "text")
+    arrays = cut(map_arrow(texts, _arrays(width), "node bigint, shingles binary").dropDuplicates(["node"]))
     one = arrays.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     two = arrays.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_exact(num, den), "a bigint, b bigint")
+    return map_arrow(pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb"), _exact(num, den), "a bigint, b bigint")
