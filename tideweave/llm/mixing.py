@@ -65,12 +65,11 @@ def targets(rows: DataFrame, cap: int = CAP) -> DataFrame:
     name = F.col("source").asc_nulls_last()
     per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).withColumn("one", F.lit(1))
     per = running(per, [name], {"rank": "one"}).withColumn("w", F.col("rank") % 3 + 1)
-    per = running(per.withColumn("full", F.col("source_size") * 6 / F.col("w")), [F.col("full"), name], {"gone": "source_size", "spent": "w"})
-    per = per.crossJoin(F.broadcast(per.agg(F.sum("source_size").alias("total"), F.sum("w").alias("weights"))))  # one row
-    per = per.withColumn("unit", (F.col("total") - cap * F.col("gone")).cast("double") / (F.col("weights") - F.col("spent")))
-    level = per.agg(F.min(F.when(F.col("unit") * F.col("w") <= cap * F.col("source_size"), F.struct("spent", "unit")))["unit"].alias("level"))
-    per = per.crossJoin(F.broadcast(level))  # one row
-    return per.select("source", "source_size", "n", F.least(F.coalesce(F.col("level") * F.col("w"), F.lit(float("inf"))), (cap * F.col("source_size")).cast("double")).alias("target"))
+    per = cut(running(per.withColumn("full", F.col("source_size") * 6 / F.col("w")), [F.col("full"), name], {"gone": "source_size", "spent": "w"}))
+    whole = per.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
+    per = per.withColumn("unit", (F.lit(whole.size) - cap * F.col("gone")).cast("double") / (F.lit(whole.w) - F.col("spent")))
+    level = per.agg(F.min(F.when(F.col("unit") * F.col("w") <= cap * F.col("source_size"), F.struct("spent", "unit"))).alias("least")).first().least
+    return per.select("source", "source_size", "n", F.least(F.lit(float("inf") if level is None else level.unit) * F.col("w"), (cap * F.col("source_size")).cast("double")).alias("target"))
 
 
 def _start(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
