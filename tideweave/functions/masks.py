@@ -44,9 +44,12 @@ def words_in(words, n: int) -> Column:
     return F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda q: F.call_function("shiftright", F.element_at(w, (F.floor(q / WORD) + 1).cast("int")), F.pmod(q, F.lit(WORD))).bitwiseAND(F.lit(1).cast("bigint")) == 1)
 
 
-def both(one: Column, two: Column) -> Column:
-    return one.bitwiseAND(two)
+def common(one, two, words: bool) -> Column:
+    """Queries of both masks; `words` if they are arrays."""
+    one, two = F.col(one), F.col(two)
+    return F.zip_with(one, two, lambda a, b: a.bitwiseAND(b)) if words else one.bitwiseAND(two)
 
 
-def either(one: Column, two: Column) -> Column:
-    return one.bitwiseOR(two)
+def some(mask: Column, words: bool) -> Column:
+    """Whether a mask has any query."""
+    return F.exists(mask, lambda m: m != 0) if words else mask != 0

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.windows import floor_to, shared_starts
+from ..functions.masks import common, some
+from ..functions.windows import first_start, floor_to, shared_starts
+from .queryset import is_words
 
 
 def named(df: DataFrame, prefix: str) -> DataFrame:
@@ -13,13 +15,14 @@ def named(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}_{c}") for c in df.columns])
 
 
-def _masks(masks: tuple[str, str] | None) -> Column:
-    return F.lit(True) if masks is None else F.col(masks[0]).bitwiseAND(F.col(masks[1])) != 0
+def _masks(df: DataFrame, masks: tuple[str, str] | None) -> Column:
+    """Whether the rows have a query in common; df has the first mask."""
+    return F.lit(True) if masks is None else some(common(*masks, is_words(df, masks[0])), is_words(df, masks[0]))
 
 
 def _merge(df: DataFrame, masks: tuple[str, str] | None) -> DataFrame:
     """The pair's queries are those that both rows belong to."""
-    return df if masks is None else df.withColumn("qmask", F.col(masks[0]).bitwiseAND(F.col(masks[1]))).drop(*(m for m in masks if m != "qmask"))
+    return df if masks is None else df.withColumn("qmask", common(*masks, is_words(df, masks[0]))).drop(*(m for m in masks if m != "qmask"))
 
 
 def near_in_time(one: DataFrame, two: DataFrame, keys: list[tuple[str, str]], times: tuple[str, str], reach: int, within: Column, masks=None) -> DataFrame:
@@ -31,7 +34,7 @@ def near_in_time(one: DataFrame, two: DataFrame, keys: list[tuple[str, str]], ti
     step = max(reach, 1)
     left = one.withColumn("bucket", floor_to(times[0], step))
     right = two.withColumn("bucket_", F.explode(F.array(*[floor_to(times[1], step) + d * step for d in (-1, 0, 1)])))
-    on = (F.col("bucket") == F.col("bucket_")) & within & _masks(masks)
+    on = (F.col("bucket") == F.col("bucket_")) & within & _masks(one, masks)
     for a, b in keys:
         on = on & (F.col(a) == F.col(b))
     return _merge(left.join(right, on).drop("bucket", "bucket_"), masks)
@@ -45,7 +48,7 @@ def window_join(one: DataFrame, two: DataFrame, keys: list[tuple[str, str]], tim
     """
     first, last = shared_starts(*times, size, slide)
     if size == slide:
-        on = (floor_to(times[0], size) == floor_to(times[1], size)) & _masks(masks)
+        on = (floor_to(times[0], size) == floor_to(times[1], size)) & _masks(one, masks)
         for a, b in keys:
             on = on & (F.col(a) == F.col(b))
         pairs = _merge(one.join(two, on), masks)
@@ -75,9 +78,21 @@ def three_way(one: DataFrame, two: DataFrame, three: DataFrame, first: tuple[str
 
     `masks` names the masks of all three; each step keeps the queries that all its inputs belong to.
     """
-    pairs = in_each_window(window_join(one, two, [first], times[:2], size, slide, masks and masks[:2]), slide, "pair_window")
-    pairs = pairs.withColumn("pair_ms", F.col("pair_window") + (size - 1)).drop("pair_window")
-    return in_each_window(window_join(pairs, three, [second], ("pair_ms", times[2]), size, slide, masks and ("qmask", masks[2])), slide)
+    pairs = window_join(one, two, [first], times[:2], size, slide, masks and masks[:2])
+    on, both = [second], masks and ("qmask", masks[2])
+    if size == slide:
+        pairs = pairs.withColumn("pair_ms", F.col("first_window") + (size - 1)).drop("first_window", "last_window")
+        return in_each_window(window_join(pairs, three, on, ("pair_ms", times[2]), size, slide, both), slide)
+    # a pair stays one row through the second join: its windows' ends lie in windows from its first to `until`, of which
+    # the third row has some. Only then come the windows of the pair, and those that each of their ends shares.
+    reach = (size - 1) // slide * slide
+    until, low, high = F.col("last_window") + reach, first_start(times[2], size, slide), floor_to(times[2], slide)
+    meets = (low <= until) & (high >= F.col("first_window"))
+    pairs = near_in_time(pairs.withColumn("pair_start", F.col("first_window")), three, on, ("pair_start", times[2]), 3 * size, meets, both)
+    pairs = pairs.withColumn("pair_window", F.explode(F.sequence("first_window", "last_window", F.lit(slide)))).drop("first_window", "last_window", "pair_start")
+    w = F.col("pair_window")
+    pairs = pairs.withColumn("pair_ms", w + (size - 1)).withColumn("first_window", F.greatest(w, low)).withColumn("last_window", F.least(w + reach, high))
+    return in_each_window(pairs.filter("first_window <= last_window").drop("pair_window"), slide)
 
 
 def winning_bids(auctions: DataFrame, bids: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.masks import mask_of, queries_in
+from ..functions.masks import WORD, mask_of, mask_words, queries_in, some, words_in
 
 #: Rows up to which a table of predicates or switches is broadcast.
 SMALL = 10_000
@@ -13,12 +13,14 @@ Ranges = list[tuple[int, int, int]]
 
 
 def stamp(df: DataFrame, active: list[int], name: str = "qmask") -> DataFrame:
-    """Every row belongs to all active queries."""
-    return df.withColumn(name, F.lit(sum(1 << q for q in active)).cast("bigint"))
+    """Every row belongs to all active queries: one mask up to number 62, an array of masks beyond."""
+    words = [sum(1 << q % WORD for q in active if q // WORD == i) for i in range(max(active, default=0) // WORD + 1)]
+    return df.withColumn(name, F.array(*[F.lit(w).cast("bigint") for w in words]) if len(words) > 1 else F.lit(words[0]).cast("bigint"))
 
 
 def assign(df: DataFrame, ranges: Ranges, attr: str = "filter_attr", name: str = "qmask") -> DataFrame:
-    """Rows with the queries whose range (query, lo, hi) holds `attr`; rows in none go.
+    """Rows with the queries whose range (query, lo, hi) holds `attr`; rows in none go. One mask up to query number 62,
+    an array of masks beyond.
 
     The hull of all ranges is a plain predicate as well, so that a scan can skip data by it.
     """
@@ -26,7 +28,8 @@ def assign(df: DataFrame, ranges: Ranges, attr: str = "filter_attr", name: str =
         return df.withColumn(name, F.lit(0).cast("bigint")).filter(F.lit(False))
     hull = df.filter(F.col(attr).between(min(r[1] for r in ranges), max(r[2] for r in ranges)))
     integral = dict(df.dtypes)[attr] in ("tinyint", "smallint", "int", "bigint")
-    return hull.withColumn(name, mask_of(attr, ranges, integral)).filter(F.col(name) != 0)
+    words = max(r[0] for r in ranges) >= WORD
+    return hull.withColumn(name, (mask_words if words else mask_of)(attr, ranges, integral)).filter(some(F.col(name), words))
 
 
 def assign_by_table(df: DataFrame, predicates: DataFrame, row_id: str, attr: str = "filter_attr", width: int = 16) -> DataFrame:
@@ -58,9 +61,14 @@ def active_at(df: DataFrame, control: DataFrame, n: int, ms: str = "ms", name: s
 
 def per_query(df: DataFrame, n: int, mask: str = "qmask", name: str = "qid") -> DataFrame:
     """A row for each query of a row's set."""
-    return df.withColumn(name, F.explode(queries_in(mask, n))).drop(mask)
+    return df.withColumn(name, F.explode((words_in if is_words(df, mask) else queries_in)(mask, n))).drop(mask)
+
+
+def is_words(df: DataFrame, mask: str) -> bool:
+    return dict(df.dtypes)[mask].startswith("array")
 
 
 def of_query(df: DataFrame, q: int, mask: str = "qmask") -> DataFrame:
     """The rows of one query."""
-    return df.filter(F.col(mask).bitwiseAND(F.lit(1 << q).cast("bigint")) != 0)
+    held = F.element_at(mask, q // WORD + 1) if is_words(df, mask) else F.col(mask)
+    return df.filter(held.bitwiseAND(F.lit(1 << q % WORD).cast("bigint")) != 0)

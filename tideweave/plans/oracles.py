@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from ..functions.chance import cumulative
 from .queries import FIFTHS, LONG, MIXED, N, SIZE, SLIDE, STEP, TENTHS
+from .specs import family
 
-DAY = 86_400_000
+DAY, HOUR = 86_400_000, 3_600_000
 
 ENTITY = """e0 as (
   select *, (epoch_us(ts) // 1000) as ms, cast(json_extract(props, '$.k') as int) as k from events where event_type in ('view', 'click', 'purchase')
@@ -216,6 +217,8 @@ ORACLES = {
 union all select 1, out_window, b_long1, avg(b_long2) from (select *, {_windows(f'window_start + {SIZE - 1}', SIZE, SLIDE)} as out_window from ({_each(_pairs(SIZE, SIZE, on='a.filter_attr between 0 and 59 and b.filter_attr between 20 and 99'), SIZE)})) group by 2, 3
 union all select 2, window_start, a_long1, count(*)::double from ({_triples(DAY, DAY)}) group by 2, 3""",
     ),
+    "shared_join_100": _with(ENTITY, f"select qid::int as qid, window_start, count(*) as n from ({_each(_pairs(SIZE, SIZE, ', q.qid', 'a.filter_attr between q.qid % 90 and q.qid % 90 + 9 + q.qid % 7 and b.filter_attr between q.qid % 90 and q.qid % 90 + 9 + q.qid % 7', '(select unnest(range(100)) as qid) q cross join a join b on a.pk = b.fk'), SIZE)}) group by 1, 2"),
+    "workload_family": _with(ENTITY, _specs("q", [(i, *x.ranges[0]) for i, x in enumerate(family(12, None))]), f"select qid, count(*) as pairs, sum((last_window - first_window) // {HOUR} + 1)::bigint as matches from ({_pairs(60 * HOUR, HOUR, ', q.qid', BOTH_IN, 'q cross join a join b on a.pk = b.fk')}) group by 1"),
     "interval_join_pairs": _with(ENTITY, f"select a_id, b_id from ({ONE_INTERVAL})"),
     "interval_join_mean": _with(ENTITY, MIX, f"select qid, late // {SLIDE} * {SLIDE} as window_start, a_pk, avg(b_long2) as mean from ({MANY_INTERVAL}) group by 1, 2, 3"),
     "interval_join_median": _with(ENTITY, TEN, _median(f"select *, late // {SLIDE} * {SLIDE} as window_start from ({MANY_INTERVAL})", "qid, window_start", "a_pk, a_id, b_id", "qid, window_start, a_pk, a_id, b_id")),
@@ -236,6 +239,13 @@ union all select 2, window_start, a_long1, count(*)::double from ({_triples(DAY,
     "etl_window_sum": _with(ENTITY, f"select *, {_varint('key')} || {_varint('total')} as payload from ({SUMS})"),
     "etl_joint": _with(ENTITY, f"select 'enrich' as which, id as key, ms, concat_ws('/', name, nation) as out from ({ENRICHED}) union all select 'sum', key, window_start, {_varint('key')} || {_varint('total')} from ({SUMS})"),
     "etl_shared": _with(ENTITY, TEN, f"select qid, ms // {SIZE} * {SIZE} as window_start, pk, sum(long1)::bigint as total from b join q on filter_attr between lo and hi group by 1, 2, 3"),
+    "etl_spec_filtered": _with(
+        ENTITY,
+        f"""sums as (
+  select 1 as qid, pk as key, {_windows('ms', SIZE, DAY)} as window_start, long1 from b where filter_attr between 30 and 79 union all select 2, pk, ms // {SIZE} * {SIZE}, long1 from b
+), totals as (select qid, key, window_start, sum(long1)::bigint as total from sums group by 1, 2, 3)""",
+        f"select 0 as qid, e.id as key, e.ms, concat_ws('/', name, nation) as out from ({ENRICHED}) e join a on a.id = e.id where a.filter_attr between 10 and 49 union all select qid, key, window_start, {_varint('key')} || {_varint('total')} from totals",
+    ),
     "running_max_sum": _with(ENTITY, f"select qid::int as qid, window_start, peak, sum(peak)::bigint as total from (select ms // {DAY} * {DAY} as window_start, greatest(max(long1) over (partition by pk order by ms, id), 0) as peak from a), (select unnest(range(2)) as qid) group by 1, 2, 3"),
     "window_record_high": _with(
         ENTITY,

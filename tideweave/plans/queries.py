@@ -239,6 +239,24 @@ SPECS = """{"dataAnalyticsQueries": [
  "streamingETLQueries": []}"""
 
 
+@query
+def shared_join_100(spark, sf_dir):
+    """A hundred range queries over one join: query sets of several words."""
+    ranges = [(q, q % 90, q % 90 + 9 + q % 7) for q in range(100)]
+    pairs = _pairs(spark, sf_dir, SIZE, SIZE, mask=lambda r: Q.assign(r, ranges))
+    return A.count(Q.per_query(pairs, 100), ["qid", "window_start"])
+
+
+@query
+def workload_family(spark, sf_dir):
+    """Queries of one generated workload, windows of 60 hours every hour: pairs per query, counted in each shared window."""
+    n, hour = 12, 3_600_000
+    specs = P.family(n, None, size=60 * hour, slide=hour)
+    sides = [_side(spark, sf_dir, k, lambda r, i=i: Q.assign(r, [(q, *s.ranges[i]) for q, s in enumerate(specs)])) for i, k in enumerate("AB")]
+    pairs = J.window_join(*sides, [("a_pk", "b_fk")], ("a_ms", "b_ms"), 60 * hour, hour, ("a_qmask", "b_qmask"))
+    return Q.per_query(pairs, n).groupBy("qid").agg(F.count("*").alias("pairs"), F.sum(J.shared_windows(hour)).cast("bigint").alias("matches"))
+
+
 # interval joins
 
 
@@ -346,6 +364,25 @@ def etl_shared(spark, sf_dir):
     return rows.groupBy("qid", floor_to("ms", SIZE).alias("window_start"), "pk").agg(F.sum("long1").alias("total"))
 
 
+@query
+def etl_spec_filtered(spark, sf_dir):
+    """ETL queries from a JSON configuration, two of them with ranges, over one parse."""
+    specs = P.from_json(ETL_SPECS)
+    enriched, sums, every = P.build(specs, None, V.json_entity(V.entity(spark, sf_dir)), V.dimension(spark, sf_dir))
+    rows = [enriched.select(F.lit(0).alias("qid"), F.col("id").alias("key"), "ms", F.concat_ws("/", "name", "nation").alias("out"))]
+    rows += [x.select(F.lit(q).alias("qid"), "key", F.col("window_start").alias("ms"), F.col("payload").alias("out")) for q, x in ((1, sums), (2, every))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+ETL_SPECS = """{"dataAnalyticsQueries": [], "streamingETLQueries": [
+ {"extractOperation": {"operationType": "EXTRACT_JSON"}, "filter": {"startForEntityB": 10, "endForEntityB": 49},
+  "downstreamOperator": {"metaTypeInfo": "DataEnrichmentFunction", "filterField": "A"}},
+ {"extractOperation": {"operationType": "EXTRACT_JSON"}, "filter": {"startForEntityB": 30, "endForEntityB": 79},
+  "downstreamOperator": {"metaTypeInfo": "RollingSumAndPOJOToX", "filterField": "B", "windowSizeMs": 259200000, "windowSlideMs": 86400000}},
+ {"extractOperation": {"operationType": "EXTRACT_JSON"},
+  "downstreamOperator": {"metaTypeInfo": "RollingSumAndPOJOToX", "filterField": "B", "windowSizeMs": 259200000, "windowSlideMs": 259200000}}]}"""
+
+
 # running maxima
 
 

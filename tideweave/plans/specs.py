@@ -54,6 +54,7 @@ class Analytics:
 class Etl:
     extract: str = "EXTRACT_JSON"
     downstream: Downstream | None = None
+    ranges: tuple[tuple[int, int], ...] | None = None  # of A, B and C; extraction has one stream, which B's range selects from
 
     @property
     def share_key(self):
@@ -76,7 +77,7 @@ def from_json(text: str) -> list[Analytics | Etl]:
         j = q["joinOperators"]
         out.append(Analytics(Join(j["joinType"], j["windowSizeMs"], j["windowSlideMs"]), _downstream(q.get("downstreamOperator")), _ranges(q.get("filter"))))
     for q in got.get("streamingETLQueries") or []:
-        out.append(Etl(q["extractOperation"]["operationType"], _downstream(q.get("downstreamOperator"))))
+        out.append(Etl(q["extractOperation"]["operationType"], _downstream(q.get("downstreamOperator")), _ranges(q.get("filter"))))
     return out
 
 
@@ -89,7 +90,7 @@ def groups(specs: list[Analytics | Etl]) -> dict[tuple, list[tuple[int, Analytic
 
 
 def shared_join(entities: DataFrame, group: list[tuple[int, Analytics]]) -> DataFrame:
-    """One join for a group of up to 63 queries: pairs (a_, b_ and, of three, c_ columns) per window with their query set."""
+    """One join for a group of queries: pairs (a_, b_ and, of three, c_ columns) per window with their query set."""
     join = group[0][1].join
     sides = []
     for i, e in enumerate("ABC" if join.kind.startswith("THREE") else "AB"):
@@ -139,9 +140,13 @@ def build(specs: list[Analytics | Etl], entities: DataFrame, envelopes: DataFram
             out |= {i: answer(pairs, i, q) for i, q in group}
             continue
         parsed = parse_entities(envelopes)
+        ranged = any(q.ranges for _, q in group)
+        if ranged:
+            parsed = assign(parsed, [(i, *(q.ranges[1] if q.ranges else EVERYTHING)) for i, q in group])
         for i, q in group:
             d = q.downstream
-            rows = parsed if d is None or d.only is None else parsed.filter(F.col("type") == d.only)
+            rows = of_query(parsed, i).drop("qmask") if ranged else parsed
+            rows = rows if d is None or d.only is None else rows.filter(F.col("type") == d.only)
             if d is not None and d.kind == "DataEnrichmentFunction":
                 rows = lookup(rows, dimension, ("pk", "user_id"))
             elif d is not None:
