@@ -252,3 +252,37 @@ def test_shedding(spark):
     got = S.shed(df, rates, "ms", 1000, "id", 100, 4)
     n = {r.b: r["count"] for r in got.groupBy(F.floor(F.col("ms") / 1000).alias("b")).count().collect()}
     assert 0 not in n and n[1] == 100 and 30 < n[2] < 70 and n[3] == 100
+
+
+def test_three_way_pairs_as_spans(spark, monkeypatch):
+    """Pairs that stay spans through the second join give the rows that pairs per window give; so for masks of any size."""
+    import random
+
+    from tideweave.operators import joins as J
+    from tideweave.operators import queryset as Q
+
+    r = random.Random(4)
+    rows = [(i, r.randrange(5), r.randrange(5), r.randrange(400), r.randrange(10)) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, pk int, fk int, ms bigint, filter_attr int")
+    for n in (5, 70):
+        sides = [J.named(Q.assign(df, [(q, q % 4, q % 4 + 5) for q in range(n)]), k) for k in "abc"]
+
+        def triples(size, slide, sides=sides):
+            t = J.three_way(*sides, ("a_pk", "b_fk"), ("b_pk", "c_fk"), ("a_ms", "b_ms", "c_ms"), size, slide, ("a_qmask", "b_qmask", "c_qmask"))
+            return t.groupBy("a_id", "b_id", "c_id", "pair_ms", "window_start", "qmask").count()
+
+        for size, slide in ((60, 10), (35, 10), (40, 4)):
+            monkeypatch.setattr(J, "SPANS", 10**9)
+            want = sorted(map(str, triples(size, slide).collect()))
+            monkeypatch.setattr(J, "SPANS", 0)
+            assert sorted(map(str, triples(size, slide).collect())) == want and want
+
+
+def test_more_than_63_queries(spark):
+    from tideweave.operators import queryset as Q
+
+    df = spark.range(100).selectExpr("id", "cast(id as int) as filter_attr")
+    ranges = [(q, q, q + 1) for q in range(0, 130, 3)]
+    got = Q.per_query(Q.assign(df, ranges), 130).collect()
+    assert sorted((x.id, x.qid) for x in got) == sorted((v, q) for v in range(100) for q, lo, hi in ranges if lo <= v <= hi)
+    assert Q.of_query(Q.assign(df, ranges), 66).count() == 2 and Q.per_query(Q.stamp(df, [0, 64]), 65).count() == 200

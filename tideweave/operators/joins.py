@@ -25,15 +25,19 @@ def _merge(df: DataFrame, masks: tuple[str, str] | None) -> DataFrame:
     return df if masks is None else df.withColumn("qmask", common(*masks, is_words(df, masks[0]))).drop(*(m for m in masks if m != "qmask"))
 
 
-def near_in_time(one: DataFrame, two: DataFrame, keys: list[tuple[str, str]], times: tuple[str, str], reach: int, within: Column, masks=None) -> DataFrame:
+#: Windows a row from which pairs of a three-way join stay spans until both joins are done: fewer cost less as rows.
+SPANS = 8
+
+
+def near_in_time(one: DataFrame, two: DataFrame, keys: list[tuple[str, str]], times: tuple[str, str], reach: int, within: Column, masks=None, buckets=(-1, 0, 1)) -> DataFrame:
     """Equi-join on keys and `within`, which must imply that times differ by `reach` at most: by buckets of that length.
 
-    The left row stays in its bucket, the right one is copied into three, so the join is an equi-join on (key, bucket):
+    The left row stays in its bucket, the right one is copied into three (or into `buckets` that hold all partners), so the join is an equi-join on (key, bucket):
     it shuffles, sorts and splits skewed keys like any other, and each pair comes once.
     """
     step = max(reach, 1)
     left = one.withColumn("bucket", floor_to(times[0], step))
-    right = two.withColumn("bucket_", F.explode(F.array(*[floor_to(times[1], step) + d * step for d in (-1, 0, 1)])))
+    right = two.withColumn("bucket_", F.explode(F.array(*[floor_to(times[1], step) + d * step for d in buckets])))
     on = (F.col("bucket") == F.col("bucket_")) & within & _masks(one, masks)
     for a, b in keys:
         on = on & (F.col(a) == F.col(b))
@@ -80,15 +84,16 @@ def three_way(one: DataFrame, two: DataFrame, three: DataFrame, first: tuple[str
     """
     pairs = window_join(one, two, [first], times[:2], size, slide, masks and masks[:2])
     on, both = [second], masks and ("qmask", masks[2])
-    if size == slide:
-        pairs = pairs.withColumn("pair_ms", F.col("first_window") + (size - 1)).drop("first_window", "last_window")
+    if size < SPANS * slide:
+        pairs = in_each_window(pairs, slide, "pair_window").withColumn("pair_ms", F.col("pair_window") + (size - 1)).drop("pair_window")
         return in_each_window(window_join(pairs, three, on, ("pair_ms", times[2]), size, slide, both), slide)
     # a pair stays one row through the second join: its windows' ends lie in windows from its first to `until`, of which
     # the third row has some. Only then come the windows of the pair, and those that each of their ends shares.
     reach = (size - 1) // slide * slide
     until, low, high = F.col("last_window") + reach, first_start(times[2], size, slide), floor_to(times[2], slide)
     meets = (low <= until) & (high >= F.col("first_window"))
-    pairs = near_in_time(pairs.withColumn("pair_start", F.col("first_window")), three, on, ("pair_start", times[2]), 3 * size, meets, both)
+    # the third row's time is that of the pair's first window at least, and less than three sizes later
+    pairs = near_in_time(pairs.withColumn("pair_start", F.col("first_window")), three, on, ("pair_start", times[2]), size, meets, both, buckets=(-3, -2, -1, 0))
     pairs = pairs.withColumn("pair_window", F.explode(F.sequence("first_window", "last_window", F.lit(slide)))).drop("first_window", "last_window", "pair_start")
     w = F.col("pair_window")
     pairs = pairs.withColumn("pair_ms", w + (size - 1)).withColumn("first_window", F.greatest(w, low)).withColumn("last_window", F.least(w + reach, high))
