@@ -44,6 +44,12 @@ def latency(df: DataFrame, ms: str, emitted: str, interval: int, order: list[str
     return df.groupBy(floor_to(ms, interval).alias("interval_ms")).agg(F.min_by(late, F.struct(*order)).alias("sample"), F.avg(late).alias("mean"), F.max(late).alias("worst"))
 
 
+def latency_percentiles(df: DataFrame, ms: str, emitted: str, interval: int) -> DataFrame:
+    """(interval_ms, p50, p95, p99) of the time from emission to event time: counted by value before the shuffle."""
+    late = F.col(ms) - F.col(emitted)
+    return df.groupBy(floor_to(ms, interval).alias("interval_ms")).agg(*[F.percentile(late, p / 100).alias(f"p{p}") for p in (50, 95, 99)])
+
+
 def throughput(telemetry: DataFrame) -> DataFrame:
     """telemetry(subtask, interval_ms, produced, consumed) with running sums and the backlog."""
     so_far = Window.partitionBy("subtask").orderBy("interval_ms").rowsBetween(Window.unboundedPreceding, Window.currentRow)

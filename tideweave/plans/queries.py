@@ -14,6 +14,7 @@ from ..operators import queryset as Q
 from ..operators import stats as S
 from ..operators.etl import parse_entities, serialised_sums
 from ..sources import generate as G
+from ..sources import lines as L
 from ..sources import views as V
 from . import specs as P
 
@@ -88,6 +89,37 @@ def json_extract(spark, sf_dir):
     return c.select("c_custkey", full_name(json).alias("full_name"))
 
 
+@query
+def entity_wire(spark, sf_dir):
+    """Entities as tab-separated lines, parsed again."""
+    e, empty = V.entity(spark, sf_dir), F.lit("")
+    whole = [F.col(c).cast("string") for c in ("id", "ms", "ms", "pk", "fk", "sel1", "sel2", "long1", "long2", "filter_attr")]
+    lines = e.select(F.concat_ws("\t", "type", *whole, F.concat(F.lit("text"), F.col("id").cast("string")), *[empty] * 4).alias("value"))
+    return L.entity_lines(lines).select("type", "id", "ms", "pk", "fk", "sel1", "sel2", "long1", "long2", "filter_attr", "text", "json")
+
+
+@query
+def narrow_wire(spark, sf_dir):
+    """Of the lines of A and B, only what a join needs."""
+    e = V.entity(spark, sf_dir).filter("type <> 'C'")
+    whole = [F.col(c).cast("string") for c in ("id", "ms", "ms", "pk", "fk", "sel1", "sel2", "long1", "long2", "filter_attr")]
+    return L.narrow_lines(e.select(F.concat_ws("\t", "type", *whole, *[F.lit("")] * 5).alias("value")))
+
+
+@query
+def auction_wire(spark, sf_dir):
+    """Bids and auctions as comma-separated lines, parsed again with their event time: prices per auction that has both."""
+    at = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd HH:mm:ss")
+    line = lambda *c: F.concat_ws(",", *c).alias("value")
+    text = lambda *names: [F.col(n).cast("string") for n in names]
+    bids = V.bid(spark, sf_dir).select(line(F.lit("2"), *text("auction", "bidder", "price"), at("ms"), "extra"))
+    sold = V.auction(spark, sf_dir).select(line(F.lit("1"), *text("id"), F.lit("item"), F.lit(""), *text("reserve", "reserve"), at("ms"), at("expires_ms"), *text("seller", "category"), F.lit(""), *text("sell_below_reserve")))
+    events = L.auction_lines(bids.unionByName(sold))
+    b = L.with_event_time(L.of_type(events, "bid")).groupBy("auction").agg(F.sum("price").alias("total"), F.max(F.unix_millis("ts")).alias("last_ms"))
+    a = L.of_type(events, "auction").select("id", "reserve", "category", "seller", F.unix_millis("expires").alias("expires_ms"))
+    return a.join(b, a.id == b.auction).drop("auction")
+
+
 # window joins
 
 
@@ -448,6 +480,12 @@ def latency_samples(spark, sf_dir):
     return S.latency(rows, "ms", "emitted", DAY, ["ms", "event_id"])
 
 
+@query
+def latency_percentiles(spark, sf_dir):
+    rows = V.events(spark, sf_dir).select(F.unix_millis("ts").alias("ms"), (F.unix_millis("ts") - F.round("value").cast("bigint")).alias("emitted"))
+    return S.latency_percentiles(rows, "ms", "emitted", DAY)
+
+
 @query
 def throughput(spark, sf_dir):
     return S.throughput(V.telemetry(spark, sf_dir))
