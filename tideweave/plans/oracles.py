@@ -288,7 +288,7 @@ union all select 2, window_start, a_long1, count(*)::double from ({_triples(DAY,
     "shed_sample": _with(
         ENTITY,
         TELEMETRY,
-        f"r as (select interval_ms, max(backlog) / 100000.0::double + (interval_ms // {DAY} % 5) / 10.0::double as rate, max(backlog) - 40 as backlog from thr where interval_ms % 7 < 6 group by 1)",
+        f"r as (select interval_ms, max(backlog) / 100000.0::double + (interval_ms // {DAY} % 5) / 10.0::double as rate, max(backlog) - 40 as backlog from thr group by 1)",
         f"select id, type, ms from entity left join r on r.interval_ms = ms // {DAY} * {DAY} where not case when backlog > 1000 then true when backlog < -1000 then false else {_unit('shed', seed=7)} < coalesce(rate, 0) end",
     ),
     "shed_rate_series": FOLD,
