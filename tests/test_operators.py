@@ -286,3 +286,42 @@ def test_more_than_63_queries(spark):
     got = Q.per_query(Q.assign(df, ranges), 130).collect()
     assert sorted((x.id, x.qid) for x in got) == sorted((v, q) for v in range(100) for q, lo, hi in ranges if lo <= v <= hi)
     assert Q.of_query(Q.assign(df, ranges), 66).count() == 2 and Q.per_query(Q.stamp(df, [0, 64]), 65).count() == 200
+
+
+@pytest.fixture
+def wide(spark):
+    """Partitions stay apart, however small."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    for k, v in zip(before, ("false", "-1")):
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("keys", [1, 4])
+def test_ranges_and_values_are_the_plain_forms(wide, keys):
+    """Running maxima by ranges and medians by counts give what one sorted window per key gives, with nulls anywhere."""
+    from pyspark.sql import Window
+
+    r = random.Random(keys)
+    maybe = lambda x: None if r.random() < 0.1 else x
+    rows = [(i, maybe(r.randrange(keys)), r.randrange(-300, 900), maybe(r.randrange(-5, 40 + i // 9))) for i in range(400)]
+    df = wide.createDataFrame(rows, "id int, k int, ms bigint, v int")
+    by = Window.partitionBy("k")
+    order = by.orderBy("ms", "id").rowsBetween(Window.unboundedPreceding, -1)
+    plain = df.withColumn("p", F.max("v").over(order)).filter("p is null or v > p").drop("p")
+    assert values(A.rising(df, ["k"], "v", ["ms", "id"], 50)) == values(plain)
+    plain = df.withColumn("peak", F.greatest(F.max("v").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(3)))
+    assert values(A.running_peak(df, ["k"], "v", ["ms", "id"], 3, step=50)) == values(plain)
+    placed = df.withColumn("p", F.row_number().over(by.orderBy("v", "ms", "id"))).withColumn("n", F.count(F.lit(1)).over(by)).filter("p = floor(n / 2) + 1").drop("p", "n")
+    assert values(A.upper_median(df, ["k"], "v", ["ms", "id"])) == values(placed)
+    none = df.limit(0)
+    assert not A.rising(none, ["k"], "v", ["ms", "id"]).count() + A.running_peak(none, ["k"], "v", ["ms", "id"]).count() + A.upper_median(none, ["k"], "v", ["id"]).count()
+
+
+def test_one_key_is_many_tasks(wide):
+    df = wide.range(4000).selectExpr("id", "1 as k", f"id * {3_600_000} as ms", "id % 97 as v")
+    for got in (A.running_peak(df, ["k"], "v", ["ms"]), A.rising(df.withColumn("v", F.col("id")), ["k"], "v", ["ms"])):
+        tasks = [x["count"] for x in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == 4000 and len(tasks) > 4 and max(tasks) < 1500

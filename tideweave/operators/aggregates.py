@@ -5,14 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import floor_to, paned
+from ..functions.windows import DAY, floor_to, paned
+
+
+def _same(columns: list[str]) -> Column:
+    """Equality of columns with their copies, whose names end in an underscore; nulls are equal."""
+    on = F.lit(True)
+    for c in columns:
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}_"))
+    return on
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, ties: list[str]) -> DataFrame:
-    """Per key the whole row in the middle by `value`, the upper one of two; ties in order of `ties`. Sorts and spills, holds no arrays."""
+    """Per key the whole row in the middle by `value`, the upper one of two; ties in order of `ties`, nulls first.
+
+    Rows are counted by value before the shuffle, running sums over the values find the middle one, and only rows with
+    that value are shuffled and sorted: a key with many rows weighs no more than its number of different values.
+    """
     group = Window.partitionBy(*keys)
-    placed = df.withColumn("place", F.row_number().over(group.orderBy(value, *ties))).withColumn("of", F.count(F.lit(1)).over(group))
-    return placed.filter(F.col("place") == F.floor(F.col("of") / 2) + 1).drop("place", "of")
+    up_to, half = F.sum("n_").over(group.orderBy(value)), F.floor(F.sum("n_").over(group) / 2) + 1
+    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n_")).withColumn("place_", half - up_to + F.col("n_"))
+    middle = counted.filter("place_ between 1 and n_").select(*[F.col(c).alias(f"{c}_") for c in [*keys, value]], "place_")
+    rows = df.join(middle, _same([*keys, value])).withColumn("place", F.row_number().over(group.orderBy(*ties)))
+    return rows.filter("place = place_").select(*df.columns)
 
 
 def mean(df: DataFrame, keys: list[str], value: str, name: str = "mean") -> DataFrame:
@@ -43,16 +58,44 @@ def top_mean(df: DataFrame, keys: list[str], value: str, n: int = 10, name: str
     return df.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= n).groupBy(*keys).agg(F.avg(value).alias(name))
 
 
-def rising(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
-    """Rows whose value exceeds every earlier one of their key."""
-    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("peak", F.max(value).over(before)).filter(F.col("peak").isNull() | (F.col(value) > F.col("peak"))).drop("peak")
+#: Length of the ranges of time that running maxima are cut into.
+RANGE = DAY
+
+
+def _ranged(df: DataFrame, keys: list[str], by: str, step: int) -> DataFrame:
+    """With `part_` instead of the keys: they and the range of time, a struct, as structs with equal nulls are equal."""
+    return df.withColumn("part_", F.struct(F.struct(*keys).alias("key"), floor_to(by, step).alias("range"))).drop(*(k for k in keys if k != by))
+
+
+def _unranged(df: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"part_.key.{c}").alias(c) if c in keys else F.col(c) for c in columns])
+
+
+def _before(ranged: DataFrame, value: str) -> DataFrame:
+    """(part_, before_): the greatest value of the key in all ranges before; a key has one short row per range here."""
+    tops = ranged.groupBy("part_").agg(F.max(value).alias("top_"))
+    earlier = Window.partitionBy("part_.key").orderBy("part_.range").rowsBetween(Window.unboundedPreceding, -1)
+    return tops.select("part_", F.max("top_").over(earlier).alias("before_"))
+
+
+def rising(df: DataFrame, keys: list[str], value: str, order: list[str], step: int = RANGE) -> DataFrame:
+    """Rows whose value exceeds every earlier one of their key; the first of `order` is a time in ms.
+
+    First within ranges of `step` ms, so that a key is as many tasks as it has ranges; what is left there is held against
+    the greatest value of the ranges before. Both read one shuffle if the caller needs no columns but those named here.
+    """
+    within = Window.partitionBy("part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    exceeds = lambda c: F.col(c).isNull() | (F.col(value) > F.col(c))
+    records = _ranged(df, keys, order[0], step).withColumn("peak_", F.max(value).over(within)).filter(exceeds("peak_")).drop("peak_")
+    return _unranged(records.join(_before(records, value), "part_").filter(exceeds("before_")), df.columns, keys)
 
 
-def running_peak(df: DataFrame, keys: list[str], value: str, order: list[str], floor: int = 0, name: str = "peak") -> DataFrame:
-    """Every row with the greatest value of its key so far, `floor` at least."""
-    so_far = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name, F.greatest(F.max(value).over(so_far), F.lit(floor)))
+def running_peak(df: DataFrame, keys: list[str], value: str, order: list[str], floor: int = 0, name: str = "peak", step: int = RANGE) -> DataFrame:
+    """Every row with the greatest value of its key so far, `floor` at least; by ranges of time as in `rising`."""
+    so_far = Window.partitionBy("part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranged = _ranged(df, keys, order[0], step)
+    rows = ranged.join(_before(ranged, value), "part_").withColumn(name, F.greatest(F.max(value).over(so_far), "before_", F.lit(floor)))
+    return _unranged(rows, [*df.columns, name], keys)
 
 
 def window_records(df: DataFrame, ms: str, size: int, keys: list[str], value: str, order: list[str], carried: list[str], floor: int = 0) -> DataFrame:
@@ -60,7 +103,7 @@ def window_records(df: DataFrame, ms: str, size: int, keys: list[str], value: st
     columns of the first row in `order` that had it. Columns: keys, window_start, value, carried."""
     first = F.max(F.struct(F.col(value).alias("v"), *[(-F.col(o)).alias(f"o{i}") for i, o in enumerate(order)], *carried)).alias("best")
     best = df.groupBy(*keys, floor_to(ms, size).alias("window_start")).agg(first).select(*keys, "window_start", F.col("best.v").alias(value), *[F.col(f"best.{c}").alias(c) for c in carried])
-    return rising(best, keys, value, ["window_start"]).filter(F.col(value) > floor)
+    return rising(best, keys, value, ["window_start"], 64 * size).filter(F.col(value) > floor)
 
 
 def array_median(value: str, columns: list[str]) -> Column:
