@@ -196,6 +196,7 @@ ORACLES = {
     "entity_wire": _with(ENTITY, "select type, id, ms, pk, fk, sel1, sel2, long1, long2, filter_attr, 'text' || id as text, null::varchar as json from entity"),
     "narrow_wire": _with(ENTITY, "select type = 'A' as is_a, case when type = 'A' then pk else fk end::int as key, filter_attr from entity where type <> 'C'"),
     "auction_wire": _with(AUCTIONS, "select id, reserve, category, seller, expires_ms, sum(price)::bigint as total, max(bid.ms) as last_ms from auction join bid on bid.auction = id group by all"),
+    "file_stream": _with(AUCTIONS, f"select auction, ms // {DAY} * {DAY} as day, count(*) as n, sum(price)::bigint as total from bid group by 1, 2"),
     "latency_percentiles": f"select ms // {DAY} * {DAY} as interval_ms, quantile_cont(late, 0.5) as p50, quantile_cont(late, 0.95) as p95, quantile_cont(late, 0.99) as p99 from (select (epoch_us(ts) // 1000) as ms, round(value)::bigint as late from events) group by 1",
     "window_join_q1": _with(ENTITY, Q1),
     "window_join_q2": _with(ENTITY, Q2),

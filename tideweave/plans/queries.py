@@ -16,6 +16,7 @@ from ..operators.etl import parse_entities, serialised_sums
 from ..sources import generate as G
 from ..sources import lines as L
 from ..sources import views as V
+from ..sources.sinks import scratch, write_stream, write_text
 from . import specs as P
 
 SIZE, SLIDE = 3 * DAY, DAY
@@ -120,6 +121,19 @@ def auction_wire(spark, sf_dir):
     return a.join(b, a.id == b.auction).drop("auction")
 
 
+@query
+def file_stream(spark, sf_dir):
+    """Bids into the text sink; its files as a stream of lines with event time, into a file sink; per auction and day of that."""
+    folder = scratch(spark)
+    at = F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd HH:mm:ss")
+    write_text(V.bid(spark, sf_dir).select(F.lit(2), "auction", "bidder", "price", at, "extra"), f"{folder}/lines")
+    lines = spark.readStream.text(f"{folder}/lines")
+    bids = L.with_event_time(L.of_type(L.auction_lines(lines), "bid"), "1 day")
+    write_stream(bids, f"{folder}/bids", f"{folder}/checkpoint").awaitTermination()
+    rows = spark.read.schema(bids.schema).parquet(f"{folder}/bids")
+    return rows.groupBy("auction", floor_to(F.unix_millis("ts"), DAY).alias("day")).agg(F.count("*").alias("n"), F.sum("price").alias("total"))
+
+
 # window joins
 
 

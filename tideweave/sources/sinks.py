@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_text(df: DataFrame, path: str, **options) -> None:
@@ -18,3 +21,11 @@ def discard(df: DataFrame) -> None:
 def write_stream(df: DataFrame, path: str, checkpoint: str, form: str = "parquet"):
     """Runs a streaming query over what there is now, into files."""
     return df.writeStream.format(form).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path in the shared one, spark.checkpoint.dir; without that, a temporary folder in local mode only."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='tideweave-')).rstrip('/')}/tideweave-{uuid.uuid4().hex}"
