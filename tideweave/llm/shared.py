@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of an Arrow batch where the session sets no limit: 10,000 rows of long texts take hundreds of MB on both sides.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -32,8 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema), in batches of BATCH_BYTES unless the session has a limit of its own."""
+def map_arrow(df: DataFrame, run, schema: str | StructType) -> DataFrame:
+    """df.mapInArrow(run, schema), in batches of BATCH_BYTES unless the session has a limit of its own. Spark takes a
+    point in a column's name for a field's, so such columns have other names while they pass through `run`."""
     if df.sparkSession.conf.get(BATCH, None) is None:
         df.sparkSession.conf.set(BATCH, BATCH_BYTES)
-    return df.mapInArrow(run, schema)
+    stem = "_" * (1 + max(map(len, df.columns), default=0))
+    other = {c: f"{stem}{i}" for i, c in enumerate(df.columns) if "." in c}
+    if not other or isinstance(schema, str):
+        return df.mapInArrow(run, schema)
+    safe = StructType([StructField(other.get(f.name, f.name), f.dataType, f.nullable) for f in schema])
+    return df.toDF(*[other.get(c, c) for c in df.columns]).mapInArrow(run, safe).toDF(*schema.names)
