@@ -10,6 +10,7 @@ from tideweave.llm.jaccard import similar_groups
 from tideweave.llm.langid import identify
 from tideweave.llm.licences import scan_licences
 from tideweave.llm.media import text_media
+from tideweave.llm.merkle import merkle_proofs
 from tideweave.llm.mixing import mix_sources
 from tideweave.llm.pii import find_personal_data
 from tideweave.llm.quality import quality_rules
@@ -18,10 +19,10 @@ from tideweave.llm.urls import judge_urls
 
 SF = "/root/testdata/sf0.001"
 #: Names of results and of columns inside.
-NAMES = ["key", "size", "n", "of", "id", "doc", "none", "print", "first", "node", "root", "component_id", "t_id", "room", "epochs", "ids", "spans", "parts", "marks", "word", "row", "lang_pred", "score", "host", "ruled", "a.b", "select"]
+NAMES = ["key", "size", "n", "of", "id", "doc", "none", "print", "first", "node", "root", "component_id", "t_id", "room", "epochs", "ids", "spans", "parts", "marks", "word", "row", "lang_pred", "score", "host", "ruled", "part", "row", "path", "slot", "idx", "g", "m", "p", "name", "leaf", "changed", "a.b", "select"]
 OPERATORS = {
     "op1": scan_licences, "op2": mix_sources, "op3": find_personal_data, "op4": quality_rules, "op5": lambda d: encode_documents(d, vocabulary()),
-    "op6": similar_groups, "op7": score_documents, "op8": identify, "op9": text_media, "op10": judge_urls,
+    "op6": similar_groups, "op7": score_documents, "op8": identify, "op9": text_media, "op10": judge_urls, "op12": merkle_proofs,
 }
 
 

@@ -9,6 +9,7 @@ from .jaccard import similar_groups
 from .langid import identify
 from .licences import scan_licences
 from .media import text_media
+from .merkle import merkle_proofs
 from .mixing import mix_sources
 from .pii import find_personal_data
 from .quality import quality_rules
@@ -71,4 +72,8 @@ def op10_url_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), whole=True).drop("score")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_personal_data, op4_quality_rules, op5_sentencepiece, op6_ngram_jaccard_join, op7_hmm_scores, op8_language_id, op9_media_columns, op10_url_filter, op10_url_filter_whole)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_proofs(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_personal_data, op4_quality_rules, op5_sentencepiece, op6_ngram_jaccard_join, op7_hmm_scores, op8_language_id, op9_media_columns, op10_url_filter, op10_url_filter_whole, op12_merkle_manifest)}
