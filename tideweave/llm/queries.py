@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import chat_examples
 from .hmm import score_documents
 from .jaccard import similar_groups
 from .langid import identify
@@ -14,6 +15,7 @@ from .mixing import mix_sources
 from .pii import find_personal_data
 from .quality import quality_rules
 from .spm import encode_documents
+from .trie import conversation_trie
 from .urls import judge_urls
 
 
@@ -72,8 +74,16 @@ def op10_url_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), whole=True).drop("score")
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_proofs(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_personal_data, op4_quality_rules, op5_sentencepiece, op6_ngram_jaccard_join, op7_hmm_scores, op8_language_id, op9_media_columns, op10_url_filter, op10_url_filter_whole, op12_merkle_manifest)}
+def op13_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_examples(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_personal_data, op4_quality_rules, op5_sentencepiece, op6_ngram_jaccard_join, op7_hmm_scores, op8_language_id, op9_media_columns, op10_url_filter, op10_url_filter_whole, op11_conversation_trie, op12_merkle_manifest, op13_chat_examples)}
