@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.chance import unit
 from ..functions.windows import floor_to
-from .joins import interval_join
+from .factorised import band_matches
 
 
 def range_of(attr: str, ranges: list[tuple[int, int]]) -> Column:
@@ -30,12 +30,21 @@ def earliest(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
+def first_k(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
+    """The first k rows of each group: Spark keeps k rows a group in each task before the shuffle, and k after it."""
+    place = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("place_", F.row_number().over(place)).filter(F.col("place_") <= k).drop("place_")
+
+
 def match_matrix(one: DataFrame, two: DataFrame, keys: tuple[str, str], times: tuple[str, str], reach: int, attrs: tuple[str, str], ranges: list[tuple[int, int]]) -> DataFrame:
-    """(low, high, matches): joined pairs per unordered pair of ranges."""
-    a = one.withColumn("r1", range_of(attrs[0], ranges)).filter("r1 is not null").select(keys[0], times[0], "r1")
-    b = two.withColumn("r2", range_of(attrs[1], ranges)).filter("r2 is not null").select(keys[1], times[1], "r2")
-    pairs = interval_join(a, b, [keys], times, reach)
-    return pairs.groupBy(F.least("r1", "r2").alias("low"), F.greatest("r1", "r2").alias("high")).agg(F.count(F.lit(1)).alias("matches"))
+    """(low, high, matches): joined pairs per unordered pair of ranges, counted by a sweep over each key's times."""
+    r1, names = range_of(attrs[0], ranges), [f"m{i}" for i in range(len(ranges))]
+    a = one.filter(r1.isNotNull()).select(F.col(keys[0]).alias("key"), F.col(times[0]).alias("at"), *[(r1 == i).cast("bigint").alias(c) for i, c in enumerate(names)])
+    b = two.select(F.col(keys[1]).alias("key"), F.col(times[1]).alias("at"), range_of(attrs[1], ranges).alias("r2")).filter("r2 is not null")
+    got = band_matches(a, b, ["key"], "at", reach, names, ["r2"])
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("r1"), F.col(f"n_{c}").alias("n")) for i, c in enumerate(names)])).alias("x")
+    pairs = got.select("r2", each).filter("x.n > 0")
+    return pairs.groupBy(F.least("x.r1", "r2").alias("low"), F.greatest("x.r1", "r2").alias("high")).agg(F.sum("x.n").alias("matches"))
 
 
 def latency(df: DataFrame, ms: str, emitted: str, interval: int, order: list[str]) -> DataFrame:

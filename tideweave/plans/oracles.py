@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.chance import cumulative
-from .queries import FIFTHS, LONG, MIXED, N, SIZE, SLIDE, STEP, TENTHS
+from .queries import FIFTHS, LONG, MIXED, N, SAMPLE, SIZE, SLIDE, STEP, TENTHS
 from .specs import family
 
 DAY, HOUR = 86_400_000, 3_600_000
@@ -266,8 +266,8 @@ union all select 2, window_start, a_long1, count(*)::double from ({_triples(DAY,
     "range_selectivity": _with(ENTITY, " union all ".join(f"select {i} as range, {lo}::bigint as lo, {hi}::bigint as hi, count(*) filter (filter_attr between {lo} and {hi}) as selected, count(*) as total from entity" for i, (lo, hi) in enumerate(FIFTHS))),
     "join_match_matrix": _with(
         ENTITY,
-        f"x as (select *, {IN_FIFTH.format(x='filter_attr')} as r from a order by ms, id limit 8500)",
-        f"y as (select *, {IN_FIFTH.format(x='filter_attr')} as r from b order by ms, id limit 1500)",
+        f"x as (select *, {IN_FIFTH.format(x='filter_attr')} as r from a)",
+        f"y as (select *, {IN_FIFTH.format(x='filter_attr')} as r from b)",
         f"select least(x.r, y.r) as low, greatest(x.r, y.r) as high, count(*) as matches from x join y on x.pk = y.fk and abs(x.ms - y.ms) <= {SIZE} group by 1, 2",
     ),
     "join_match_matrix_all": _with(
@@ -276,6 +276,15 @@ union all select 2, window_start, a_long1, count(*)::double from ({_triples(DAY,
         f"y as (select *, {IN_FIFTH.format(x='filter_attr')} as r from b)",
         f"select least(x.r, y.r) as low, greatest(x.r, y.r) as high, count(*) as matches from x join y on x.pk = y.fk and abs(x.ms - y.ms) <= {SIZE} group by 1, 2",
     ),
+    "split_sample_stats": _with(
+        ENTITY,
+        MIX,
+        f"r as (select type, case type when 'A' then pk else fk end as key, ms, qid, ms // {10 * DAY} * {10 * DAY} as window_start, row_number() over (partition by type, qid, ms // {10 * DAY} order by ms, id) as place from entity join q on filter_attr between lo and hi where type in ('A', 'B'))",
+        f"s as (select * from r where place <= case type when 'A' then {SAMPLE[0]} else {SAMPLE[1]} end)",
+        "n as (select qid, window_start, count(*) filter (type = 'A') as sampled_a, count(*) filter (type = 'B') as sampled_b from s group by 1, 2)",
+        f"m as (select x.qid, x.window_start, count(*) as matches from s x join s y on x.type = 'A' and y.type = 'B' and x.qid = y.qid and x.window_start = y.window_start and x.key = y.key and abs(x.ms - y.ms) <= {SIZE} group by 1, 2)",
+        "select qid, window_start, sampled_a, sampled_b, coalesce(matches, 0) as matches from n left join m using (qid, window_start)",
+    ),
     "split_stats": _with(
         ENTITY,
         MIX,

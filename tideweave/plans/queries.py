@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..functions.codec import full_name
 from ..functions.masks import mask_words, words_in
 from ..functions.windows import DAY, emitted_at, floor_to, starts, with_windows
 from ..operators import aggregates as A
+from ..operators import factorised as X
 from ..operators import joins as J
 from ..operators import queryset as Q
 from ..operators import stats as S
@@ -25,6 +28,8 @@ N = 32
 #: query, lo, hi: mixed selectivity from 0, and a tenth of the domain each
 MIXED = [(q, 0, (37 * q + 11) % 100) for q in range(N)]
 TENTHS = [(q, (29 * q) % 91, (29 * q) % 91 + 9) for q in range(N)]
+# Rows of A and of B in a sample for splitting queries.
+SAMPLE = (850, 150)
 FIFTHS = [(20 * i, 20 * i + 19) for i in range(5)]
 
 QUERIES: dict = {}
@@ -202,14 +207,21 @@ def _shared(spark, sf_dir) -> DataFrame:
     return Q.per_query(_pairs(spark, sf_dir, mask=lambda r: Q.assign(r, MIXED)), N)
 
 
+def _sums(spark, sf_dir, ranges, slide, by: list[str], sums: list[str]) -> DataFrame:
+    """Counts and sums of the shared join, from both sides' counts."""
+    n = len(ranges)
+    a, b = (_side(spark, sf_dir, k, lambda r: Q.assign(r, ranges)) for k in "AB")
+    return X.window_join_sums(a, b, ("a_pk", "b_fk"), ("a_ms", "b_ms"), SIZE, slide, by, sums, ("a_qmask", "b_qmask"), n)
+
+
 @query
 def shared_join_mean(spark, sf_dir):
-    return A.mean(_shared(spark, sf_dir), ["qid", "window_start", "a_pk"], "b_long2")
+    return _sums(spark, sf_dir, MIXED, SLIDE, ["a_pk"], ["b_long2"]).select("qid", "window_start", "a_pk", X.mean_of("b_long2").alias("mean"))
 
 
 @query
 def shared_join_count(spark, sf_dir):
-    return A.count(_shared(spark, sf_dir), ["qid", "window_start", "a_pk"])
+    return _sums(spark, sf_dir, MIXED, SLIDE, ["a_pk"], [])
 
 
 @query
@@ -225,8 +237,7 @@ def shared_join_max(spark, sf_dir):
 @query
 def shared_three_way_count(spark, sf_dir):
     sides = [_side(spark, sf_dir, k, lambda r: Q.assign(r, MIXED)) for k in "ABC"]
-    t = J.three_way(*sides, ("a_pk", "b_fk"), ("b_pk", "c_fk"), ("a_ms", "b_ms", "c_ms"), SIZE, SIZE, ("a_qmask", "b_qmask", "c_qmask"))
-    return A.count(Q.per_query(t, N), ["qid", "window_start"])
+    return X.three_way_counts(*sides, ("a_pk", "b_fk"), ("b_pk", "c_fk"), ("a_ms", "b_ms", "c_ms"), SIZE, ("a_qmask", "b_qmask", "c_qmask"), N)
 
 
 @query
@@ -289,8 +300,7 @@ SPECS = """{"dataAnalyticsQueries": [
 def shared_join_100(spark, sf_dir):
     """A hundred range queries over one join: query sets of several words."""
     ranges = [(q, q % 90, q % 90 + 9 + q % 7) for q in range(100)]
-    pairs = _pairs(spark, sf_dir, SIZE, SIZE, mask=lambda r: Q.assign(r, ranges))
-    return A.count(Q.per_query(pairs, 100), ["qid", "window_start"])
+    return _sums(spark, sf_dir, ranges, SIZE, [], [])
 
 
 @query
@@ -298,9 +308,12 @@ def workload_family(spark, sf_dir):
     """Queries of one generated workload, windows of 60 hours every hour: pairs per query, counted in each shared window."""
     n, hour = 12, 3_600_000
     specs = P.family(n, None, size=60 * hour, slide=hour)
-    sides = [_side(spark, sf_dir, k, lambda r, i=i: Q.assign(r, [(q, *s.ranges[i]) for q, s in enumerate(specs)])) for i, k in enumerate("AB")]
-    pairs = J.window_join(*sides, [("a_pk", "b_fk")], ("a_ms", "b_ms"), 60 * hour, hour, ("a_qmask", "b_qmask"))
-    return Q.per_query(pairs, n).groupBy("qid").agg(F.count("*").alias("pairs"), F.sum(J.shared_windows(hour)).cast("bigint").alias("matches"))
+    ranges = lambda i: [(q, *s.ranges[i]) for q, s in enumerate(specs)]
+    pane = (floor_to("ms", hour) / hour).cast("bigint").alias("pane")
+    a, b = (Q.per_query(Q.assign(V.entity(spark, sf_dir).filter(F.col("type") == k), ranges(i)), n).select("qid", F.col(key).alias("key"), pane, F.lit(1).cast("bigint").alias("one")) for i, (k, key) in enumerate((("A", "pk"), ("B", "fk"))))
+    # a row is in the 60 windows up to its pane: two rows d panes apart share 60 - d
+    got = X.band_matches(a, b, ["qid", "key"], "pane", 59, ["one"], ["qid"], gaps=True)
+    return got.select("qid", F.col("n_one").alias("pairs"), (60 * F.col("n_one") - F.col("gap_one")).alias("matches")).filter("pairs > 0")
 
 
 # interval joins
@@ -368,9 +381,8 @@ def window_join_agg(spark, sf_dir):
     """
     a = V.auction(spark, sf_dir).select("id", "category", F.col("ms").alias("a_ms"))
     b = V.bid(spark, sf_dir).select("auction", "price", F.col("ms").alias("b_ms"))
-    pairs = J.in_each_window(J.window_join(a, b, [("id", "auction")], ("a_ms", "b_ms"), LONG, STEP), STEP)
-    sums = pairs.groupBy("window_start", "category").agg(F.sum("price").alias("s"), F.count("*").alias("n"))
-    later = sums.withColumn("out_window", F.explode(starts(emitted_at("window_start", LONG), LONG, STEP)))
+    sums = X.window_join_sums(a, b, ("id", "auction"), ("a_ms", "b_ms"), LONG, STEP, ["category"], ["price"])
+    later = sums.select("window_start", "category", F.col("sum_price").alias("s"), "n").withColumn("out_window", F.explode(starts(emitted_at("window_start", LONG), LONG, STEP)))
     return later.groupBy("out_window", "category").agg((F.sum("s").cast("double") / F.sum("n")).alias("mean"))
 
 
@@ -462,30 +474,45 @@ def range_selectivity(spark, sf_dir):
     return S.selectivity(V.entity(spark, sf_dir), FIFTHS)
 
 
+def _matrix(spark, sf_dir) -> DataFrame:
+    return S.match_matrix(_side(spark, sf_dir, "A"), _side(spark, sf_dir, "B"), ("a_pk", "b_fk"), ("a_ms", "b_ms"), SIZE, ("a_filter_attr", "b_filter_attr"), FIFTHS)
+
+
 @query
 def join_match_matrix(spark, sf_dir):
-    """Joined pairs per pair of ranges, from the first 8,500 rows of A and 1,500 of B."""
-    a = S.earliest(_side(spark, sf_dir, "A"), 8500, ["a_ms", "a_id"])
-    b = S.earliest(_side(spark, sf_dir, "B"), 1500, ["b_ms", "b_id"])
-    return S.match_matrix(a, b, ("a_pk", "b_fk"), ("a_ms", "b_ms"), SIZE, ("a_filter_attr", "b_filter_attr"), FIFTHS)
+    """Joined pairs per pair of ranges."""
+    return _matrix(spark, sf_dir)
 
 
 @query
 def join_match_matrix_all(spark, sf_dir):
-    """Joined pairs per pair of ranges, from all rows of A and B."""
-    return S.match_matrix(_side(spark, sf_dir, "A"), _side(spark, sf_dir, "B"), ("a_pk", "b_fk"), ("a_ms", "b_ms"), SIZE, ("a_filter_attr", "b_filter_attr"), FIFTHS)
+    """The same by its earlier name."""
+    return _matrix(spark, sf_dir)
 
 
 @query
 def split_stats(spark, sf_dir):
-    """Per query and ten days: rows of A that it selects, and its joined pairs."""
-    a, b = (_side(spark, sf_dir, k, lambda r: Q.assign(r, MIXED)) for k in "AB")
+    """Per query and ten days: rows of A that it selects, and its joined pairs, by the later row's time."""
     step = 10 * DAY
-    chosen = Q.per_query(a, N, "a_qmask").groupBy("qid", floor_to("a_ms", step).alias("window_start")).agg(F.count("*").alias("selected"))
-    pairs = J.interval_join(a, b, [("a_pk", "b_fk")], ("a_ms", "b_ms"), SIZE, ("a_qmask", "b_qmask"))
-    matched = Q.per_query(pairs, N).groupBy("qid", floor_to(F.greatest("a_ms", "b_ms"), step).alias("window_start")).agg(F.count("*").alias("matches"))
-    both = chosen.join(matched, ["qid", "window_start"], "full")
-    return both.select("qid", "window_start", F.coalesce("selected", F.lit(0)).alias("selected"), F.coalesce("matches", F.lit(0)).alias("matches"))
+    side = lambda k, key: Q.per_query(Q.assign(V.entity(spark, sf_dir).filter(F.col("type") == k), MIXED).select(F.col(key).alias("key"), "ms", "qmask"), N)
+    a, b = side("A", "pk"), side("B", "fk")
+    at = floor_to("ms", step).alias("window_start")
+    chosen = a.groupBy("qid", at).agg(F.count("*").alias("selected"), F.lit(0).cast("bigint").alias("matches"))
+    later = [X.partners_before(x, y, ["qid", "key"], "ms", SIZE, strictly).groupBy("qid", at).agg(F.lit(0).cast("bigint").alias("selected"), F.sum("partners").alias("matches")) for x, y, strictly in ((a, b, False), (b, a, True))]
+    both = chosen.unionByName(later[0]).unionByName(later[1]).groupBy("qid", "window_start").agg(F.sum("selected").alias("selected"), F.sum("matches").alias("matches"))
+    return both.filter("selected > 0 or matches > 0")
+
+
+@query
+def split_sample_stats(spark, sf_dir):
+    """Per query and ten days, of the first 850 rows of A and 150 of B that it selects: how many there are, and their joined pairs."""
+    side = lambda k, key, most: S.first_k(Q.per_query(Q.assign(V.entity(spark, sf_dir).filter(F.col("type") == k), MIXED).select("id", F.col(key).alias("key"), "ms", "qmask", floor_to("ms", 10 * DAY).alias("window_start")), N), ["qid", "window_start"], ["ms", "id"], most).drop("id")
+    a, b = side("A", "pk", SAMPLE[0]), side("B", "fk", SAMPLE[1])
+    zero = lambda c: F.lit(0).cast("bigint").alias(c)
+    parts = [a.groupBy("qid", "window_start").agg(F.count("*").alias("sampled_a"), zero("sampled_b"), zero("matches")), b.groupBy("qid", "window_start").agg(zero("sampled_a"), F.count("*").alias("sampled_b"), zero("matches"))]
+    pairs = X.band_matches(a.withColumn("one", F.lit(1).cast("bigint")), b, ["qid", "window_start", "key"], "ms", SIZE, ["one"], ["qid", "window_start"])
+    parts.append(pairs.select("qid", "window_start", zero("sampled_a"), zero("sampled_b"), F.col("n_one").alias("matches")))
+    return reduce(DataFrame.unionByName, parts).groupBy("qid", "window_start").agg(*[F.sum(c).alias(c) for c in ("sampled_a", "sampled_b", "matches")])
 
 
 @query
