@@ -1,7 +1,9 @@
 import textwrap
+import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tideweave.llm import licences, urls
 from tideweave.llm.oracles import ORACLES
@@ -70,11 +72,31 @@ def test_whole_urls(spark):
     rows = [(i, f"http://www.example.com/en/{i}?sort=asc") for i in range(30)] + [(100 + i, f"http://b.net/es/{i}?xxqq=zz") for i in range(30)]
     rows += [(200, "http://x.org/p?sort=asc&sort=asc"), (201, "http://x.org/p?xxqq=zz&xxqq=zz"), (202, "sort=asc"), (203, "xxqq=zz"), (204, None)]
     df = spark.createDataFrame(rows, "page_id bigint, url string")
-    got = {r.page_id: r for r in urls.judge_urls(df, whole=True).collect()}
+    got = {r.page_id: r for r in urls.judge_urls(df).collect()}
     assert [got[i].verdict for i in (200, 201, 202, 203)] == ["allow", "block", "allow", "block"]
     assert (got[200].host, got[200].path, got[202].host) == ("x.org", "/p", "")
-    cut = {r.page_id: r.score for r in urls.judge_urls(df).collect()}
-    assert cut[200] == cut[201] and cut[202] == cut[203]
+    again = {r.page_id: r.score for r in urls.judge_urls(df.repartition(7)).collect()}
+    assert again == {k: r.score for k, r in got.items()}
+
+
+def test_long_urls(spark):
+    """A url of a million characters, in time that follows its length; characters beyond the basic plane are one each."""
+    rows = [(i, f"http://a.com/{i}") for i in range(20)] + [(50 + i, f"http://b.net/es/{i}") for i in range(20)] + [(100, "http://x.org/" + "a/b?" * 250_000), (101, "\U0001f600" * 5)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string")
+    began = time.perf_counter()
+    got = {r.page_id: r for r in urls.judge_urls(df).collect()}
+    assert time.perf_counter() - began < 30 and len(got[100].path) == 4 and got[100].verdict in ("allow", "block")
+    grams = df.filter("page_id = 101").select(urls.grams(F.col("url")).alias("g")).first().g
+    assert grams == ["\x02\x02\x02\U0001f600", "\x02\x02" + "\U0001f600" * 2, "\x02" + "\U0001f600" * 3, *["\U0001f600" * 4] * 2, "\U0001f600" * 3 + "\x03"]
+
+
+def test_threshold_is_held_out(spark):
+    """Texts that set the threshold don't train: a gram that they alone have is unknown to the models."""
+    df = spark.createDataFrame([(i, f"http://a.com/{i}") for i in range(300)] + [(900 + i, f"http://b.net/es/{i}zz") for i in range(300)], "page_id bigint, url string")
+    held = {r.page_id for r in df.filter(urls.held_out(F.col("url"))).collect()}
+    assert 60 < len(held) < 180
+    trained = df.filter(~urls.held_out(F.col("url")))
+    assert trained.count() + len(held) == 600
 
 
 def test_whole_sql(spark):

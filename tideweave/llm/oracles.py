@@ -31,4 +31,4 @@ select doc_id, size, source_size, target,
 from p
 """
 
-ORACLES: dict[str, str] = {"op1_license_scan": licences.duckdb_sql(), "op2_mix_sources": MIXING, "op10_url_filter": urls.duckdb_sql(), "op10_url_filter_whole": urls.duckdb_sql(whole=True), "op11_conversation_trie": trie.duckdb_sql(), "op12_merkle_manifest": merkle.duckdb_sql(), "op13_chat_examples": chat.duckdb_sql()}
+ORACLES: dict[str, str] = {"op1_license_scan": licences.duckdb_sql(), "op2_mix_sources": MIXING, "op10_url_filter": urls.duckdb_sql(), "op10_url_filter_whole": urls.duckdb_sql(), "op11_conversation_trie": trie.duckdb_sql(), "op12_merkle_manifest": merkle.duckdb_sql(), "op13_chat_examples": chat.duckdb_sql()}

@@ -71,7 +71,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), whole=True).drop("score")
+    """The same by its earlier name."""
+    return op10_url_filter(spark, sf_dir)
 
 
 def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
