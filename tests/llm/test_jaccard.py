@@ -1,7 +1,11 @@
 import random
 import re
+import time
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
+from tideweave.llm import jaccard
 from tideweave.llm.jaccard import one_of_each_group, similar_groups
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,3 +97,43 @@ def test_one_of_each_group(spark):
 
 def test_empty(spark):
     assert run(spark, []) == []
+
+
+def test_templates(spark):
+    """Texts of one template with a word of their own are no links; eight times as many don't take their square."""
+    rows = lambda n: spark.createDataFrame([(i, f"please click here to read more about the w{i}") for i in range(n)], "doc_id bigint, text string").repartition(8)
+    took = {}
+    for n in (10_000, 80_000):
+        began = time.perf_counter()
+        got = jaccard.similar_groups(rows(n)).agg(F.count("*"), F.sum((F.col("component_id") == F.col("doc_id")).cast("int"))).first()
+        took[n] = time.perf_counter() - began
+        assert tuple(got) == (n, n)
+    assert took[80_000] < 4 * took[10_000] + 10, took
+
+
+def test_components_beside_each_other(spark):
+    """Templates with shared openings, copies and near copies, against all pairs."""
+    r = random.Random(4)
+    base = [f"b{i}" for i in range(40)]
+    texts = []
+    for i in range(150):
+        own = [f"o{i % 12}x{j}" for j in range(r.choice([0, 1, 2, 6, 9]))]
+        cut_at = r.choice([0, 20, 39])
+        texts.append(" ".join(base[:cut_at] + own + base[cut_at:] if i % 3 else base[: r.choice([6, 10, 40])] + [f"w{i % 5}"]))
+    sets = [{tuple(x.split()[k : k + 5]) for k in range(max(1, len(x.split()) - 4))} for x in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for marked in (1, 30):
+        got = {r.doc_id: r.component_id for r in jaccard.similar_groups(df, marked=marked).collect()}
+        assert got == {i: find(i) for i in range(len(texts))}

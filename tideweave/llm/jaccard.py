@@ -31,8 +31,9 @@ from .components import components
 from .shared import cut, map_arrow
 from .textkit import grams, mix, pieces, words
 
-#: Cells of the sketch: 16 MB on the driver at 4 bytes, a 512 KB bitmap for the tasks.
-CELLS = 1 << 22
+#: Cells of the sketch, at least and at most: one for about 16 words between these. The most are 64 MB in a task, 128 MB on
+#: the driver and a bitmap of 2 MB for the tasks.
+CELLS, MOST_CELLS = 1 << 22, 1 << 24
 WIDTH = 5
 NUM, DEN = 4, 5
 #: How far above the mean a cell is marked at least, and nodes in a part of a marked shingle's tile, about.
@@ -197,7 +198,13 @@ def mark(counts: np.ndarray, least: int = MARKED) -> np.ndarray:
     return counts > mean + 5 * mean**0.5 + least
 
 
-def similar_groups(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, cells: int = CELLS, marked: int = MARKED) -> DataFrame:
+def cells_for(texts: DataFrame) -> int:
+    """Cells of the sketch for texts(text): a power of two."""
+    words = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
+    return min(max(CELLS, 1 << (words // 16).bit_length()), MOST_CELLS)
+
+
+def similar_groups(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, cells: int | None = None, marked: int = MARKED) -> DataFrame:
     """docs(doc_id bigint, text string, ...) to (doc_id, n_shingles, component_id), one row per row of docs.
 
     Two rows link when |A and B| / |A or B| >= num/den over sets of `width`-word shingles of the text with A-Z
@@ -217,7 +224,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     text hash; of rows that agree in both, one. Rows without words link with nothing and all stay. Columns stay as they
     are, whatever their names; an empty table gives no rows.
     """
-    prints, nodes = _nodes(docs, WIDTH, NUM, DEN, CELLS, MARKED)
+    prints, nodes = _nodes(docs, WIDTH, NUM, DEN, None, MARKED)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "print")).alias("first")
     keep = prints.filter("key is not null").join(nodes.select(F.col("node").alias("key"), "root"), "key").groupBy("root").agg(first)
     keep = keep.select("first.*").unionByName(prints.filter("key is null").select(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "print").distinct())
@@ -236,9 +243,10 @@ def _nodes(docs: DataFrame, width, num, den, cells, least) -> tuple[DataFrame, D
     """(doc_id, print, n_shingles, key) of each row, and (node, root, component_id) of each key."""
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), _print().alias("print"))
+    cells = cells or cells_for(plain)
     seen = cut(map_arrow(plain, _fingerprint(width, cells), "doc_id bigint, print bigint, n_shingles bigint, key bigint, bits binary, chunk int, cells binary"))
     prints = seen.filter("n_shingles is not null").select("doc_id", "print", "n_shingles", "key")
-    counts = sketch.summed(seen.filter("chunk is not null"), cells, "uint32")
+    counts = sketch.summed(seen.filter("chunk is not null"), cells, "uint32", "uint64")
     marked = spark.sparkContext.broadcast(np.packbits(mark(counts, least)).tobytes())
     del counts
 
@@ -307,13 +315,24 @@ def _chain_pairs(tiles: DataFrame, num, den) -> DataFrame:
 
 
 def _cross_pairs(tiles: DataFrame, roots: DataFrame, num, den) -> DataFrame:
-    """All pairs of a tile whose components differ and whose sizes fit."""
-    named = tiles.join(roots, "node", "left").select("token", "band", "node", "size", "rest", "guest", F.coalesce("root", "node").alias("root"))
-    mixed = named.groupBy("token", "band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token", "band")
-    open_ = named.join(mixed, ["token", "band"])
-    x = open_.select("token", "band", F.col("guest").alias("ga"), F.col("node").alias("a"), F.col("size").alias("na"), F.col("rest").alias("ra"), F.col("root").alias("ca"))
-    y = open_.select("token", "band", F.col("guest").alias("gb"), F.col("node").alias("b"), F.col("size").alias("nb"), F.col("rest").alias("rb"), F.col("root").alias("cb"))
-    return x.join(y, ["token", "band"]).filter("a < b and ca <> cb and not (ga and gb)").filter(_fits(num, den)).select("a", "b").distinct()
+    """All pairs of a tile whose components differ and whose sizes fit.
+
+    Whether a pair fits depends on its sizes and rests alone, and a tile has few of these. So they are tried first, then
+    the components that have them, and nodes are paired only where both fit: a tile of many texts that share a template
+    and can't be near takes one trial, and a large component beside a small one takes their product, not its square.
+    """
+    named = cut(tiles.join(roots, "node", "left").select("token", "band", "node", "size", "rest", "guest", F.coalesce("root", "node").alias("root")))
+    tile, kind = ["token", "band"], ["guest", "size", "rest"]
+    kinds = named.groupBy(*tile, *kind).agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    x = kinds.select(*tile, F.col("guest").alias("ga"), F.col("size").alias("na"), F.col("rest").alias("ra"), F.col("low").alias("la"), F.col("high").alias("ha"))
+    y = kinds.select(*tile, F.col("guest").alias("gb"), F.col("size").alias("nb"), F.col("rest").alias("rb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
+    fit = x.join(y, tile).filter("not (ga and gb) and (la <> ha or lb <> hb or la <> lb)").filter(_fits(num, den)).select(*tile, "ga", "na", "ra", "gb", "nb", "rb")
+    side = lambda rows, k, *more: rows.select(*tile, F.col("guest").alias(f"g{k}"), F.col("size").alias(f"n{k}"), F.col("rest").alias(f"r{k}"), F.col("root").alias(f"c{k}"), *more)
+    held = named.select(*tile, *kind, "root").distinct()
+    one, two = [*tile, "ga", "na", "ra"], [*tile, "gb", "nb", "rb"]
+    apart = fit.join(side(held, "a"), one).join(side(held, "b"), two).filter("ca < cb")
+    pairs = apart.join(side(named, "a", F.col("node").alias("x")), [*one, "ca"]).join(side(named, "b", F.col("node").alias("y")), [*two, "cb"])
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 def _within_bound(pairs: DataFrame, maps: DataFrame, num, den) -> DataFrame:

@@ -30,15 +30,16 @@ def chunks_of(cells: np.ndarray) -> Iterator[tuple[int, bytes]]:
             yield i // CHUNK, zlib.compress(part.tobytes(), 1)
 
 
-def summed(parts: DataFrame, size: int, dtype: str) -> np.ndarray:
-    """Sum of all rows (chunk int, cells binary) as one array of `size` cells."""
+def summed(parts: DataFrame, size: int, dtype: str, total: str | None = None) -> np.ndarray:
+    """Sum of all rows (chunk int, cells binary) as one array of `size` cells; cells of `dtype` are summed as `total`."""
     n = (size + CHUNK - 1) // CHUNK
+    total = total or dtype
 
-    def add(batches):
+    def add(batches, kind):
         held: dict[int, np.ndarray] = {}
         for b in batches:
             for i in range(b.num_rows):
-                k, x = b.column(0)[i].as_py(), np.frombuffer(zlib.decompress(b.column(1)[i].as_py()), dtype)
+                k, x = b.column(0)[i].as_py(), np.frombuffer(zlib.decompress(b.column(1)[i].as_py()), kind).astype(total)
                 if k in held:
                     held[k] += x
                 else:
@@ -48,9 +49,10 @@ def summed(parts: DataFrame, size: int, dtype: str) -> np.ndarray:
 
     rows = parts.select("chunk", "cells").repartition("chunk", F.pmod(F.spark_partition_id(), F.lit(LANES)))
     for by in (None, n):
-        rows = map_arrow(rows if by is None else rows.repartition(by, "chunk"), add, "chunk int, cells binary")
-    out = np.zeros(size, dtype)
+        kind = dtype if by is None else total
+        rows = map_arrow(rows if by is None else rows.repartition(by, "chunk"), lambda b, kind=kind: add(b, kind), "chunk int, cells binary")
+    out = np.zeros(size, total)
     for r in rows.collect():
-        x = np.frombuffer(zlib.decompress(r.cells), dtype)
+        x = np.frombuffer(zlib.decompress(r.cells), total)
         out[r.chunk * CHUNK : r.chunk * CHUNK + len(x)] += x
     return out
