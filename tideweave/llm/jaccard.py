@@ -31,7 +31,7 @@ from .components import components
 from .shared import cut, map_arrow
 from .textkit import grams, mix, pieces, words
 
-#: Cells of the sketch, at least and at most: one for about 16 words between these. The most are 64 MB in a task, 128 MB on
+#: Cells of the sketch, at least and at most: one for about 64 words between these. The most are 64 MB in a task, 128 MB on
 #: the driver and a bitmap of 2 MB for the tasks.
 CELLS, MOST_CELLS = 1 << 22, 1 << 24
 WIDTH = 5
@@ -201,7 +201,7 @@ def mark(counts: np.ndarray, least: int = MARKED) -> np.ndarray:
 def cells_for(texts: DataFrame) -> int:
     """Cells of the sketch for texts(text): a power of two."""
     words = (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    return min(max(CELLS, 1 << (words // 16).bit_length()), MOST_CELLS)
+    return min(max(CELLS, 1 << (words // 64).bit_length()), MOST_CELLS)
 
 
 def similar_groups(docs: DataFrame, width: int = WIDTH, num: int = NUM, den: int = DEN, cells: int | None = None, marked: int = MARKED) -> DataFrame:
@@ -321,8 +321,10 @@ def _cross_pairs(tiles: DataFrame, roots: DataFrame, num, den) -> DataFrame:
     the components that have them, and nodes are paired only where both fit: a tile of many texts that share a template
     and can't be near takes one trial, and a large component beside a small one takes their product, not its square.
     """
-    named = cut(tiles.join(roots, "node", "left").select("token", "band", "node", "size", "rest", "guest", F.coalesce("root", "node").alias("root")))
     tile, kind = ["token", "band"], ["guest", "size", "rest"]
+    named = tiles.join(roots, "node", "left").select("token", "band", "node", "size", "rest", "guest", F.coalesce("root", "node").alias("root"))
+    mixed = named.groupBy(*tile).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select(*tile)
+    named = cut(named.join(mixed, tile))
     kinds = named.groupBy(*tile, *kind).agg(F.min("root").alias("low"), F.max("root").alias("high"))
     x = kinds.select(*tile, F.col("guest").alias("ga"), F.col("size").alias("na"), F.col("rest").alias("ra"), F.col("low").alias("la"), F.col("high").alias("ha"))
     y = kinds.select(*tile, F.col("guest").alias("gb"), F.col("size").alias("nb"), F.col("rest").alias("rb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
