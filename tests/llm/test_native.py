@@ -1,3 +1,5 @@
+import random
+import re
 import textwrap
 import time
 
@@ -117,7 +119,60 @@ def test_published_texts(spark):
     gpl = [GPL[0], GPL[1] + " for more details.", "You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."]
     gap = " ".join(f"word{i}" for i in range(60))
     texts = [(mit, "MIT"), ([*BSD, as_is], "BSD-3-Clause"), ([*BSD[:3], as_is], "BSD-2-Clause"), (apache, "Apache-2.0"), (mpl, "MPL-2.0"), (gpl, "GPL-3.0-or-later"), ([mit[0], gap, *mit[1:]], "unknown"), ([mit[0], gap[:200], *mit[1:]], "MIT")]
-    texts += [([x], y) for x, y in (("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1-or-later"), ("Made available under the terms of the Eclipse Public License v2.0.", "EPL-2.0"), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"), ("Licensed under either of", ""), ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"))]
-    rows = [(i, "\n".join(y for part in parts for y in [*textwrap.wrap(part, 78), ""])) for i, (parts, _) in enumerate(texts)]
+    texts += [([x], y) for x, y in (("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1-or-later"), ("Made available under the terms of the Eclipse Public License v2.0.", "EPL-2.0"), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"), ("Licensed under either of", ""), ("Distributed under GPLv3.", "GPL-3.0-only"), ("Released under the MIT.", "MIT"), ("Available under Apache-2.0.", "Apache-2.0"), ("Released under the GNU GPL v3 license.", "GPL-3.0-only"), ("Licensed under GPLv3.", "GPL-3.0-only"), ("Governed by\nCC-BY-4.0", "CC-BY-4.0"), ("Subject to the MPL 2.0", "MPL-2.0"), ("SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT"), ("SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) AND BSD-3-Clause OR ISC", "BSD-3-Clause,Classpath-exception-2.0,GPL-2.0-or-later,ISC"), ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", "Apache-2.0,MIT"), ("MIT License\n\nCopyright (c) 2020", "MIT"), ("A story of the MIT License and more, with permission.", ""), ("Mozilla Public License Version 2.0\n==================================\n\n1. Definitions\n--------------\n\n1.1. \"Contributor\"\n    means each individual or legal entity that creates, contributes to\n    the creation of, or owns Covered Software.", "MPL-2.0"), ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n\n                            Preamble\n\n  The GNU General Public License is a free, copyleft license for\nsoftware and other kinds of works.", "GPL-3.0-only"), ("                  GNU LESSER GENERAL PUBLIC LICENSE\n                       Version 2.1, February 1999\n\n Copyright (C) 1991, 1999 Free Software Foundation, Inc.\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.", "LGPL-2.1-only"), ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.", "Apache-2.0"), ("Eclipse Public License - v 2.0\n\nTHE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE\nPUBLIC LICENSE (\"AGREEMENT\"). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT.", "EPL-2.0"), ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"))]
+    rows = [(i, "\n".join(y for part in parts for y in [*([part] if "\n" in part else textwrap.wrap(part, 78)), ""])) for i, (parts, _) in enumerate(texts)]
     got = {r.doc_id: r.licences for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert [got[i] for i in range(len(texts))] == [x for _, x in texts]
+
+
+def test_long_runs(spark):
+    """A million stops, line feeds, leads and names: time in proportion to the length."""
+    texts = ["license " + "." * 1_000_000, "license" + "\n" * 1_000_000, "license " + "?! " * 300_000, "licensed under " * 60_000, "licensed under mit" + " or mit" * 100_000, "license v" + ".v" * 300_000]
+    df = spark.createDataFrame([(i, x + " All rights reserved.") for i, x in enumerate(texts)], "doc_id bigint, text string").repartition(6)
+    began = time.perf_counter()
+    got = {r.doc_id: (r.n_sentences, r.licences) for r in licences.scan_licences(df).collect()}
+    assert time.perf_counter() - began < 60
+    assert {got[i] for i in (0, 1, 2, 3, 5)} == {(1, "proprietary")} and got[4] == (100_002, "MIT,proprietary")
+
+
+def plain_marks(text):
+    """The identifiers and gaps of a text, by trying every known sentence at every word of every sentence."""
+    known = {tuple(k.split()): v for k, v in licences.SENTENCES.items()}
+    names = {tuple(k.split()): v for k, v in licences.NAMES.items()}
+    longest = max(map(len, known))
+    heads = [tuple(x.split()) for lead in licences.LEADS for opener in licences.OPENERS for article in licences.ARTICLES for x in [f"{opener}{lead} {article}"]]
+    heads = sorted({*heads}, key=len, reverse=True)
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    sentences = [re.findall("[a-z0-9]+", x) for x in re.split(r"\n[^a-z0-9\n]*\n|(?<![.!?])(?<![^a-z0-9]v)[.!?]+[ \t\r\n]+", low)]
+    out, gap = [], 0
+    for words in sentences:
+        i = 0
+        while i < len(words):
+            best = next(((k, known[tuple(words[i : i + k])]) for k in range(min(longest, len(words) - i), 0, -1) if tuple(words[i : i + k]) in known), None)
+            for head in heads:
+                if tuple(words[i : i + len(head)]) == head:
+                    j = i + len(head)
+                    name = next(((k, names[tuple(words[j : j + k])]) for k in range(min(30, len(words) - j), 0, -1) if tuple(words[j : j + k]) in names), None)
+                    if name and (best is None or len(head) + name[0] > best[0]):
+                        best = (len(head) + name[0], name[1])
+            if best is None:
+                gap, i = gap + 1, i + 1
+                continue
+            if gap > licences.GAP:
+                out.append("/")
+            out.append(best[1])
+            gap, i = 0, i + best[0]
+    return out
+
+
+def test_sequences_by_brute_force(spark):
+    r = random.Random(6)
+    pieces = [*r.sample(sorted(licences.SENTENCES), 12), *("licensed under the " + n for n in r.sample(sorted(licences.NAMES), 12)), "released under mit", "distributed under gplv3", "word", "other words here", "the license", "w " * 45]
+    texts = []
+    for _ in range(150):
+        got = [r.choice(pieces) for _ in range(r.randrange(1, 7))]
+        texts.append(r.choice([" ", ". ", "\n\n", "\n# "]).join(f"plain {x}" if r.random() < 0.5 else x.upper() for x in got) + " x y z.")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for row in licences.scan_licences(df).collect():
+        want = [x for x in plain_marks(texts[row.doc_id]) if x != "/"]
+        assert row.sentence_ids.split() == want, texts[row.doc_id]

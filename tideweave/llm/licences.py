@@ -55,6 +55,22 @@ SENTENCES = {
     "you should have received a copy of the gnu lesser general public license along with this library": "gnu-copy",
     "you should have received a copy of the gnu affero general public license along with this program": "gnu-copy",
     "all rights reserved": "reserved",
+    "apache license version 2 0 january 2004": "apache-2-title",
+    "terms and conditions for use reproduction and distribution": "apache-2-terms",
+    "end of terms and conditions": "end-of-terms",
+    "gnu general public license version 2 june 1991": "gpl-2-title",
+    "gnu general public license version 3 29 june 2007": "gpl-3-title",
+    "gnu lesser general public license version 2 1 february 1999": "lgpl-2.1-title",
+    "gnu lesser general public license version 3 29 june 2007": "lgpl-3-title",
+    "gnu affero general public license version 3 19 november 2007": "agpl-3-title",
+    "the gnu general public license is a free copyleft license for software and other kinds of works": "gpl-3-preamble",
+    "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software": "agpl-3-preamble",
+    "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below": "lgpl-3-incorporates",
+    "the licenses for most software are designed to take away your freedom to share and change it": "gnu-preamble",
+    "contributor means each individual or legal entity that creates contributes to the creation of or owns covered software": "mpl-2-contributor",
+    "the accompanying program is provided under the terms of this eclipse public license epl": "epl-1-program",
+    "the accompanying program is provided under the terms of this eclipse public license agreement": "epl-program",
+    "any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement": "epl-acceptance",
 }
 # Runs of identifiers and the licence they stand for, in the order in which they are tried.
 RULES = [
@@ -79,8 +95,34 @@ RULES = [
     ("Apache-2.0 apache-terms apache-copy apache-warranty", "Apache-2.0"),
     ("mpl-2-header mpl-2-copy", "MPL-2.0"),
     ("mpl-2-header", "MPL-2.0"),
+    ("apache-2-title apache-2-terms end-of-terms", "Apache-2.0"),
+    ("apache-2-title apache-2-terms", "Apache-2.0"),
+    ("apache-2-title", "Apache-2.0"),
+    ("lgpl-3-title gnu-text lgpl-3-incorporates", "LGPL-3.0-only"),
+    ("lgpl-3-title gnu-text", "LGPL-3.0-only"),
+    ("lgpl-3-title", "LGPL-3.0-only"),
+    ("lgpl-2.1-title gnu-text gnu-preamble", "LGPL-2.1-only"),
+    ("lgpl-2.1-title gnu-text", "LGPL-2.1-only"),
+    ("lgpl-2.1-title", "LGPL-2.1-only"),
+    ("agpl-3-title gnu-text agpl-3-preamble", "AGPL-3.0-only"),
+    ("agpl-3-title gnu-text", "AGPL-3.0-only"),
+    ("agpl-3-title", "AGPL-3.0-only"),
+    ("gpl-3-title gnu-text gpl-3-preamble", "GPL-3.0-only"),
+    ("gpl-3-title gnu-text", "GPL-3.0-only"),
+    ("gpl-3-title", "GPL-3.0-only"),
+    ("gpl-2-title gnu-text gnu-preamble", "GPL-2.0-only"),
+    ("gpl-2-title gnu-text", "GPL-2.0-only"),
+    ("gpl-2-title", "GPL-2.0-only"),
+    ("MPL-2.0 mpl-2-contributor", "MPL-2.0"),
+    ("mpl-2-contributor", "MPL-2.0"),
+    ("EPL-2.0 epl-program epl-acceptance", "EPL-2.0"),
+    ("EPL-1.0 epl-1-program epl-acceptance", "EPL-1.0"),
+    ("EPL-2.0 epl-program", "EPL-2.0"),
+    ("EPL-1.0 epl-1-program", "EPL-1.0"),
     ("reserved", "proprietary"),
 ]
+# Exceptions that an expression adds to a licence.
+EXCEPTIONS = ("Classpath-exception-2.0", "LLVM-exception", "GCC-exception-3.1", "Linux-syscall-note", "Autoconf-exception-3.0", "Bison-exception-2.2", "Font-exception-2.0", "OpenJDK-assembly-exception-1.0")
 # Families of licences, their names and versions; other names and their licences.
 GNU = {"GPL": ("gnu general public license", "gnu gpl", "gpl"), "LGPL": ("gnu lesser general public license", "gnu library general public license", "gnu lgpl", "lgpl"), "AGPL": ("gnu affero general public license", "gnu agpl", "agpl")}
 GNU_VERSIONS = {"GPL": ("1.0", "2.0", "3.0"), "LGPL": ("2.0", "2.1", "3.0"), "AGPL": ("1.0", "3.0")}
@@ -156,16 +198,19 @@ def _names() -> dict[str, str]:
 
 #: References: the name after `@` and the identifier, which is the licence.
 NAMES = _names()
+#: What may follow a reference and `or`, `and` or `with`.
+MORE = NAMES | {re.sub("[^a-z0-9]+", " ", x.lower()).strip(): x for x in EXCEPTIONS}
 #: The notices of GNU headers go with the licence before them.
 RULES += [(f"{x} {more}", x) for more in ("gnu-warranty gnu-copy", "gnu-warranty", "gnu-copy") for x in sorted(set(NAMES.values())) if x.split("-")[0] in GNU]
-#: A reference begins with one of these; every sentence holds one of the stems, so a lead without one needs a name with one.
-ARTICLES = ("", "the terms of the ", "the terms of ", "the ", "a ", "an ")
-#: A stem of every known sentence: texts with none of them are not cut up.
-STEMS = "licen|permission|copyright|warrant|redistribut|rights reserved|public domain|endorse|advertising"
+#: A reference begins with one of these.
+ARTICLES = ("", "the terms of the ", "the terms of ", "the ", "a ", "an ", "either of the ", "either of ", "either the ", "either ")
+#: A stem of every known sentence or lead: texts with none of them are not cut up.
+STEMS = "licen|permission|copyright|warrant|redistribut|rights reserved|public domain|endorse|advertising|(?:released|distributed|published|provided|available)[^a-z0-9]+under|(?:covered|governed)[^a-z0-9]+by|subject[^a-z0-9]+to|accompanying program|constitutes recipient|terms and conditions|covered software|designed to take away"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Ends of sentences in lower-cased text: stops, though not that of a version's "v.", and lines without letters or digits.
-ENDS = "\\n[^a-z0-9\\n]*\\n|(?<![^a-z0-9]v)[.!?]+[ \\t\\r\\n]+"
+#: A run of stops is tried once, from its first one, so a text of stops alone takes time in proportion.
+ENDS = "\\n[^a-z0-9\\n]*+\\n|(?<![.!?])(?<![^a-z0-9]v)[.!?]++[ \\t\\r\\n]++"
 #: Comment prefixes of letters; those of signs go with all signs.
 PREFIX = "\\n[ \\t]*(rem|dnl)[ \\t]+"
 
@@ -187,15 +232,15 @@ def _tree(sentences) -> str:
 
 
 _OPEN = f"(?:{'|'.join(x for x in OPENERS if x)})?"
-_STEM = re.compile(STEMS)
 #: What goes for `@` before a reference is looked up.
 LEAD = f"{_OPEN}(?:{'|'.join(LEADS)}) (?:{'|'.join(x for x in ARTICLES if x)})?"
-_SURE = f"{_OPEN}(?:{'|'.join(x for x in LEADS if _STEM.search(x))}) (?:{'|'.join(x for x in ARTICLES if x)})?"
 #: GNU headers: redistribute and modify under the terms of a named licence.
 HEADER = "(?:this (?:program|library|software|file) is free software )?you can redistribute it and or modify it under the terms of the "
-#: Known sentences, of two that begin at the same word the longer one.
-KNOWN = f"(?<![a-z0-9])({_tree(SENTENCES)}|(?:{_SURE}|{HEADER}){_tree(NAMES)}|{LEAD}{_tree(n for n in NAMES if _STEM.search(n))})(?![a-z0-9])"
-LOOKUP = SENTENCES | {"@" + n: spdx for n, spdx in NAMES.items()}
+#: Known sentences, of two that begin at the same word the longer one; and headings, which are a name between ends alone.
+KNOWN = f"(?<![a-z0-9])({_tree(SENTENCES)}|(?:{LEAD}|{HEADER}){_tree(NAMES)}|(?<=Z |^ ?){_tree(NAMES)}(?= ?(?:Z|$)))(?![a-z0-9])"
+#: Names that go on with a reference or an expression: each begins where a known sentence or the name before it has ended.
+AND = f"(?:(?<=[a-z0-9]Q)|(?<!^)\\G)( (?:or|and|with|and or) (?:the |a |an )?)({_tree(MORE)})(?![a-z0-9])"
+LOOKUP = SENTENCES | {"@" + n: spdx for n, spdx in MORE.items()}
 
 
 def pieces(text: Column) -> Column:
@@ -203,7 +248,8 @@ def pieces(text: Column) -> Column:
     low = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
     ended = F.regexp_replace(F.regexp_replace(low, PREFIX, "\n"), ENDS, "Z")  # low has no capitals
     plain = F.regexp_replace(ended, "[^a-z0-9Z]+", " ")
-    return F.when(low.rlike(STEMS), F.split(F.regexp_replace(plain, KNOWN, "Q$1Q"), "Q")).otherwise(F.array(F.lit("")))
+    marked = F.regexp_replace(F.regexp_replace(plain, KNOWN, "Q$1Q"), AND, "$1Q@$2Q")
+    return F.when(low.rlike(STEMS), F.split(marked, "Q")).otherwise(F.array(F.lit("")))
 
 
 def sequence(parts: Column) -> Column:
@@ -211,7 +257,7 @@ def sequence(parts: Column) -> Column:
     known = F.create_map(*[F.lit(x) for kv in LOOKUP.items() for x in kv])
     said = lambda x: F.try_element_at(known, F.regexp_replace(x, f"^(?:{LEAD}|{HEADER})", "@"))
     wide = lambda x: F.when(F.regexp_count(x, F.lit("[a-z0-9]+")) > GAP, "/")
-    return F.array_compact(F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.coalesce(F.try_element_at(known, x), said(x))).otherwise(wide(x))))
+    return F.array_compact(F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.coalesce(F.try_element_at(known, x), said(x), F.try_element_at(known, F.concat(F.lit("@"), x)))).otherwise(wide(x))))
 
 
 def scan_licences(docs: DataFrame) -> DataFrame:
@@ -236,7 +282,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     none = F.struct(F.lit("").alias("left"), F.array().cast("array<string>").alias("found"))
     rows = rows.withColumn("took", F.when(F.size("ids") > 0, take).otherwise(none))
     left = F.filter(F.split("took.left", "[ /]+"), lambda x: x != "")
-    own = F.array(*[F.lit(x) for x in sorted(set(NAMES.values()))])
+    own = F.array(*[F.lit(x) for x in sorted(set(MORE.values()))])
     found = F.array_sort(F.array_union("took.found", F.array_intersect(left, own)))
     unknown = F.when(F.exists(left, lambda x: ~F.array_contains(own, x)), F.array(F.lit("unknown"))).otherwise(F.array().cast("array<string>"))
     return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_sentences"), F.array_join("ids", " ").alias("sentence_ids"), F.array_join(F.concat(found, unknown), ",").alias("licences"))
@@ -246,7 +292,7 @@ def duckdb_sql() -> str:
     """The same over a table documents: the fixed values above in SQL."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     known = f"map {{{', '.join(f'{quoted(k)}: {quoted(v)}' for k, v in LOOKUP.items())}}}"
-    own = f"[{', '.join(map(quoted, sorted(set(NAMES.values()))))}]"
+    own = f"[{', '.join(map(quoted, sorted(set(MORE.values()))))}]"
     steps = reduce(
         lambda sql, r: f"select doc_id, ids, replace(l, {quoted(' ' + r[0].replace(' ', '  ') + ' ')}, '/') as l, case when contains(l, {quoted(' ' + r[0].replace(' ', '  ') + ' ')}) and not list_contains(found, {quoted(r[1])}) then list_append(found, {quoted(r[1])}) else found end as found from ({sql})",
         RULES,
