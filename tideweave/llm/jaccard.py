@@ -38,6 +38,8 @@ WIDTH = 5
 NUM, DEN = 4, 5
 #: How far above the mean a cell is marked at least, and nodes in a part of a marked shingle's tile, about.
 MARKED, PART = 30, 4096
+#: Nodes up to which a tile's pairs are tried one by one.
+DIRECT = 24
 
 
 def shingle_sets(column, width: int = WIDTH):
@@ -323,8 +325,11 @@ def _cross_pairs(tiles: DataFrame, roots: DataFrame, num, den) -> DataFrame:
     """
     tile, kind = ["token", "band"], ["guest", "size", "rest"]
     named = tiles.join(roots, "node", "left").select("token", "band", "node", "size", "rest", "guest", F.coalesce("root", "node").alias("root"))
-    mixed = named.groupBy(*tile).agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select(*tile)
-    named = cut(named.join(mixed, tile))
+    mixed = named.groupBy(*tile).agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("nodes")).filter("low <> high").select(*tile, "nodes")
+    open_ = cut(named.join(mixed, tile))
+    few, named = open_.filter(F.col("nodes") <= DIRECT), open_.filter(F.col("nodes") > DIRECT)
+    end = lambda k: few.select(*tile, F.col("guest").alias(f"g{k}"), F.col("node").alias(k), F.col("size").alias(f"n{k}"), F.col("rest").alias(f"r{k}"), F.col("root").alias(f"c{k}"))
+    small = end("a").join(end("b"), tile).filter("a < b and ca <> cb and not (ga and gb)").filter(_fits(num, den)).select("a", "b")
     kinds = named.groupBy(*tile, *kind).agg(F.min("root").alias("low"), F.max("root").alias("high"))
     x = kinds.select(*tile, F.col("guest").alias("ga"), F.col("size").alias("na"), F.col("rest").alias("ra"), F.col("low").alias("la"), F.col("high").alias("ha"))
     y = kinds.select(*tile, F.col("guest").alias("gb"), F.col("size").alias("nb"), F.col("rest").alias("rb"), F.col("low").alias("lb"), F.col("high").alias("hb"))
@@ -334,7 +339,7 @@ def _cross_pairs(tiles: DataFrame, roots: DataFrame, num, den) -> DataFrame:
     one, two = [*tile, "ga", "na", "ra"], [*tile, "gb", "nb", "rb"]
     apart = fit.join(side(held, "a"), one).join(side(held, "b"), two).filter("ca < cb")
     pairs = apart.join(side(named, "a", F.col("node").alias("x")), [*one, "ca"]).join(side(named, "b", F.col("node").alias("y")), [*two, "cb"])
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(small).distinct()
 
 
 def _within_bound(pairs: DataFrame, maps: DataFrame, num, den) -> DataFrame:
