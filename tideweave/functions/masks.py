@@ -53,3 +53,9 @@ def common(one, two, words: bool) -> Column:
 def some(mask: Column, words: bool) -> Column:
     """Whether a mask has any query."""
     return F.exists(mask, lambda m: m != 0) if words else mask != 0
+
+
+def holds(mask: Column, qid: Column, words: bool) -> Column:
+    """Whether the mask has the query of another column."""
+    word = F.element_at(mask, (F.floor(qid / WORD) + 1).cast("int")) if words else mask
+    return F.call_function("shiftright", word, F.pmod(qid, F.lit(WORD)).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.masks import holds
 from ..functions.windows import DAY, floor_to, paned
+from .queryset import is_words, per_query
 
 
 def _same(columns: list[str]) -> Column:
@@ -30,6 +32,32 @@ def upper_median(df: DataFrame, keys: list[str], value: str, ties: list[str]) ->
     return rows.filter("place = place_").select(*df.columns)
 
 
+def span_median(df: DataFrame, keys: list[str], value: str, ties: list[str], slide: int, mask: str | None = None, n: int = 0, name: str = "window_start") -> DataFrame:
+    """upper_median per window, [query] and key of rows that are in each window from `first_window` to `last_window` and in
+    each query of `mask` below n: df's columns but these, with `name` and qid.
+
+    What is copied into windows and queries are counts by value, span and mask, not the rows. df is read twice, so a join
+    before this is best written once.
+    """
+    spans = ["first_window", "last_window"]
+    short = df.groupBy(*keys, value, *spans, *([mask] if mask else [])).agg(F.count(F.lit(1)).alias("n_"))
+    each = short.withColumn(name, F.explode(F.sequence(*spans, F.lit(slide)))).drop(*spans)
+    by = [name, *keys]
+    if mask:
+        each, by = per_query(each, n, mask), ["qid", *by]
+    group = Window.partitionBy(*by)
+    counted = each.groupBy(*by, value).agg(F.sum("n_").alias("n_"))
+    up_to, half = F.sum("n_").over(group.orderBy(value)), F.floor(F.sum("n_").over(group) / 2) + 1
+    middle = counted.withColumn("place_", half - up_to + F.col("n_")).filter("place_ between 1 and n_").select(*[F.col(c).alias(f"{c}_") for c in [*by, value]], "place_")
+    on = _same([*keys, value]) & F.col(f"{name}_").between(F.col(spans[0]), F.col(spans[1]))
+    if mask:
+        on = on & holds(F.col(mask), F.col("qid_"), is_words(df, mask))
+    rows = df.join(middle, on).withColumn(name, F.col(f"{name}_"))
+    rows = rows.withColumn("qid", F.col("qid_")) if mask else rows
+    rows = rows.withColumn("place", F.row_number().over(group.orderBy(*ties))).filter("place = place_")
+    return rows.select(*[c for c in df.columns if c not in (*spans, mask)], name, *(["qid"] if mask else []))
+
+
 def mean(df: DataFrame, keys: list[str], value: str, name: str = "mean") -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(value).alias(name))
 

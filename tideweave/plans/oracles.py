@@ -276,6 +276,9 @@ union all select 2, window_start, a_long1, count(*)::double from ({_triples(DAY,
         f"y as (select *, {IN_FIFTH.format(x='filter_attr')} as r from b)",
         f"select least(x.r, y.r) as low, greatest(x.r, y.r) as high, count(*) as matches from x join y on x.pk = y.fk and abs(x.ms - y.ms) <= {SIZE} group by 1, 2",
     ),
+    "latency_sketch": f"""with x as (select (epoch_us(ts) // 1000) // {DAY} * {DAY} as interval_ms from events)
+      select interval_ms, count(*) as n, true as near50, true as near95, true as near99 from x group by 1""",
+    "user_aggregate": _with(ENTITY, "select type, sel2, round(exp(avg(ln(long2)) filter (long2 > 0)), 6) as mean from entity group by 1, 2"),
     "split_sample_stats": _with(
         ENTITY,
         MIX,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import full_name
 from ..functions.masks import mask_words, words_in
-from ..functions.windows import DAY, emitted_at, floor_to, starts, with_windows
+from ..functions.windows import DAY, emitted_at, first_start, floor_to, starts, with_windows
 from ..operators import aggregates as A
+from ..operators import custom as U
 from ..operators import factorised as X
 from ..operators import joins as J
 from ..operators import queryset as Q
@@ -19,7 +21,7 @@ from ..operators.etl import parse_entities, serialised_sums
 from ..sources import generate as G
 from ..sources import lines as L
 from ..sources import views as V
-from ..sources.sinks import scratch, write_stream, write_text
+from ..sources.sinks import once, scratch, write_stream, write_text
 from . import specs as P
 
 SIZE, SLIDE = 3 * DAY, DAY
@@ -142,19 +144,32 @@ def file_stream(spark, sf_dir):
 # window joins
 
 
+def _peak_rows(pairs: DataFrame) -> DataFrame:
+    """Rows that raise the maximum of their key."""
+    return A.rising(pairs, ["a_long1"], "a_long2", ["window_start", "a_id", "b_id"]).select("a_long1", "window_start", "a_id", "b_id", "a_long2")
+
+
+def _median_pairs(pairs: DataFrame) -> DataFrame:
+    """The median pair per key over sliding windows of the join's results."""
+    at = emitted_at("window_start", SIZE)
+    rows = pairs.select("a_id", "b_id", "b_long1", "b_long2", at.alias("out_ms"), first_start(at, SIZE, SLIDE).alias("first_window"), floor_to(at, SLIDE).alias("last_window"))
+    return A.span_median(rows, ["b_long1"], "b_long2", ["a_id", "b_id", "out_ms"], SLIDE, name="out_window").select("out_window", "b_long1", "a_id", "b_id", "b_long2")
+
+
+def _tumbling(spark, sf_dir) -> DataFrame:
+    return once(_pairs(spark, sf_dir, SIZE, SIZE).select("window_start", "a_id", "b_id", "a_long1", "a_long2", "b_long1", "b_long2"))
+
+
 @query
 def window_join_q1(spark, sf_dir):
     """Tumbling join, then rows that raise the maximum of their key."""
-    pairs = _pairs(spark, sf_dir, SIZE, SIZE)
-    return A.rising(pairs, ["a_long1"], "a_long2", ["window_start", "a_id", "b_id"]).select("a_long1", "window_start", "a_id", "b_id", "a_long2")
+    return _peak_rows(_pairs(spark, sf_dir, SIZE, SIZE))
 
 
 @query
 def window_join_q2(spark, sf_dir):
     """Tumbling join, then the median pair per key over sliding windows of the join's results."""
-    pairs = _pairs(spark, sf_dir, SIZE, SIZE).withColumn("out_ms", emitted_at("window_start", SIZE))
-    rows = with_windows(pairs, "out_ms", SIZE, SLIDE, "out_window")
-    return A.upper_median(rows, ["out_window", "b_long1"], "b_long2", ["a_id", "b_id", "out_ms"]).select("out_window", "b_long1", "a_id", "b_id", "b_long2")
+    return _median_pairs(_tumbling(spark, sf_dir))
 
 
 @query
@@ -176,8 +191,9 @@ def window_join_narrow(spark, sf_dir):
 @query
 def window_join_joint(spark, sf_dir):
     """Both queries over one join: `which` tells them apart."""
-    one = window_join_q1(spark, sf_dir).select(F.lit("peak").alias("which"), "window_start", F.col("a_long1").alias("key"), "a_id", "b_id", F.col("a_long2").alias("value"))
-    two = window_join_q2(spark, sf_dir).select(F.lit("median").alias("which"), F.col("out_window").alias("window_start"), F.col("b_long1").alias("key"), "a_id", "b_id", F.col("b_long2").alias("value"))
+    pairs = _tumbling(spark, sf_dir)
+    one = _peak_rows(pairs).select(F.lit("peak").alias("which"), "window_start", F.col("a_long1").alias("key"), "a_id", "b_id", F.col("a_long2").alias("value"))
+    two = _median_pairs(pairs).select(F.lit("median").alias("which"), F.col("out_window").alias("window_start"), F.col("b_long1").alias("key"), "a_id", "b_id", F.col("b_long2").alias("value"))
     return one.unionByName(two)
 
 
@@ -189,8 +205,8 @@ def three_way_q1(spark, sf_dir):
 
 @query
 def three_way_q2(spark, sf_dir):
-    t = _triples(spark, sf_dir)
-    return A.upper_median(t, ["window_start", "c_long1"], "c_long2", ["a_id", "b_id", "c_id", "pair_ms"]).select("window_start", "c_long1", "a_id", "c_id", "c_long2")
+    t = once(_triples(spark, sf_dir).select("a_id", "b_id", "c_id", "pair_ms", "c_long1", "c_long2", F.col("window_start").alias("first_window"), F.col("window_start").alias("last_window")))
+    return A.span_median(t, ["c_long1"], "c_long2", ["a_id", "b_id", "c_id", "pair_ms"], SLIDE).select("window_start", "c_long1", "a_id", "c_id", "c_long2")
 
 
 @query
@@ -226,7 +242,9 @@ def shared_join_count(spark, sf_dir):
 
 @query
 def shared_join_median(spark, sf_dir):
-    return A.upper_median(_shared(spark, sf_dir), ["qid", "window_start", "b_long1"], "b_long2", ["a_id", "b_id"]).select("qid", "window_start", "b_long1", "a_id", "b_id", "b_long2")
+    a, b = (_side(spark, sf_dir, k, lambda r: Q.assign(r, MIXED)) for k in "AB")
+    pairs = once(J.window_join(a, b, [("a_pk", "b_fk")], ("a_ms", "b_ms"), SIZE, SLIDE, ("a_qmask", "b_qmask")).select("a_id", "b_id", "b_long1", "b_long2", "qmask", "first_window", "last_window"))
+    return A.span_median(pairs, ["b_long1"], "b_long2", ["a_id", "b_id"], SLIDE, "qmask", N).select("qid", "window_start", "b_long1", "a_id", "b_id", "b_long2")
 
 
 @query
@@ -242,8 +260,8 @@ def shared_three_way_count(spark, sf_dir):
 
 @query
 def shared_aggregation_median(spark, sf_dir):
-    rows = Q.per_query(with_windows(Q.assign(V.entity(spark, sf_dir).filter("type = 'A'"), TENTHS), "ms", SIZE, SLIDE), N)
-    return A.upper_median(rows, ["qid", "window_start", "filter_attr"], "long2", ["id"]).select("qid", "window_start", "filter_attr", "id", "long2")
+    rows = Q.assign(V.entity(spark, sf_dir).filter("type = 'A'"), TENTHS).select("id", "filter_attr", "long2", "qmask", first_start("ms", SIZE, SLIDE).alias("first_window"), floor_to("ms", SLIDE).alias("last_window"))
+    return A.span_median(rows, ["filter_attr"], "long2", ["id"], SLIDE, "qmask", N).select("qid", "window_start", "filter_attr", "id", "long2")
 
 
 @query
@@ -337,8 +355,9 @@ def interval_join_mean(spark, sf_dir):
 
 @query
 def interval_join_median(spark, sf_dir):
-    rows = Q.per_query(_interval(spark, sf_dir, lambda r: Q.assign(r, TENTHS)), N).withColumn("window_start", floor_to(F.greatest("a_ms", "b_ms"), SLIDE))
-    return A.upper_median(rows, ["qid", "window_start"], "a_pk", ["a_id", "b_id"]).select("qid", "window_start", "a_pk", "a_id", "b_id")
+    late = floor_to(F.greatest("a_ms", "b_ms"), SLIDE)
+    pairs = once(_interval(spark, sf_dir, lambda r: Q.assign(r, TENTHS)).select("a_pk", "a_id", "b_id", "qmask", late.alias("first_window"), late.alias("last_window")))
+    return A.span_median(pairs, [], "a_pk", ["a_id", "b_id"], SLIDE, "qmask", N).select("qid", "window_start", "a_pk", "a_id", "b_id")
 
 
 # auctions
@@ -367,7 +386,8 @@ def nexmark_q6(spark, sf_dir):
 
 @query
 def nexmark_q4_q6_joint(spark, sf_dir):
-    won = _won(spark, sf_dir)
+    """Both queries over one run of the winning bids."""
+    won = once(_won(spark, sf_dir))
     four = A.sliding_mean(won, "expires_ms", LONG, STEP, ["category"], "price").select(F.lit("category").alias("which"), "window_start", F.col("category").alias("key"), "mean")
     six = A.top_mean(with_windows(won, "expires_ms", LONG, STEP), ["window_start", "seller"], "price").select(F.lit("seller").alias("which"), "window_start", F.col("seller").alias("key"), "mean")
     return four.unionByName(six)
@@ -527,6 +547,41 @@ def latency_percentiles(spark, sf_dir):
     return S.latency_percentiles(rows, "ms", "emitted", DAY)
 
 
+@query
+def latency_sketch(spark, sf_dir):
+    """Percentiles from a sketch of fixed size per day: whether each one's rank is as near as the sketch promises."""
+    rows = V.events(spark, sf_dir).select(F.unix_millis("ts").alias("ms"), (F.unix_millis("ts") - F.round("value").cast("bigint")).alias("emitted"))
+    late, day = F.col("ms") - F.col("emitted"), floor_to("ms", DAY).alias("interval_ms")
+    got = S.sketched(S.latency_sketches(rows, "ms", "emitted", DAY))
+    places = rows.select(day, late.alias("late")).join(got, "interval_ms").groupBy("interval_ms", "p50", "p95", "p99")
+    near = places.agg(F.count("*").alias("n"), *[c for p in (50, 95, 99) for c in (F.sum((F.col("late") < F.col(f"p{p}")).cast("bigint")).alias(f"below{p}"), F.sum((F.col("late") <= F.col(f"p{p}")).cast("bigint")).alias(f"upto{p}"))])
+    within = lambda p: ((F.col(f"below{p}") <= (p / 100 + S.RANK_ERROR) * F.col("n")) & (F.col(f"upto{p}") >= (p / 100 - S.RANK_ERROR) * F.col("n"))).alias(f"near{p}")
+    return near.select("interval_ms", "n", *[within(p) for p in (50, 95, 99)])
+
+
+class GeometricMean(U.Aggregate):
+    """exp of the mean logarithm: a sum of logarithms and a number as the state."""
+
+    def init(self):
+        return [0.0, 0]
+
+    def update(self, state, values):
+        logs = [math.log(v) for v in values if v is not None and v > 0]
+        return [state[0] + math.fsum(logs), state[1] + len(logs)]
+
+    def merge(self, one, two):
+        return [one[0] + two[0], one[1] + two[1]]
+
+    def finish(self, state):
+        return round(math.exp(state[0] / state[1]), 6) if state[1] else None
+
+
+@query
+def user_aggregate(spark, sf_dir):
+    """A user's own aggregate, in two phases: the geometric mean of values per kind and key."""
+    return U.aggregate(V.entity(spark, sf_dir), ["type", "sel2"], ["long2"], GeometricMean(), "mean")
+
+
 @query
 def throughput(spark, sf_dir):
     return S.throughput(V.telemetry(spark, sf_dir))

@@ -15,6 +15,7 @@ from ..operators import aggregates as A
 from ..operators.etl import parse_entities, serialised_sums
 from ..operators.joins import in_each_window, lookup, named, three_way, window_join
 from ..operators.queryset import assign, of_query, stamp
+from ..sources.sinks import once
 
 EVERYTHING = (-(2**63), 2**63 - 1)
 FIELDS = {"f0": "a", "f1": "b"}
@@ -137,6 +138,8 @@ def build(specs: list[Analytics | Etl], entities: DataFrame, envelopes: DataFram
     for key, group in groups(specs).items():
         if key[0] == "analytics":
             pairs = shared_join(entities, group)
+            needed = ["window_start", "qmask", *[c for c in pairs.columns if c[1:] in ("_id", "_pk", "_long1", "_long2")]]
+            pairs = once(pairs.select(needed)) if len(group) > 1 else pairs
             out |= {i: answer(pairs, i, q) for i, q in group}
             continue
         parsed = parse_entities(envelopes)

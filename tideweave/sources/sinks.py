@@ -29,3 +29,10 @@ def scratch(spark: SparkSession) -> str:
     if not shared and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{(shared or tempfile.mkdtemp(prefix='tideweave-')).rstrip('/')}/tideweave-{uuid.uuid4().hex}"
+
+
+def once(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: queries that read it twice, or several queries, run what is before it once."""
+    path = f"{scratch(df.sparkSession)}/once"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
