@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 21
+PIECE = 1 << 20
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
 #: Inverse of _P modulo 2**64.
