@@ -205,8 +205,8 @@ def three_way_q1(spark, sf_dir):
 
 @query
 def three_way_q2(spark, sf_dir):
-    t = once(_triples(spark, sf_dir).select("a_id", "b_id", "c_id", "pair_ms", "c_long1", "c_long2", F.col("window_start").alias("first_window"), F.col("window_start").alias("last_window")))
-    return A.span_median(t, ["c_long1"], "c_long2", ["a_id", "b_id", "c_id", "pair_ms"], SLIDE).select("window_start", "c_long1", "a_id", "c_id", "c_long2")
+    t = _triples(spark, sf_dir)
+    return A.upper_median(t, ["window_start", "c_long1"], "c_long2", ["a_id", "b_id", "c_id", "pair_ms"]).select("window_start", "c_long1", "a_id", "c_id", "c_long2")
 
 
 @query
@@ -356,8 +356,8 @@ def interval_join_mean(spark, sf_dir):
 @query
 def interval_join_median(spark, sf_dir):
     late = floor_to(F.greatest("a_ms", "b_ms"), SLIDE)
-    pairs = once(_interval(spark, sf_dir, lambda r: Q.assign(r, TENTHS)).select("a_pk", "a_id", "b_id", "qmask", late.alias("first_window"), late.alias("last_window")))
-    return A.span_median(pairs, [], "a_pk", ["a_id", "b_id"], SLIDE, "qmask", N).select("qid", "window_start", "a_pk", "a_id", "b_id")
+    pairs = once(_interval(spark, sf_dir, lambda r: Q.assign(r, TENTHS)).select("a_pk", "a_id", "b_id", "qmask", late.alias("window_start")))
+    return A.upper_median(Q.per_query(pairs, N), ["qid", "window_start"], "a_pk", ["a_id", "b_id"]).select("qid", "window_start", "a_pk", "a_id", "b_id")
 
 
 # auctions
