@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
@@ -33,9 +35,25 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _freed(run):
+    """`run` for a worker that lives on: at a task's end the memory that its arrays left free goes back to the system."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return task
+
+
 def map_arrow(df: DataFrame, run, schema: str | StructType) -> DataFrame:
     """df.mapInArrow(run, schema), in batches of BATCH_BYTES unless the session has a limit of its own. Spark takes a
     point in a column's name for a field's, so such columns have other names while they pass through `run`."""
+    run = _freed(run)
     if df.sparkSession.conf.get(BATCH, None) is None:
         df.sparkSession.conf.set(BATCH, BATCH_BYTES)
     stem = "_" * (1 + max(map(len, df.columns), default=0))
