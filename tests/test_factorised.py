@@ -25,7 +25,7 @@ def sides(spark, seed, n=120):
     return make("a"), make("b")
 
 
-@pytest.mark.parametrize("size, slide", [(10, 10), (12, 4), (10, 3), (3, 5)])
+@pytest.mark.parametrize("size, slide", [(10, 10), (10, 3), (3, 5), (24, 3), (25, 3)])
 @pytest.mark.parametrize("by", [["a_key"], ["b_g"], ["a_g", "b_g"], []])
 def test_window_join_sums(spark, size, slide, by):
     a, b = sides(spark, size)
@@ -44,6 +44,8 @@ def test_many_queries_and_none(spark):
     low = X.window_join_sums(a, b, *args, ("a_qmask", "b_qmask"), 4)
     assert values(got.filter("qid < 63")) == values(low) and values(got.filter("qid >= 63").withColumn("qid", F.col("qid") - 64)) == values(low)
     plain = X.window_join_sums(a, b, *args)
+    floats = [X.window_join_sums(d, b, ("a_key", "b_key"), ("a_ms", "b_ms"), 24, 2, ["b_g"], ["a_v"]) for d in (a, a.withColumn("a_v", F.col("a_v").cast("double")))]
+    assert values(floats[0]) == values(floats[1].withColumn("sum_a_v", F.col("sum_a_v").cast("bigint"))) != []
     pairs = J.in_each_window(J.window_join(a, b, [("a_key", "b_key")], ("a_ms", "b_ms"), 12, 4), 4)
     assert values(plain) == values(pairs.groupBy("window_start").agg(F.count("*").alias("n")))
     assert X.window_join_sums(a.limit(0), b, *args).count() == 0
