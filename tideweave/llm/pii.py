@@ -1,7 +1,8 @@
 """Personal data by weak supervision.
 
-Base patterns with checks give certain spans. Looser shapes (written-out addresses, national phone numbers, numbers that
-fail a check) are candidates. Four labelers vote on every span: the shape and its check, gazetteers of endings, dialling
+Base patterns with checks give certain spans. Looser shapes (written-out addresses, phone numbers as they are
+written in North America, France, Spain and Germany, ip addresses and cards split by other signs, numbers that fail a
+check) are candidates. Four labelers vote on every span: the shape and its check, gazetteers of endings, dialling
 codes and card issuers, words before the span, and the characters beside it. Counts of the vote patterns over all texts,
 a bounded table, are summed by Spark; expectation-maximisation finds how reliable each labeler is and gives each pattern
 a probability. On these a logistic classifier is trained, which also sees the span and its context: its length, what
@@ -26,9 +27,11 @@ from .shared import map_arrow
 KINDS = ("email", "ip", "card", "phone")
 # What labelers know.
 #: Endings of hosts; any of two letters is a country's.
-ENDINGS = {"com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "aero", "coop", "museum", "jobs", "mobi", "travel", "tel", "cat", "asia", "post", "app", "dev", "cloud", "online", "site", "store", "shop", "tech", "blog", "news", "email", "mail", "web", "xyz", "top", "club", "live", "life", "world", "agency", "company", "group", "media", "network", "services", "solutions", "systems", "support", "team", "digital", "berlin", "hamburg", "wien", "paris", "london"}
+ENDINGS = {"com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "name", "pro", "aero", "coop", "museum", "jobs", "mobi", "travel", "tel", "cat", "asia", "post", "app", "dev", "cloud", "online", "site", "store", "shop", "tech", "blog", "news", "email", "mail", "web", "xyz", "top", "club", "live", "life", "world", "agency", "company", "group", "media", "network", "services", "solutions", "systems", "support", "team", "digital", "berlin", "hamburg", "wien", "paris", "london", "koeln", "bayern", "madrid", "barcelona", "gal", "eus", "bzh", "alsace", "corsica", "nyc", "tokyo", "amsterdam", "swiss", "academy", "art", "audio", "bank", "bar", "beer", "bike", "bio", "build", "business", "cafe", "camera", "capital", "care", "center", "chat", "church", "city", "clinic", "codes", "coffee", "community", "computer", "consulting", "cool", "dance", "data", "dental", "design", "directory", "doctor", "education", "energy", "engineer", "events", "exchange", "expert", "family", "farm", "film", "finance", "fit", "fun", "fund", "games", "garden", "global", "guide", "health", "help", "host", "house", "immo", "ink", "institute", "land", "law", "legal", "link", "love", "ltd", "market", "money", "music", "page", "partners", "photo", "photos", "press", "rocks", "run", "school", "science", "social", "software", "space", "store", "studio", "style", "today", "tools", "training", "tv", "university", "video", "wiki", "work", "works", "zone"}
 #: Dialling codes: of one digit, of two, and the first two digits of those of three.
 ONE, TWO, THREE = "17", ("20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"), ("21", "22", "23", "24", "25", "26", "29", "35", "37", "38", "42", "50", "59", "67", "68", "69", "80", "85", "87", "88", "96", "97", "99")
+#: Beginnings of German numbers with 01: mobile and service numbers.
+MOBILE = ("15", "16", "17", "18")
 #: Card issuers: first and last number of the leading digits, and how many digits a card has.
 ISSUERS = ((4, 4, (13, 16, 19)), (51, 55, (16,)), (2221, 2720, (16,)), (34, 34, (15,)), (37, 37, (15,)), (300, 305, (14, 16)), (3095, 3095, (14, 16)), (36, 36, (14, 19)), (38, 39, (14, 19)), (3528, 3589, (16, 19)), (6011, 6011, (16, 19)), (644, 649, (16, 19)), (65, 65, (16, 19)), (62, 62, (16, 17, 18, 19)), (50, 50, (16, 19)), (56, 58, (16, 19)), (67, 67, (16, 19)), (2200, 2204, (16,)))
 #: First parts of addresses that no host on the internet has.
@@ -50,7 +53,19 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WRITTEN = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]{1,63})+", re.I)
-NATIONAL = re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])")
+#: National phone numbers: North America's, then those of France, Spain and Germany, which have no other digits beside them.
+AMERICAN = re.compile(r"(?<![\w+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-])")
+EUROPEAN = re.compile(
+    r"(?<![\w+.,/-])(?<![0-9] )(?:"
+    r"(?P<fr>0[1-9](?:[ .-][0-9]{2}){4})"
+    r"|(?P<es>[6-9][0-9]{2}(?:[ .-][0-9]{2}){3}|9[1-8][ .-][0-9]{3}(?:[ .-][0-9]{2}){2})"
+    r"|(?P<threes>[6-9][0-9]{2}(?:(?: [0-9]{3}){2}|(?:\.[0-9]{3}){2}|(?:-[0-9]{3}){2}))"
+    r"|(?P<de>(?:\(0[1-9][0-9]{1,3}\) ?|0[1-9][0-9]{1,3}(?: ?[/-] ?| ))(?:[0-9]{5,8}(?:-[0-9]{1,4})?|[0-9]{2,4}(?: [0-9]{2,4}){1,3}))"
+    r")(?![\w/-]|[ .,][0-9])"
+)
+#: Addresses and card numbers that are written so that no machine takes them for one.
+SPLIT_IP = re.compile(r"(?<![\w.\])-])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)| ?[\[(]dot[\])] ?)[0-9]{1,3}){3}(?![\w\[(.])", re.I)
+SPLIT_CARD = re.compile(r"(?<![\w./])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![\w./])")
 
 
 def luhn(digits: str) -> bool:
@@ -89,6 +104,38 @@ def shaped(text: str):
                 yield "phone", m.start(), m.end(), n >= 10
 
 
+def loose(text: str):
+    """(kind, start, end) of shapes that are candidates only."""
+    if "@" in text or "at" in text or "AT" in text or "At" in text or "aT" in text:
+        yield from (("email", m.start(), m.end()) for m in WRITTEN.finditer(text))
+    if "[" in text or "(" in text:
+        yield from (("ip", m.start(), m.end()) for m in SPLIT_IP.finditer(text) if all(int(p) <= 255 for p in re.findall("[0-9]+", m[0])))
+    for m in SPLIT_CARD.finditer(text):
+        if luhn(digits_of(m[0])):
+            yield "card", m.start(), m.end()
+    yield from (("phone", m.start(), m.end()) for m in AMERICAN.finditer(text))
+    for m in EUROPEAN.finditer(text):
+        if 9 <= len(digits_of(m[0])) <= 13:
+            yield "phone", m.start(), m.end()
+
+
+def digits_of(span: str) -> str:
+    return "".join(c for c in span if c in "0123456789")
+
+
+def national(span: str) -> int:
+    """Whether a national phone number begins like one of its country; no vote on groups of three, as thousands are
+    written so too."""
+    digits, form = digits_of(span), EUROPEAN.fullmatch(span)
+    if form is None:
+        known = digits[0] in "23456789" and digits[1:3] != "11" and digits[3] in "23456789"
+    elif form["threes"]:
+        return 0
+    else:
+        known = not form["de"] or digits[1] in "23456789" or digits[1:3] in MOBILE
+    return 1 if known else -1
+
+
 def issued(digits: str) -> bool:
     """Whether some issuer has cards of this length and beginning."""
     return any(len(digits) in sizes and lo <= int(digits[: len(str(lo))]) <= hi for lo, hi, sizes in ISSUERS)
@@ -97,24 +144,23 @@ def issued(digits: str) -> bool:
 def votes(text: str, kind: str, start: int, end: int, shape: int) -> tuple[int, int, int, int]:
     """One vote of each labeler: 1 for, -1 against, 0 none."""
     span = text[start:end]
+    beside = text[start - 1 : start] + text[end : end + 1]
     if kind == "email":
         ending = re.split(r"[^A-Za-z0-9-]+", span.rstrip(")]"))[-1].lower()
         listed = ending in ENDINGS or (len(ending) == 2 and ending.isalpha())
     elif kind == "ip":
-        first = span.split(".")[0].lstrip("0")[:4]
+        first = re.split("[^0-9]", span, maxsplit=1)[0].lstrip("0")[:4]
         listed = int(first or 0) not in NO_HOST and len(first) < 4
     elif kind == "card":
-        listed = issued(span.replace(" ", "").replace("-", ""))
+        listed = issued(digits_of(span))
     elif span[0] == "+":
         code = "".join(c for c in span[1:12] if c in "0123456789")
         listed = code[0] in ONE or code[:2] in TWO or code[:2] in THREE
     else:
-        digits = "".join(c for c in span if c in "0123456789")
-        listed = digits[0] in "23456789" and digits[1:3] != "11" and digits[3] in "23456789"
+        listed = None
     before = text[max(0, start - 40) : start]
     context = -1 if AGAINST.search(before[-16:]) else 1 if CONTEXT[kind].search(before) else 0
-    beside = text[start - 1 : start] + text[end : end + 1]
-    return shape, 1 if listed else -1, context, -1 if any(c.isalnum() or c in "_/" for c in beside) else 1
+    return shape, national(span) if listed is None else 1 if listed else -1, context, -1 if any(c.isalnum() or c in "_/" for c in beside) else 1
 
 
 def side(c: str) -> int:
@@ -131,13 +177,13 @@ def traits(text: str, start: int, end: int) -> tuple[int, int, int, int]:
 
 def spans_of(text: str) -> list[tuple[int, int, int, bool, tuple]]:
     """(start, end, kind number, base, votes and traits) of base spans and of candidates that overlap none. Candidates
-    that overlap each other: the first, the longest of those that begin together."""
+    that overlap each other: the first, the longest of those that begin together, of equal ones that which failed no check."""
     if not text or not SIGNS.search(text):
         return []
     base, rest = [], []
     for kind, a, b, valid in shaped(text):
         (base if valid else rest).append((a, b, KINDS.index(kind), valid))
-    rest += [(m.start(), m.end(), 0, None) for m in WRITTEN.finditer(text)] + [(m.start(), m.end(), 3, None) for m in NATIONAL.finditer(text)]
+    rest += [(a, b, KINDS.index(kind), None) for kind, a, b in loose(text)]
     out = list(base)
     # the union of base spans as disjoint intervals, in order
     starts, ends = [], []
@@ -148,7 +194,7 @@ def spans_of(text: str) -> list[tuple[int, int, int, bool, tuple]]:
             starts.append(a)
             ends.append(b)
     last = 0
-    for s in sorted(rest, key=lambda s: (s[0], -s[1], s[2])):
+    for s in sorted(rest, key=lambda s: (s[0], -s[1], s[3] is False, s[2])):
         i = bisect_left(starts, s[1]) - 1
         if s[0] >= last and (i < 0 or ends[i] <= s[0]):
             last = s[1]
