@@ -115,6 +115,18 @@ def three_way_counts(one: DataFrame, two: DataFrame, three: DataFrame, first: tu
     return ab.join(c.withColumnRenamed(second[1], "key_"), [*at, "key_"]).groupBy(*at).agg(F.sum(F.col("nab") * F.col("nc")).alias("n"))
 
 
+def first_triples(one: DataFrame, two: DataFrame, three: DataFrame, first: tuple[str, str], second: tuple[str, str], times: tuple[str, str, str], size: int, ids: tuple[str, str]) -> DataFrame:
+    """Of three_way's triples over tumbling windows, per window and row of `one` the first in order of `ids`, of the second
+    and of the third: `one` with window_start and ids. Each side is reduced to a row per window and key before it is joined."""
+    at = lambda i: floor_to(times[i], size).alias("window_start")
+    least = F.when(F.count(ids[1]) == F.count(F.lit(1)), F.min(ids[1])).alias(ids[1])  # null is least
+    c = three.groupBy(at(2), F.col(second[1]).alias("key_")).agg(least)
+    b = two.select(at(1), F.col(first[1]).alias("one_"), F.col(second[0]).alias("key_"), ids[0]).join(c, ["window_start", "key_"])
+    b = b.groupBy("window_start", "one_").agg(F.min(F.struct(*ids)).alias("ids_"))
+    rows = one.withColumn("window_start", at(0)).withColumn("one_", F.col(first[0])).join(b, ["window_start", "one_"])
+    return rows.select(*one.columns, "window_start", *[F.col(f"ids_.{c}").alias(c) for c in ids])
+
+
 def mean_of(column: str) -> Column:
     """The mean, from a sum and a number of window_join_sums."""
     return F.col(f"sum_{column}").cast("double") / F.col(f"n_{column}")
