@@ -7,6 +7,7 @@ import pytest
 
 from tideweave.functions.windows import DAY
 from tideweave.operators import aggregates as A
+from tideweave.operators import factorised as X
 from tideweave.operators import joins as J
 from tideweave.plans import queries as P
 
@@ -37,6 +38,16 @@ def test_peaks(spark, seed):
     assert got == ordered(want) and any(r[-1] is None for r in got) and any(r[-1] is not None for r in got)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_median(spark, monkeypatch, seed):
+    monkeypatch.setattr(X, "ID_RANGES", 4)
+    a, b, c = odd_sides(spark, seed)
+    want = A.upper_median(J.three_way(a, b, c, *P.THREE, SIZE, SLIDE), ["window_start", "c_long1"], "c_long2", ["a_id", "b_id", "c_id", "pair_ms"])
+    got = X.three_way_median(a, b, c, *P.THREE, SIZE, SLIDE, ["c_long1"], "c_long2", ("a_id", "b_id", "c_id"))
+    assert got.columns == ["window_start", "c_long1", "a_id", "c_id", "c_long2"]
+    assert ordered(got) == ordered(want.select(*got.columns)) and got.count() > 5
+
+
 @pytest.fixture(scope="module")
 def hot(spark, tmp_path_factory):
     """Events of one user at one time, N of each kind: N cubed triples, for each window."""
@@ -52,5 +63,19 @@ def peaks_of_hot():
     return [(10_000 + 50 * i, 1_000_000, 100 * i) for i in range(N)]
 
 
+def medians_of_hot():
+    out = []
+    for k in (1, 2, 3):  # of the first window's pairs only one has its end there
+        place = k * N**3 // 2
+        c, rest = divmod(place, N * N * k)
+        out.append((10_000 + 50 * (rest // (N * k)), 1_000_000 + 50 * c, 100 * c))
+    return out
+
+
 def test_q1_on_a_hot_key(spark, hot):
     assert sorted(tuple(r)[2:] for r in P.three_way_q1(spark, hot).collect()) == peaks_of_hot()
+
+
+def test_q2_on_a_hot_key(spark, hot):
+    got = P.three_way_q2(spark, hot).orderBy("window_start").collect()
+    assert [tuple(r)[2:] for r in got] == medians_of_hot() and {r.c_long1 for r in got} == {3}

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import first_start, floor_to
+from ..functions.windows import emitted_at, first_start, floor_to, starts, with_windows
+from ..sources.sinks import once
 from .joins import near_in_time
 from .queryset import per_query
 
@@ -127,6 +129,63 @@ def first_triples(one: DataFrame, two: DataFrame, three: DataFrame, first: tuple
     return rows.select(*one.columns, "window_start", *[F.col(f"ids_.{c}").alias(c) for c in ids])
 
 
+def _nth(counted: DataFrame, order: str) -> DataFrame:
+    """Of rows (group_, place_, order, n_) those that hold the place-th of their group in order, with the place within them."""
+    up_to = F.sum("n_").over(Window.partitionBy("group_").orderBy(order))
+    held = counted.withColumn("up_to_", up_to).filter("place_ > up_to_ - n_ and place_ <= up_to_")
+    return held.withColumn("place_", F.col("place_") - F.col("up_to_") + F.col("n_")).drop("n_", "up_to_")
+
+
+#: Ranges of the first side's ids in which three_way_median counts pairs.
+ID_RANGES = 256
+
+
+def three_way_median(one: DataFrame, two: DataFrame, three: DataFrame, first: tuple[str, str], second: tuple[str, str], times: tuple[str, str, str], size: int, slide: int, by: list[str], value: str, ids: tuple[str, str, str]) -> DataFrame:
+    """(window_start, by, ids of the first and of the third, value): upper_median of three_way's triples per window and
+    `by`, in order of value, ids and the pair's window; by and value are the third side's columns, ids are numbers.
+
+    No triple is built but those of the two rows that the median has. What is counted, from each side's counts, is first
+    triples by value, then of the middle value by range of the first's ids, then in the one range by id, then by the
+    second's id. Pairs are a row per window, key and range; the rest is linear in the rows of each side.
+    """
+    a_id, b_id, c_id = ids
+    splits = sorted(set(one.approxQuantile(a_id, [i / ID_RANGES for i in range(1, ID_RANGES)], 0.5 / ID_RANGES))) or [0.0]
+    ranges = Bucketizer(splits=[-float("inf"), *splits, float("inf")], inputCol="id_", outputCol="range_")
+    a = with_windows(one.filter(F.col(first[0]).isNotNull()), times[0], size, slide, "at_").select("at_", F.col(first[0]).alias("one_"), F.col(a_id), F.coalesce(F.col(a_id).cast("double"), F.lit(-float("inf"))).alias("id_"))
+    a = ranges.transform(a).drop("id_")
+    b = with_windows(two, times[1], size, slide, "at_").select("at_", F.col(first[1]).alias("one_"), F.col(second[0]).alias("key_"), b_id).filter("one_ is not null and key_ is not null")
+    c = with_windows(three, times[2], size, slide, "window_").select("window_", F.col(second[1]).alias("key_"), F.struct("window_", *by).alias("group_"), value, c_id).filter("key_ is not null")
+    later = F.explode(starts(emitted_at("at_", size), size, slide))  # a pair's time is the end of its window
+    counted_b = b.groupBy("at_", "one_", "key_").agg(F.count(F.lit(1)).alias("nb_"))
+    counted_a = a.groupBy("at_", "one_", "range_").agg(F.count(F.lit(1)).alias("na_"))
+    pairs = counted_a.join(counted_b, ["at_", "one_"]).groupBy("at_", "key_", "range_").agg(F.sum(F.col("na_") * F.col("nb_")).alias("n_"))
+    pairs = once(pairs.withColumn("window_", later).groupBy("window_", "key_", "range_").agg(F.sum("n_").alias("n_")))
+
+    # the middle value, and the third side's rows that have it
+    of_key = pairs.groupBy("window_", "key_").agg(F.sum("n_").alias("p_"))
+    valued = c.groupBy("window_", "key_", "group_", value).agg(F.count(F.lit(1)).alias("m_")).join(of_key, ["window_", "key_"])
+    valued = valued.groupBy("group_", value).agg(F.sum(F.col("m_") * F.col("p_")).alias("n_"))
+    middle = _nth(valued.withColumn("place_", F.floor(F.sum("n_").over(Window.partitionBy("group_")) / 2) + 1), value)
+    same = (F.col("group_") == F.col("g_")) & F.col(value).eqNullSafe(F.col("v_"))
+    chosen = once(c.join(middle.select(F.col("group_").alias("g_"), F.col(value).alias("v_"), "place_"), same).drop("g_", "v_"))
+    weights = chosen.groupBy("window_", "group_", "key_", "place_").agg(F.count(F.lit(1)).alias("m_"))
+    weight = weights.drop("window_", "place_")
+
+    # the range of the first's id, the id, the second's id
+    ranged = weights.join(pairs, ["window_", "key_"]).groupBy("window_", "group_", "place_", "range_").agg(F.sum(F.col("m_") * F.col("n_")).alias("n_"))
+    spot = _nth(ranged, "range_")
+    near = a.withColumn("window_", later).join(spot, ["window_", "range_"]).join(counted_b, ["at_", "one_"]).join(weight, ["group_", "key_"])
+    spot = _nth(near.groupBy("window_", "group_", "place_", a_id).agg(F.sum(F.col("m_") * F.col("nb_")).alias("n_")), a_id)
+    spot = spot.select(F.col("window_").alias("w_"), "group_", "place_", F.col(a_id).alias("a_"))
+    mine = a.withColumn("window_", later).join(spot, (F.col("window_") == F.col("w_")) & F.col(a_id).eqNullSafe(F.col("a_")))
+    mine = once(mine.join(b, ["at_", "one_"]).select("group_", "place_", "at_", "key_", a_id, b_id))
+    spot = _nth(mine.join(weight, ["group_", "key_"]).groupBy("group_", "place_", b_id).agg(F.sum("m_").alias("n_")), b_id)
+    spot = spot.select(F.col("group_").alias("g_"), F.col(b_id).alias("b_"), F.col("place_").alias("left_"))
+    last = mine.join(spot, (F.col("group_") == F.col("g_")) & F.col(b_id).eqNullSafe(F.col("b_"))).join(chosen.select("group_", "key_", value, c_id), ["group_", "key_"])
+    last = last.withColumn("nth_", F.row_number().over(Window.partitionBy("group_").orderBy(c_id, "at_"))).filter("nth_ = left_")
+    return last.select(F.col("group_.window_").alias("window_start"), *[F.col(f"group_.{c}").alias(c) for c in by], a_id, c_id, value)
+
+
 def mean_of(column: str) -> Column:
     """The mean, from a sum and a number of window_join_sums."""
     return F.col(f"sum_{column}").cast("double") / F.col(f"n_{column}")

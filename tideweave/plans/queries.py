@@ -213,8 +213,9 @@ def _peak_triples(a: DataFrame, b: DataFrame, c: DataFrame) -> DataFrame:
 
 @query
 def three_way_q2(spark, sf_dir):
-    t = J.three_way(*(_side(spark, sf_dir, k) for k in "ABC"), *THREE, SIZE, SLIDE)
-    return A.upper_median(t, ["window_start", "c_long1"], "c_long2", ["a_id", "b_id", "c_id", "pair_ms"]).select("window_start", "c_long1", "a_id", "c_id", "c_long2")
+    """The median triple per window and key of the sliding three-way join, from the three sides' counts."""
+    a, b, c = (_side(spark, sf_dir, k) for k in "ABC")
+    return X.three_way_median(a, b, c, *THREE, SIZE, SLIDE, ["c_long1"], "c_long2", ("a_id", "b_id", "c_id"))
 
 
 @query
