@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tideweave.functions.windows import DAY
 from tideweave.operators import aggregates as A
@@ -79,3 +80,8 @@ def test_q1_on_a_hot_key(spark, hot):
 def test_q2_on_a_hot_key(spark, hot):
     got = P.three_way_q2(spark, hot).orderBy("window_start").collect()
     assert [tuple(r)[2:] for r in got] == medians_of_hot() and {r.c_long1 for r in got} == {3}
+
+
+def test_joint_on_a_hot_key(spark, hot):
+    got = P.three_way_joint(spark, hot).orderBy("which", "window_start", "a_id").select("which", "a_id", "c_id", F.col("value")).collect()
+    assert list(map(tuple, got)) == [("median", *r) for r in medians_of_hot()] + [("peak", *r) for r in peaks_of_hot()]
