@@ -12,8 +12,11 @@ AUCTION_FIELDS = {"0": 9, "1": 12, "2": 6}
 
 def _checked(lines: DataFrame, separator: str, fields: dict[str, int], strict: bool) -> DataFrame:
     """value -> parts, tag, bad. With `strict` a bad line fails the query when it is read."""
+    # through explode, so that a line is made and split once: conditions on its parts would be pushed down and each
+    # repeat both, once per mention
+    rows = lines.select(F.explode(F.array("value")).alias("value"))
     value = F.regexp_replace("value", "\r$", "")
-    rows = lines.select("value", F.split(value, separator, -1).alias("parts")).withColumn("tag", F.col("parts")[0])
+    rows = rows.select("value", F.explode(F.array(F.split(value, separator, -1))).alias("parts")).withColumn("tag", F.col("parts")[0])
     right = F.lit(False)
     for tag, n in fields.items():
         right = right | ((F.col("tag") == tag) & (F.size("parts") == n))
