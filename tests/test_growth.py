@@ -3,12 +3,9 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from tideweave.functions.windows import DAY, with_windows
 from tideweave.operators import aggregates as A
-from tideweave.operators import factorised as X
-from tideweave.operators import joins as J
 from tideweave.plans import queries as P
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +20,14 @@ def test_lines_are_split_once(spark, name, branches):
     """Once per branch that reads them, not once per mention of a field in a pushed condition."""
     plan = optimized(P.QUERIES[name](spark, SF))
     assert plan.count("split(") == branches and plan.count("regexp_replace(") == branches
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_sliding_top_mean(spark, seed):
+    """As the means of the rows in each window, with nulls, equal values and more rows in a pane than count."""
+    r = random.Random(seed)
+    rows = [(r.choice([None, 1, 1, 2]), r.choice([None, *range(12)]), r.choice([None, r.randrange(-9 * DAY, 30 * DAY), r.randrange(DAY)])) for _ in range(150)]
+    df = spark.createDataFrame([*rows, (7, None, 5)], "k bigint, v bigint, ms bigint")
+    want = A.top_mean(with_windows(df, "ms", 6 * DAY, DAY), ["window_start", "k"], "v", 4)
+    got = A.sliding_top_mean(df, "ms", 6 * DAY, DAY, ["k"], "v", 4)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)

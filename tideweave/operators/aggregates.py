@@ -86,6 +86,27 @@ def top_mean(df: DataFrame, keys: list[str], value: str, n: int = 10, name: str
     return df.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= n).groupBy(*keys).agg(F.avg(value).alias(name))
 
 
+def sliding_top_mean(df: DataFrame, ms: str, size: int, slide: int, keys: list[str], value: str, n: int = 10, name: str = "mean") -> DataFrame:
+    """top_mean per sliding window, by panes: the n highest of a pane are found once, and what is copied into windows comes
+    after the last sort. Needs size % slide == 0.
+
+    Windows with the same first pane follow from it: they begin after the pane before, and hold what lies within a size.
+    """
+    if size % slide:
+        raise ValueError("panes need a size that is a multiple of the slide")
+    rows = df.filter(F.col(ms).isNotNull()).select(*keys, floor_to(ms, slide).alias("pane_"), F.col(value).alias("v_"))
+    rows = rows.withColumn("place_", F.row_number().over(Window.partitionBy(*keys, "pane_").orderBy(F.col("v_").desc()))).filter(F.col("place_") <= n)
+    order = Window.partitionBy(*keys).orderBy("pane_")
+    near = F.collect_list(F.struct("pane_", "v_")).over(order.rangeBetween(0, size - slide))
+    panes = rows.withColumn("near_", near).filter("place_ = 1").withColumn("after_", F.lag("pane_").over(order) + slide)
+    first = F.col("pane_") - size + slide
+    each = panes.withColumn("window_start", F.explode(F.sequence(F.greatest(first, "after_"), F.col("pane_"), F.lit(slide))))
+    inside = F.filter("near_", lambda x: (x["pane_"] < F.col("window_start") + size) & x["v_"].isNotNull())
+    each = each.withColumn("top_", F.slice(F.sort_array(F.transform(inside, lambda x: x["v_"]), asc=False), 1, n))
+    total = F.aggregate("top_", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return each.select("window_start", *keys, F.when(F.size("top_") > 0, total / F.size("top_")).alias(name))
+
+
 #: Length of the ranges of time that running maxima are cut into.
 RANGE = DAY
 

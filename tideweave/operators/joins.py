@@ -103,14 +103,13 @@ def three_way(one: DataFrame, two: DataFrame, three: DataFrame, first: tuple[str
 def winning_bids(auctions: DataFrame, bids: DataFrame) -> DataFrame:
     """auctions(id, seller, category, reserve, ms, expires_ms, sell_below_reserve), bids(auction, bidder, price, ms).
 
-    Per auction its highest bid before it expires, earliest and lowest bidder among equals, if it reaches the reserve
-    or the seller sells below it. The maximum is combined before the shuffle, so auctions with many bids don't weigh.
+    Per auction the price of its highest bid before it expires, if it reaches the reserve or the seller sells below it:
+    equal bids have the same. The maximum is kept in a hash table, not sorted.
     """
-    b = bids.select("auction", "bidder", "price", F.col("ms").alias("bid_ms"))
+    b = bids.select("auction", "price", F.col("ms").alias("bid_ms"))
     open_ = b.join(auctions, (F.col("auction") == F.col("id")) & (F.col("bid_ms") < F.col("expires_ms")))
-    best = F.max(F.struct("price", (-F.col("bid_ms")).alias("early"), (-F.col("bidder")).alias("low"))).alias("best")
-    won = open_.groupBy("id", "seller", "category", "reserve", "expires_ms", "sell_below_reserve").agg(best)
-    return won.filter((F.col("best.price") >= F.col("reserve")) | F.col("sell_below_reserve")).select(F.col("id").alias("auction"), F.col("best.price").alias("price"), "category", "seller", "expires_ms")
+    won = open_.groupBy("id", "seller", "category", "reserve", "expires_ms", "sell_below_reserve").agg(F.max("price").alias("price"))
+    return won.filter((F.col("price") >= F.col("reserve")) | F.col("sell_below_reserve")).select(F.col("id").alias("auction"), "price", "category", "seller", "expires_ms")
 
 
 def lookup(df: DataFrame, dimension: DataFrame, key: tuple[str, str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codec import full_name
 from ..functions.masks import mask_words, words_in
-from ..functions.windows import DAY, emitted_at, first_start, floor_to, starts, with_windows
+from ..functions.windows import DAY, emitted_at, first_start, floor_to, starts
 from ..operators import aggregates as A
 from ..operators import custom as U
 from ..operators import factorised as X
@@ -390,7 +390,7 @@ def nexmark_q4(spark, sf_dir):
 @query
 def nexmark_q6(spark, sf_dir):
     """Mean of each seller's ten highest winning prices per sliding window."""
-    return A.top_mean(with_windows(_won(spark, sf_dir), "expires_ms", LONG, STEP), ["window_start", "seller"], "price")
+    return A.sliding_top_mean(_won(spark, sf_dir), "expires_ms", LONG, STEP, ["seller"], "price")
 
 
 @query
@@ -398,7 +398,7 @@ def nexmark_q4_q6_joint(spark, sf_dir):
     """Both queries over one run of the winning bids."""
     won = once(_won(spark, sf_dir))
     four = A.sliding_mean(won, "expires_ms", LONG, STEP, ["category"], "price").select(F.lit("category").alias("which"), "window_start", F.col("category").alias("key"), "mean")
-    six = A.top_mean(with_windows(won, "expires_ms", LONG, STEP), ["window_start", "seller"], "price").select(F.lit("seller").alias("which"), "window_start", F.col("seller").alias("key"), "mean")
+    six = A.sliding_top_mean(won, "expires_ms", LONG, STEP, ["seller"], "price").select(F.lit("seller").alias("which"), "window_start", F.col("seller").alias("key"), "mean")
     return four.unionByName(six)
 
 
