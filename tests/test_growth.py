@@ -31,3 +31,11 @@ def test_sliding_top_mean(spark, seed):
     want = A.top_mean(with_windows(df, "ms", 6 * DAY, DAY), ["window_start", "k"], "v", 4)
     got = A.sliding_top_mean(df, "ms", 6 * DAY, DAY, ["k"], "v", 4)
     assert got.columns == want.columns and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+@pytest.mark.parametrize("name", ["nexmark_q6", "nexmark_q4_q6_joint"])
+def test_top_means_copy_no_rows_before_a_sort(spark, name):
+    """The copies in windows are all above the last sort by seller, and the best bid is no sorted aggregate."""
+    plan = P.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    six = plan[plan.index("near_") if "near_" in plan else 0 :]
+    assert "near_" in plan and "Generate" not in six[six.index("Sort [") :].split("Union")[0] and "SortAggregate" not in plan
