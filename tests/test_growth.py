@@ -3,9 +3,12 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tideweave.functions.windows import DAY, with_windows
 from tideweave.operators import aggregates as A
+from tideweave.operators import factorised as X
+from tideweave.operators import joins as J
 from tideweave.plans import queries as P
 
 SF = "/root/testdata/sf0.001"
@@ -39,3 +42,15 @@ def test_top_means_copy_no_rows_before_a_sort(spark, name):
     plan = P.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     six = plan[plan.index("near_") if "near_" in plan else 0 :]
     assert "near_" in plan and "Generate" not in six[six.index("Sort [") :].split("Union")[0] and "SortAggregate" not in plan
+
+
+def test_panes_are_narrow_and_mostly_one_copy(spark):
+    """Panes have one end, not two, and are copied into the buckets that they reach, not into three each."""
+    plan = optimized(P.window_join_agg(spark, SF))
+    assert "first_a" not in plan and "first_b" not in plan and "explode(sequence(" in plan
+    rows = spark.range(2000).select((F.col("id") % 9).alias("k"), (F.col("id") * DAY).alias("t"))
+    other = rows.select(F.col("k").alias("k_"), F.col("t").alias("t_"))
+    within = F.abs(F.col("t") - F.col("t_")) <= 60 * DAY
+    got = J.near_in_time(rows, other, [("k", "k_")], ("t", "t_"), 60 * DAY, within, step=X.BUCKET * 60 * DAY)
+    want = J.near_in_time(rows, other, [("k", "k_")], ("t", "t_"), 60 * DAY, within)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -29,15 +29,16 @@ def _merge(df: DataFrame, masks: tuple[str, str] | None) -> DataFrame:
 SPANS = 8
 
 
-def near_in_time(one: DataFrame, two: DataFrame, keys: list[tuple[str, str]], times: tuple[str, str], reach: int, within: Column, masks=None, buckets=(-1, 0, 1)) -> DataFrame:
+def near_in_time(one: DataFrame, two: DataFrame, keys: list[tuple[str, str]], times: tuple[str, str], reach: int, within: Column, masks=None, buckets=(-1, 0, 1), step: int | None = None) -> DataFrame:
     """Equi-join on keys and `within`, which must imply that times differ by `reach` at most: by buckets of that length.
+    With buckets of `step`, a longer one, the right row is only copied into those that it reaches: one, mostly.
 
     The left row stays in its bucket, the right one is copied into three (or into `buckets` that hold all partners), so the join is an equi-join on (key, bucket):
     it shuffles, sorts and splits skewed keys like any other, and each pair comes once.
     """
-    step = max(reach, 1)
-    left = one.withColumn("bucket", floor_to(times[0], step))
-    right = two.withColumn("bucket_", F.explode(F.array(*[floor_to(times[1], step) + d * step for d in buckets])))
+    copies = F.sequence(floor_to(F.col(times[1]) - reach, step), floor_to(F.col(times[1]) + reach, step), F.lit(step)) if step else F.array(*[floor_to(times[1], max(reach, 1)) + d * max(reach, 1) for d in buckets])
+    left = one.withColumn("bucket", floor_to(times[0], step or max(reach, 1)))
+    right = two.withColumn("bucket_", F.explode(copies))
     on = (F.col("bucket") == F.col("bucket_")) & within & _masks(one, masks)
     for a, b in keys:
         on = on & (F.col(a) == F.col(b))
