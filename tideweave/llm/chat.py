@@ -1,10 +1,11 @@
 """Chat formatting by prefix-target expansion: every assistant turn is an example of its own, whose context is all turns
 before it and whose loss mask covers that reply alone.
 
-All examples of a conversation are prefixes of one formatted text. Written out they would take the square of its length,
-so the text is stored once, a row per turn, and an example is a row of fixed size: how much of the text is its context,
-and where its reply begins and ends. `rendered` writes whole examples of those conversations that it is given. Turns
-after the last reply stay in the text as an example without a reply, so that nothing is lost.
+`formatted` gives a conversation's text once, a row per turn, and `expanded` makes the examples of it: all turns up to a
+reply, of which that reply is the target. The query reads its results back from these. An example is a run of rows, never
+one value, so memory is bounded; together they have the square of a conversation's turns, which is what the method makes.
+They are expanded where the conversation lies, after the only shuffle. `rendered` writes each as one text. Turns after the
+last reply are context of one more example without a reply, so that nothing is lost.
 
 A turn is a mark, its text, and END. Control strings inside texts and roles get a backslash after their first character,
 and those that have some already get one more, so a text never holds a control string and comes back as it was.
@@ -70,6 +71,19 @@ def formatted(conversations: DataFrame) -> DataFrame:
     return out.select("conv_id", "place", "example", "segment", "context_chars", F.when(F.col("reply"), start).alias("loss_start"), F.when(F.col("reply"), end).alias("loss_end"))
 
 
+EXPANDED = "conv_id bigint, example bigint, place bigint, segment string, context_chars bigint, loss_start bigint, loss_end bigint"
+
+
+def expanded(rows: DataFrame) -> DataFrame:
+    """FORMATTED to EXPANDED, a row per example and turn: a turn is context of all later examples of its conversation, and
+    a reply is the target, with a loss mask, of its own alone."""
+    last = F.max("example").over(Window.partitionBy("conv_id"))
+    own = rows.withColumn("own_", F.col("example")).withColumn("last_", last)
+    each = own.withColumn("example", F.explode(F.sequence("own_", "last_")))
+    target = lambda c: F.when(F.col("example") == F.col("own_"), F.col(c)).alias(c)
+    return each.select("conv_id", "example", "place", "segment", "context_chars", target("loss_start"), target("loss_end"))
+
+
 def examples(rows: DataFrame) -> DataFrame:
     """FORMATTED to (conv_id, example, context_turns, context_chars, loss_start, loss_end, chars), a row per reply: the
     example's text is the first `chars` code points of its conversation's text."""
@@ -77,11 +91,10 @@ def examples(rows: DataFrame) -> DataFrame:
 
 
 def rendered(rows: DataFrame) -> DataFrame:
-    """FORMATTED to (conv_id, example, text, loss_start, loss_end): whole examples. Their size is the square of a
-    conversation's, so this is for those that are about to be used."""
-    texts = rows.select(F.col("conv_id").alias("of"), "place", "segment")
-    on = F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("place") <= F.col("context_turns"))
-    parts = examples(rows).join(texts, on).groupBy("conv_id", "example", "loss_start", "loss_end").agg(F.sort_array(F.collect_list(F.struct("place", "segment"))).alias("parts"))
+    """FORMATTED to (conv_id, example, text, loss_start, loss_end): whole examples as one text each. Their size is the
+    square of a conversation's, so this is for those that are about to be used."""
+    sorted_parts = F.sort_array(F.collect_list(F.struct("place", "segment"))).alias("parts")
+    parts = expanded(rows).groupBy("conv_id", "example").agg(F.max("loss_start").alias("loss_start"), F.max("loss_end").alias("loss_end"), sorted_parts).filter("loss_start is not null")
     return parts.select("conv_id", "example", F.array_join(F.transform("parts", lambda p: p["segment"]), "").alias("text"), "loss_start", "loss_end")
 
 
@@ -93,11 +106,12 @@ def _read(batches):
     done: list[tuple] = []
     last: object = ()
     state: list = []
+    text: list = []  # of the example that is being read: its number, turns, digest and length
 
     def close():
-        if state:
-            n, turns, loss_chars, loss, chars, targets, example_chars = state
-            done.append((last, n, turns.hexdigest(), loss_chars, loss.hexdigest(), chars, targets, example_chars))
+        if state:  # the last example has all turns
+            loss_chars, loss, targets, example_chars = state
+            done.append((last, text[1], text[2].hexdigest(), loss_chars, loss.hexdigest(), text[3], targets, example_chars))
 
     def emit():
         got = list(zip(*done, strict=True)) if done else [[] for _ in names]
@@ -106,20 +120,23 @@ def _read(batches):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(got, kinds, strict=True)], names)
 
     for b in batches:
-        for conv, segment, context, start, end in zip(*(b.column(c).to_pylist() for c in ("conv_id", "segment", "context_chars", "loss_start", "loss_end")), strict=True):
+        for conv, example, segment, start, end in zip(*(b.column(c).to_pylist() for c in ("conv_id", "example", "segment", "loss_start", "loss_end")), strict=True):
             if not state or conv != last:
                 close()
-                last, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
-            for role, text in turns_in(segment):
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-            state[4] += len(segment)
+                last, state, text = conv, [0, hashlib.sha256(), 0, 0], []
+            if not text or example != text[0]:
+                text = [example, 0, hashlib.sha256(), 0]
+            for role, said in turns_in(segment):
+                text[1] += 1
+                text[2].update(f"{role}\n{said}\n".encode())
+            if start is not None:
+                said = unescaped(segment[start - text[3] : end - text[3]])
+                state[0] += len(said)
+                state[1].update(said.encode())
+                state[2] += 1
+            text[3] += len(segment)
             if start is not None:
-                text = unescaped(segment[start - context : end - context])
-                state[2] += len(text)
-                state[3].update(text.encode())
-                state[5] += 1
-                state[6] += context + len(segment)
+                state[3] += text[3]
         if done:
             yield emit()
     close()
@@ -127,11 +144,12 @@ def _read(batches):
 
 
 def read_back(rows: DataFrame) -> DataFrame:
-    """FORMATTED to READ, a row per conversation: its turns parsed from the text, and what the examples' masks cover.
-    A digest takes a conversation's rows in order, so they stream through one task, which holds a batch of them. Rows that
-    come from `formatted` lie there already and are only sorted; those of a stored table are shuffled first."""
-    order = Window.partitionBy("conv_id").orderBy("place")  # asks for the rows of a conversation in order, wherever they are
-    in_order = rows.select("conv_id", "segment", "context_chars", "loss_start", "loss_end", F.row_number().over(order).alias("nth"))
+    """FORMATTED, expanded, to READ, a row per conversation: the turns parsed from its longest example, and what the masks cover in
+    the text of each. A digest takes a conversation's examples in order, so they stream through one task, which holds a
+    batch of rows. Rows that come from `formatted` lie there already and are only sorted; those of a stored table are
+    shuffled first."""
+    order = Window.partitionBy("conv_id").orderBy("example", "place")  # asks for them in order, wherever they are
+    in_order = expanded(rows).select("conv_id", "example", "segment", "loss_start", "loss_end", F.row_number().over(order).alias("nth"))
     return map_arrow(in_order, _read, READ)
 
 
