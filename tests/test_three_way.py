@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,35 @@ def test_median(spark, monkeypatch, seed):
     assert ordered(got) == ordered(want.select(*got.columns)) and got.count() > 5
 
 
+@pytest.mark.parametrize("size, slide", [(5 * DAY, 2 * DAY), (2 * DAY, 2 * DAY), (DAY, 2 * DAY)])
+def test_median_in_other_windows(spark, monkeypatch, size, slide):
+    monkeypatch.setattr(X, "ID_RANGES", 4)
+    a, b, c = odd_sides(spark, 7)
+    want = A.upper_median(J.three_way(a, b, c, *P.THREE, size, slide), ["window_start", "c_long1"], "c_long2", ["a_id", "b_id", "c_id", "pair_ms"])
+    got = X.three_way_median(a, b, c, *P.THREE, size, slide, ["c_long1"], "c_long2", ("a_id", "b_id", "c_id"))
+    assert ordered(got) == ordered(want.select(*got.columns)) and got.count() > 3
+
+
+def copied_into_joins(plan):
+    """How many tables of an optimized plan are copied by an explode and go into a join uncounted."""
+    above, copied = [], 0
+    for line in plan.splitlines():
+        depth = re.search("[A-Za-z]", line).start()
+        above = [x for x in above if x[0] < depth] + [(depth, line[depth:].split()[0])]
+        if above[-1][1] in ("Relation", "LogicalRDD"):
+            over = [n for _, n in reversed(above) if n in ("Generate", "Join", "Aggregate")]
+            copied += over[:1] == ["Generate"] and next((n for n in over if n != "Generate"), None) == "Join"
+    return copied
+
+
+def test_median_looks_rows_up_uncopied(spark, monkeypatch):
+    """Windows times pairs' windows a row of A were shuffled to find a few; now the few are copied and rows are not."""
+    plans, once = [], X.once
+    monkeypatch.setattr(X, "once", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or once(df))
+    P.three_way_q2(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 3 and [copied_into_joins(p) for p in plans] == [0, 0, 0]
+
+
 @pytest.fixture(scope="module")
 def hot(spark, tmp_path_factory):
     """Events of one user at one time, N of each kind: N cubed triples, for each window."""

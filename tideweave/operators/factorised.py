@@ -8,7 +8,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import emitted_at, first_start, floor_to, starts, with_windows
+from ..functions.windows import emitted_at, first_start, floor_to, starts
 from ..sources.sinks import once
 from .joins import near_in_time
 from .queryset import per_query
@@ -152,39 +152,48 @@ def three_way_median(one: DataFrame, two: DataFrame, three: DataFrame, first: tu
 
     No triple is built but those of the two rows that the median has. What is counted, from each side's counts, is first
     triples by value, then of the middle value by range of the first's ids, then in the one range by id, then by the
-    second's id. Pairs are a row per window, key and range; the rest is linear in the rows of each side.
+    second's id. Pairs are a row per window, key and range; the rest is linear in the rows of each side. A side's rows are
+    copied into windows only to be counted; where they are looked up, the few spots looked for are copied, into steps.
     """
     a_id, b_id, c_id = ids
     splits = sorted(set(one.approxQuantile(a_id, [i / ID_RANGES for i in range(1, ID_RANGES)], 0.5 / ID_RANGES))) or [0.0]
     ranges = Bucketizer(splits=[-float("inf"), *splits, float("inf")], inputCol="id_", outputCol="range_")
-    a = with_windows(one.filter(F.col(first[0]).isNotNull()), times[0], size, slide, "at_").select("at_", F.col(first[0]).alias("one_"), F.col(a_id), F.coalesce(F.col(a_id).cast("double"), F.lit(-float("inf"))).alias("id_"))
-    a = ranges.transform(a).drop("id_")
-    b = with_windows(two, times[1], size, slide, "at_").select("at_", F.col(first[1]).alias("one_"), F.col(second[0]).alias("key_"), b_id).filter("one_ is not null and key_ is not null")
-    c = with_windows(three, times[2], size, slide, "window_").select("window_", F.col(second[1]).alias("key_"), F.struct("window_", *by).alias("group_"), value, c_id).filter("key_ is not null")
+    held = lambda i: (first_start(times[i], size, slide).alias("first_"), floor_to(times[i], slide).alias("step_"))
+    in_each = lambda df, name: df.withColumn(name, F.explode(F.sequence("first_", "step_", F.lit(slide)))).drop("first_", "step_")
+    in_steps = lambda df, at: df.withColumn("step_", F.explode(F.sequence(at, floor_to(F.col(at) + (size - 1), slide), F.lit(slide))))
+    a = one.filter(F.col(first[0]).isNotNull()).select(*held(0), F.col(first[0]).alias("one_"), F.col(a_id), F.coalesce(F.col(a_id).cast("double"), F.lit(-float("inf"))).alias("id_"))
+    a = ranges.transform(a.filter("first_ <= step_")).drop("id_")
+    b = two.select(*held(1), F.col(first[1]).alias("one_"), F.col(second[0]).alias("key_"), b_id).filter("one_ is not null and key_ is not null and first_ <= step_")
+    c = three.select(*held(2), F.col(second[1]).alias("key_"), *by, value, c_id).filter("key_ is not null and first_ <= step_")
     later = F.explode(starts(emitted_at("at_", size), size, slide))  # a pair's time is the end of its window
-    counted_b = b.groupBy("at_", "one_", "key_").agg(F.count(F.lit(1)).alias("nb_"))
-    counted_a = a.groupBy("at_", "one_", "range_").agg(F.count(F.lit(1)).alias("na_"))
+    earlier = F.explode(starts("window_", size, slide))  # pairs' windows that end in a window
+    counted_b = in_each(b, "at_").groupBy("at_", "one_", "key_").agg(F.count(F.lit(1)).alias("nb_"))
+    counted_a = in_each(a, "at_").groupBy("at_", "one_", "range_").agg(F.count(F.lit(1)).alias("na_"))
     pairs = counted_a.join(counted_b, ["at_", "one_"]).groupBy("at_", "key_", "range_").agg(F.sum(F.col("na_") * F.col("nb_")).alias("n_"))
     pairs = once(pairs.withColumn("window_", later).groupBy("window_", "key_", "range_").agg(F.sum("n_").alias("n_")))
 
     # the middle value, and the third side's rows that have it
     of_key = pairs.groupBy("window_", "key_").agg(F.sum("n_").alias("p_"))
-    valued = c.groupBy("window_", "key_", "group_", value).agg(F.count(F.lit(1)).alias("m_")).join(of_key, ["window_", "key_"])
+    valued = in_each(c, "window_").groupBy("window_", "key_", F.struct("window_", *by).alias("group_"), value).agg(F.count(F.lit(1)).alias("m_")).join(of_key, ["window_", "key_"])
     valued = valued.groupBy("group_", value).agg(F.sum(F.col("m_") * F.col("p_")).alias("n_"))
     middle = _nth(valued.withColumn("place_", F.floor(F.sum("n_").over(Window.partitionBy("group_")) / 2) + 1), value)
-    same = (F.col("group_") == F.col("g_")) & F.col(value).eqNullSafe(F.col("v_"))
-    chosen = once(c.join(middle.select(F.col("group_").alias("g_"), F.col(value).alias("v_"), "place_"), same).drop("g_", "v_"))
+    middle = in_steps(middle.select("group_", F.col("group_.window_").alias("window_"), *[F.col(f"group_.{k}").alias(f"{k}_") for k in by], F.col(value).alias("v_"), "place_"), "window_").withColumnRenamed("step_", "s_")
+    same = (F.col("step_") == F.col("s_")) & (F.col("first_") <= F.col("window_")) & F.col(value).eqNullSafe(F.col("v_"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in by], same)
+    chosen = once(c.join(middle, same).select("window_", "key_", "group_", value, c_id, "place_"))
     weights = chosen.groupBy("window_", "group_", "key_", "place_").agg(F.count(F.lit(1)).alias("m_"))
     weight = weights.drop("window_", "place_")
 
     # the range of the first's id, the id, the second's id
     ranged = weights.join(pairs, ["window_", "key_"]).groupBy("window_", "group_", "place_", "range_").agg(F.sum(F.col("m_") * F.col("n_")).alias("n_"))
     spot = _nth(ranged, "range_")
-    near = a.withColumn("window_", later).join(spot, ["window_", "range_"]).join(counted_b, ["at_", "one_"]).join(weight, ["group_", "key_"])
+    near = a.join(in_steps(spot.withColumn("at_", earlier), "at_"), ["step_", "range_"]).filter("first_ <= at_").drop("first_", "step_")
+    near = near.join(counted_b, ["at_", "one_"]).join(weight, ["group_", "key_"])
     spot = _nth(near.groupBy("window_", "group_", "place_", a_id).agg(F.sum(F.col("m_") * F.col("nb_")).alias("n_")), a_id)
-    spot = spot.select(F.col("window_").alias("w_"), "group_", "place_", F.col(a_id).alias("a_"))
-    mine = a.withColumn("window_", later).join(spot, (F.col("window_") == F.col("w_")) & F.col(a_id).eqNullSafe(F.col("a_")))
-    mine = once(mine.join(b, ["at_", "one_"]).select("group_", "place_", "at_", "key_", a_id, b_id))
+    spot = in_steps(spot.select("group_", "place_", F.col(a_id).alias("a_"), earlier.alias("at_")), "at_").withColumnRenamed("step_", "s_")
+    mine = a.join(spot, (F.col("step_") == F.col("s_")) & (F.col("first_") <= F.col("at_")) & F.col(a_id).eqNullSafe(F.col("a_")))
+    mine = in_steps(mine.select("group_", "place_", "at_", "one_", a_id), "at_").join(b, ["step_", "one_"]).filter("first_ <= at_")
+    mine = once(mine.select("group_", "place_", "at_", "key_", a_id, b_id))
     spot = _nth(mine.join(weight, ["group_", "key_"]).groupBy("group_", "place_", b_id).agg(F.sum("m_").alias("n_")), b_id)
     spot = spot.select(F.col("group_").alias("g_"), F.col(b_id).alias("b_"), F.col("place_").alias("left_"))
     last = mine.join(spot, (F.col("group_") == F.col("g_")) & F.col(b_id).eqNullSafe(F.col("b_"))).join(chosen.select("group_", "key_", value, c_id), ["group_", "key_"])
