@@ -44,6 +44,15 @@ def test_top_means_copy_no_rows_before_a_sort(spark, name):
     assert "near_" in plan and "Generate" not in six[six.index("Sort [") :].split("Union")[0] and "SortAggregate" not in plan
 
 
+def test_winning_bids_have_tasks_for_their_rows(spark, monkeypatch):
+    """More rows are more tasks, whatever the number of shuffle partitions (8 here), not more rows a task."""
+    want = sorted(map(tuple, P.winning_bids(spark, SF).collect()))
+    monkeypatch.setattr(J, "ROWS", 200)
+    won = P.winning_bids(spark, SF)
+    tasks = won.groupBy(F.spark_partition_id()).count().collect()
+    assert sorted(map(tuple, won.collect())) == want != [] and len(tasks) > 24 and max(r["count"] for r in tasks) < 200
+
+
 def test_panes_are_narrow_and_mostly_one_copy(spark):
     """Panes have one end, not two, and are copied into the buckets that they reach, not into three each."""
     plan = optimized(P.window_join_agg(spark, SF))

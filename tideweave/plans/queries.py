@@ -373,7 +373,8 @@ def interval_join_median(spark, sf_dir):
 
 
 def _won(spark, sf_dir) -> DataFrame:
-    return J.winning_bids(V.auction(spark, sf_dir), V.bid(spark, sf_dir))
+    auctions, bids = V.auction(spark, sf_dir), V.bid(spark, sf_dir)
+    return J.winning_bids(auctions, bids, auctions.count() + bids.count())
 
 
 @query
