@@ -1,6 +1,7 @@
 """What queries shuffle, sort and evaluate grows with their input and no faster."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,6 +52,9 @@ def test_winning_bids_have_tasks_for_their_rows(spark, monkeypatch):
     won = P.winning_bids(spark, SF)
     tasks = won.groupBy(F.spark_partition_id()).count().collect()
     assert sorted(map(tuple, won.collect())) == want != [] and len(tasks) > 24 and max(r["count"] for r in tasks) < 200
+    for rows, n in ((30, 200), (3, 313)):  # 7,500 rows
+        monkeypatch.setattr(J, "ROWS", rows)
+        assert len(re.findall(rf"RepartitionByExpression .*, {n}\b", optimized(P.winning_bids(spark, SF)))) == 2
 
 
 def test_panes_are_narrow_and_mostly_one_copy(spark):

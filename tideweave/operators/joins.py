@@ -101,21 +101,22 @@ def three_way(one: DataFrame, two: DataFrame, three: DataFrame, first: tuple[str
     return in_each_window(pairs.filter("first_window <= last_window").drop("pair_window"), slide)
 
 
-#: Rows of both sides that a task joins: about 40 bytes each, sorted in memory.
-ROWS = 1 << 19
+#: Rows of both sides that a task joins, sorted in memory: beyond TASKS up to eight times as many, as Spark writes a
+#: shuffle to more than 200 tasks by sorting it, which takes a writing task more memory than that.
+ROWS, TASKS = 1 << 19, 200
 
 
 def winning_bids(auctions: DataFrame, bids: DataFrame, rows: int = 0) -> DataFrame:
     """auctions(id, seller, category, reserve, ms, expires_ms, sell_below_reserve), bids(auction, bidder, price, ms).
 
     Per auction the price of its highest bid before it expires, if it reaches the reserve or the seller sells below it:
-    equal bids have the same. The maximum is kept in a hash table, not sorted. `rows`, how many both have together, makes
-    so many tasks that a task's memory doesn't grow with the input.
+    equal bids have the same. The maximum is kept in a hash table, not sorted. `rows`, how many both have together, sets
+    the number of tasks, so that a task's memory stays within bounds.
     """
     a, b = auctions.drop("ms"), bids.select("auction", "price", F.col("ms").alias("bid_ms"))
     spark = a.sparkSession
     if rows > ROWS * min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))):
-        n = -(-rows // ROWS)
+        n = max(min(-(-rows // ROWS), TASKS), -(-rows // (8 * ROWS)))
         a, b = a.repartition(n, "id"), b.repartition(n, "auction")
     open_ = b.join(a, (F.col("auction") == F.col("id")) & (F.col("bid_ms") < F.col("expires_ms")))
     won = open_.groupBy("id", "seller", "category", "reserve", "expires_ms", "sell_below_reserve").agg(F.max("price").alias("price"))
